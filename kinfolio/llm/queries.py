@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolio.llm import bpe, packed_ids
+from kinfolio.llm import bpe, html_text, language, packed_ids, quality_qda, url_filter
 from kinfolio.llm.common import crc_mod, table
 from kinfolio.session import shared_dir
 
@@ -23,14 +23,40 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = quality_qda.fit(docs, labels.where(~held_out))
+    return quality_qda.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
+
+
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
     packed_ids.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return packed_ids.read_digests(spark, path)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), F.col("page_id"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op4_quality": op4_quality,
+    "op6_url_filter": op6_url_filter,
+    "op9_html": op9_html,
     "op5_packed_ids": op5_packed_ids,
 }
 
