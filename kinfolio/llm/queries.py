@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolio.llm import bpe, html_text, language, packed_ids, quality_qda, url_filter
+from kinfolio.llm import bpe, decontaminate, html_text, language, packed_ids, quality_qda, quality_rules, url_filter
 from kinfolio.llm.common import crc_mod, table
 from kinfolio.session import shared_dir
 
@@ -47,6 +47,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), F.col("page_id"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"))
 
@@ -56,8 +64,32 @@ QUERIES = {
     "op2_language": op2_language,
     "op4_quality": op4_quality,
     "op6_url_filter": op6_url_filter,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_html": op9_html,
     "op5_packed_ids": op5_packed_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lower-cased ASCII words of whole texts, and windows of 13 (or all of a shorter item's) words.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), bw AS (
+  SELECT item_id, least(len(w), 13) AS n, array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(s) WHERE len(w) > 0
+), dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) - n + 2)) AS t(p)
+), m AS (SELECT DISTINCT doc_id, n, p, item_id FROM dw JOIN bw USING (n, win)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM m, unnest(range(p, p + n)) AS t(q) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
