@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolio.llm import bpe, decontaminate, html_text, language, packed_ids, quality_qda, quality_rules, url_filter
+from kinfolio.llm import bpe, decontaminate, html_text, language, near_dups, packed_ids, quality_qda, quality_rules, url_filter
 from kinfolio.llm.common import crc_mod, table
 from kinfolio.session import shared_dir
 
@@ -59,6 +59,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("url"))
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -67,6 +71,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_html": op9_html,
+    "op10_near_dups": op10_near_dups,
     "op5_packed_ids": op5_packed_ids,
 }
 
