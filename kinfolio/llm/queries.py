@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolio.llm import bpe, decontaminate, html_text, language, near_dups, packed_ids, quality_qda, quality_rules, url_filter
+from kinfolio.llm import bpe, decontaminate, html_text, language, near_dups, packed_ids, quality_qda, quality_rules, substring_dedup, url_filter
 from kinfolio.llm.common import crc_mod, table
 from kinfolio.session import shared_dir
 
@@ -30,6 +30,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -66,6 +71,7 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
+    "op3_substring": op3_substring,
     "op4_quality": op4_quality,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
@@ -97,4 +103,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+#: Every window of 50 words of whole texts, and the smallest document that it starts in.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS t FROM d, unnest(range(1, len(w) - 48)) AS u(p)
+), least_doc AS (SELECT t, min(doc_id) AS first_doc FROM win GROUP BY t),
+gone AS (
+  SELECT DISTINCT doc_id, q FROM win JOIN least_doc USING (t), unnest(range(p, p + 50)) AS u(q) WHERE first_doc < doc_id
+), removed AS (SELECT doc_id, list(q) AS qs, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id)
+"""
+
+#: Sets of lower-cased three-word shingles, links of 85 percent, smallest reachable document.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS t
+  FROM d, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS u(p)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inter AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM inter JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * common >= 85 * (a.n + b.n - common)
+), reach AS (
+  SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x
+), c AS (SELECT x AS doc_id, min(y) AS least_y FROM reach GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least_y, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(least_y, doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_near_dups": OP10_SQL}
