@@ -1,4 +1,4 @@
 """All registered queries of the item-graph operators, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kinfolio.plans import browse, report  # noqa: F401
+from kinfolio.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
