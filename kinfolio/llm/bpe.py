@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import slices, texts_of
+from kinfolio.llm.common import ragged, slices, texts_of
 from kinfolio.llm.token_units import PATTERN, UnitCache, Vocabulary, encode_texts
 
 #: Words kept per worker before the word cache starts anew.
@@ -82,41 +82,31 @@ class BpeCodec:
         self.words = UnitCache(self._merge, CACHE_WORDS)
         self.units = UnitCache(self._encode_units)
 
-    def _merge(self, words: list[str]) -> list[np.ndarray]:
-        return merge_words([w.encode("utf-8", "surrogatepass") for w in words], self.vocab)
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = merge_words([w.encode("utf-8", "surrogatepass") for w in words], self.vocab)
+        for i, w in enumerate(words):
+            if w in self.vocab.special:
+                ids[i] = np.array([self.vocab.special[w]], dtype=np.int32)
+        return np.concatenate([*ids, np.empty(0, dtype=np.int32)]), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
 
-    def _encode_units(self, units: list[str]) -> list[np.ndarray]:
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces: list[str] = []
-        counts = []
-        fixed: dict[int, int] = {}
-        for unit in units:
+        counts = np.zeros(len(units), dtype=np.int64)
+        for i, unit in enumerate(units):
             before = len(pieces)
-            if self.special_split is not None and "<|" in unit:
-                for part in self.special_split.split(unit):
-                    if part in self.vocab.special:
-                        fixed[len(pieces)] = self.vocab.special[part]
-                        pieces.append(part)
-                    else:
-                        pieces.extend(self.pattern.findall(part))
-            else:
-                pieces.extend(self.pattern.findall(unit))
-            counts.append(len(pieces) - before)
-        distinct = list(dict.fromkeys(p for i, p in enumerate(pieces) if i not in fixed))
-        if self.words.n + len(distinct) > self.words.limit:
-            self.words.clear()
+            for part in self.special_split.split(unit) if self.special_split is not None and "<" in unit else [unit]:
+                if part in self.vocab.special:
+                    pieces.append(part)
+                else:
+                    pieces.extend(self.pattern.findall(part))
+            counts[i] = len(pieces) - before
+        distinct = list(dict.fromkeys(pieces))
         at = dict(zip(distinct, self.words.lookup(distinct), strict=True))
-        starts, lengths, flat = self.words.starts, self.words.lengths, self.words.flat
-        out, i = [], 0
-        for n in counts:
-            ids = [
-                np.array([fixed[k]], dtype=np.int32)
-                if k in fixed
-                else flat[starts[at[pieces[k]]] : starts[at[pieces[k]]] + lengths[at[pieces[k]]]]
-                for k in range(i, i + n)
-            ]
-            out.append(ids[0] if n == 1 else np.concatenate([*ids, np.empty(0, dtype=np.int32)]))
-            i += n
-        return out
+        where = np.fromiter(map(at.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        lengths = self.words.lengths[where].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        stops = np.cumsum(counts)
+        return self.words.flat[ragged(self.words.starts[where], lengths)], ends[stops] - ends[stops - counts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""

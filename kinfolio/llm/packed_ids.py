@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 
 from kinfolio.llm.common import slices, texts_of
 from kinfolio.llm.token_units import UnitCache, Vocabulary, encode_texts
+from kinfolio.session import broadcast_if_small, cut
 
 MAGIC = b"KPACKED1"
 BLOCK_IDS = 4096
+#: Units that go to the tokenizers library in one call.
+JOINED_UNITS = 4096
 #: Layout of a frame row in the files.
 FRAME_SCHEMA = "shard int, frame int, doc_ids array<long>, counts array<int>, payload binary"
 
@@ -102,24 +105,23 @@ class LibraryEncoder:
         self.specials = list(Vocabulary(path).special)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.units = UnitCache(self._encode)
-        self.tails = {c: np.array(self._raw([c])[0], dtype=np.int32) for c in ".,"}
-
-    def _raw(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _encode(self, units: list[str]) -> list[np.ndarray]:
-        # A full stop or comma that ends a word is always a token of its own.
-        tails = [u[-1] if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() else "" for u in units]
-        stems = [u[: -1 if t else None] for u, t in zip(units, tails, strict=True)]
-        known, index = {}, self.units.index
-        for s, t in zip(stems, tails, strict=True):
-            if t and s in index:
-                i = index[s]
-                at = self.units.starts[i]
-                known[s] = self.units.flat[at : at + self.units.lengths[i]]
-        todo = [s for s in dict.fromkeys(stems) if s not in known]
-        known.update(zip(todo, (np.array(x, dtype=np.int32) for x in self._raw(todo)), strict=True))
-        return [np.concatenate([known[s], self.tails[t]]) if t else known[s] for s, t in zip(stems, tails, strict=True)]
+        self.divider = self.specials[0] if self.specials else None
+        self.divider_id = self.tokenizer.token_to_id(self.divider) if self.specials else -1
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and lengths. Many units go to the library as one string, divided by a special token."""
+        if self.divider is None or any("<" in u and any(s in u for s in self.specials) for u in units):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            flat = np.array([i for x in ids for i in x], dtype=np.int32)
+            return flat, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        parts = []
+        for i in range(0, len(units), JOINED_UNITS):
+            # Closed by a divider too, so that each unit's ids end at one.
+            text = self.divider.join([*units[i : i + JOINED_UNITS], ""])
+            parts.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32))
+        flat = np.concatenate([*parts, np.empty(0, dtype=np.int32)])
+        ends = np.flatnonzero(flat == self.divider_id)
+        return flat[flat != self.divider_id], np.diff(ends, prepend=-1) - 1
 
 
 @lru_cache(maxsize=2)
@@ -202,4 +204,5 @@ def _scan(spark: SparkSession, path: str, schema: str, of, kind: pa.DataType) ->
                 )
 
     data = spark.read.schema(FRAME_SCHEMA).parquet(path)
-    return data.join(frame_starts(spark, path), ["shard", "frame"]).select("base", "doc_ids", "counts", "payload").mapInArrow(run, schema)
+    starts = broadcast_if_small(cut(frame_starts(spark, path)))
+    return data.join(starts, ["shard", "frame"]).select("base", "doc_ids", "counts", "payload").mapInArrow(run, schema)

@@ -2,7 +2,8 @@
 
 A text is cut into units (a word with the space before it, or a line break) at
 places where the pre-tokenizer's pattern always ends a token, so the ids of a text
-are the ids of its units joined. Texts with runs of white space, a special token or
+are the ids of its units joined; a full stop or comma that ends a word is a unit of
+its own. Texts with runs of white space, a special token or
 a NUL, where such cuts could differ, are encoded whole as one unit.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from kinfolio.llm.common import ragged
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Units kept per worker before the cache starts anew.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 800_000
 
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
 
@@ -82,9 +84,9 @@ def byte_alphabet() -> list[str]:
 
 
 class UnitCache:
-    """Ids of units, filled by ``encode(new units) -> list of id arrays``."""
+    """Ids of units, filled by ``encode(new units) -> flat ids, number of ids of each``."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = CACHE_UNITS):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_UNITS):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -101,17 +103,15 @@ class UnitCache:
         return np.concatenate([array, np.empty(max(need - len(array), len(array) // 2), dtype=array.dtype)])
 
     def add(self, units: list[str]) -> None:
-        ids = self.encode(units)
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate([*ids, np.empty(0, dtype=np.int32)])
+        flat, lengths = self.encode(units)
         self.flat = self._grown(self.flat, self.n_flat + len(flat))
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
-        self.starts = self._grown(self.starts, self.n + len(ids))
-        self.lengths = self._grown(self.lengths, self.n + len(ids))
-        self.starts[self.n : self.n + len(ids)] = self.n_flat + np.cumsum(lengths) - lengths
-        self.lengths[self.n : self.n + len(ids)] = lengths
-        self.index.update(zip(units, range(self.n, self.n + len(ids)), strict=True))
-        self.n += len(ids)
+        self.starts = self._grown(self.starts, self.n + len(units))
+        self.lengths = self._grown(self.lengths, self.n + len(units))
+        self.starts[self.n : self.n + len(units)] = self.n_flat + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + len(units)] = lengths
+        self.index.update(zip(units, range(self.n, self.n + len(units)), strict=True))
+        self.n += len(units)
         self.n_flat += len(flat)
 
     def lookup(self, units: list[str]) -> np.ndarray:
@@ -119,13 +119,12 @@ class UnitCache:
         if self.n > self.limit:
             self.clear()
         get = self.index.get
-        at = np.fromiter((get(u, -1) for u in units), dtype=np.int64, count=len(units))
+        at = np.fromiter(map(get, units, repeat(-1)), dtype=np.int64, count=len(units))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [units[i] for i in missing]
-            base = self.n
             self.add(new)
-            at[missing] = np.arange(base, base + len(new)) if self.n == base + len(new) else [get(u) for u in new]
+            at[missing] = np.arange(self.n - len(new), self.n)
         return at
 
 
@@ -133,6 +132,7 @@ def encode_texts(texts: pa.Array, cache: UnitCache, special: list[str]) -> tuple
     """Ids of all texts one after another (int32), and the number of ids of each text."""
     whole = pc.match_substring_regex(texts, whole_text_rule(special))
     marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+    marked = pc.replace_substring_regex(marked, "(\\pL)([.,])\x00", "\\1\x00\\2\x00")
     units = pc.split_pattern(marked, "\x00")
     if pc.any(whole).as_py():
         rest = whole.to_numpy(zero_copy_only=False)
