@@ -46,7 +46,7 @@ def _parts(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, ...]:
             ids.setdefault(t, len(ids))
     one = lambda side: np.array([np.bincount([ids[t] for t in tags], minlength=len(ids)) for tags in side], dtype=np.float32).reshape(len(side), len(ids))
     x, y = one(a["norm_tags"]), one(b["norm_tags"])
-    shared = x @ y.T
+    shared = (x @ y.T).astype(np.float64)
     united = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - shared
     overlap = np.where(shared > 0, shared / np.maximum(2 * united - shared, 1), 0.0)
     equal = lambda c: ((a[c].fillna("").to_numpy()[:, None] == b[c].fillna("").to_numpy()[None, :]) & (a[c].fillna("").to_numpy()[:, None] != "")).astype(float)
@@ -68,11 +68,13 @@ def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.
     blocks = blocks or max(1, math.ceil(count / BLOCK_ITEMS))
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    needed = ["item_id", "v", "norm_tags", "list_id", "language", "stars"]
+    rows, queries = rows.select(needed), queries.select(needed)
     left = queries.withColumn("qb", deal("item_id")).withColumn("ib", F.explode(every)).withColumn("side", F.lit(0))
     right = rows.withColumn("ib", deal("item_id")).withColumn("qb", F.explode(every)).withColumn("side", F.lit(1))
     schema = "source long, target long, semantic double, tag_overlap double, same_list double, same_language double, score double"
 
-    def run(_key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1))
         names = [c.split()[0] for c in schema.split(", ")]
         if a.empty or b.empty:
@@ -113,7 +115,8 @@ def similarity_edges(items: DataFrame, threshold: float = 0.5, k: int = 8) -> Da
 
     rows = prepared(items)
     top = block_top(rows, rows, k, min_score=threshold)
-    return undirected(top.select("source", "target", F.col("score").alias("weight")))
+    # Rounded far below any meaning, so that equal sums in another order stay equal.
+    return undirected(top.select("source", "target", F.round("score", 12).alias("weight")))
 
 
 def adaptive_threshold(items: DataFrame, degree: int = 8, low: float = 0.35, high: float = 0.85, sample: int = 200) -> DataFrame:
