@@ -37,6 +37,11 @@ def crc_mod(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def columns_ddl(fields: list, more: str) -> str:
+    """DDL of the given schema fields, followed by more columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), more])
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

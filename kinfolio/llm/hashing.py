@@ -89,6 +89,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     weight = 0x8CB92BA72F3D8DD7
     for i in range(k):
         factor = np.uint64(weight)
-        out[: n - i] += words[i:] * factor
+        if i < n:
+            out[: n - i] += words[i:] * factor
         weight = (weight * _BASE + 2) & ((1 << 64) - 1) | 1
     return mix(out)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import slices, texts_of
+from kinfolio.llm.common import columns_ddl, slices, texts_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -98,6 +98,7 @@ class LineParser(HTMLParser):
         else:
             self.flush()
             self.tags += 1
+            self._close({"p"})
             if tag in SIBLINGS:
                 self._close(SIBLINGS[tag])
         if tag in VOID:
@@ -129,7 +130,7 @@ class LineParser(HTMLParser):
                 while len(self.stack) > i:
                     self._pop()
                 return
-            if tag in CONTAINERS or tag in ("ul", "ol", "table", "dl"):
+            if tag in CONTAINERS or tag in DROPPED or tag in ("ul", "ol", "table", "dl"):
                 return
 
     def handle_endtag(self, tag):
@@ -215,5 +216,4 @@ def extract(pages: DataFrame, *keep: Column, html: str = "html") -> DataFrame:
             out = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
             yield pa.record_batch([*(batch.column(c) for c in names), *out], names=[*names, "text", "n_chars"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, text string, n_chars long")
+    return source.mapInArrow(run, columns_ddl(source.schema.fields[:-1], "text string, n_chars long"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import slices, texts_of
+from kinfolio.llm.common import columns_ddl, slices, texts_of
 from kinfolio.session import broadcast_if_small, cut
 
 UNKNOWN = "und"
@@ -185,5 +185,4 @@ def predict(docs: DataFrame, model: Model, *keep: Column, text: str = "text") ->
             extra = [pa.array(languages[best], pa.string()), pa.array(score, pa.float64()), pa.array(top, pa.float64())]
             yield pa.record_batch([*(batch.column(c) for c in names), *extra], names=[*names, "lang_pred", "score", "cosine"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, cosine double")
+    return source.mapInArrow(run, columns_ddl(source.schema.fields[:-1], "lang_pred string, score double, cosine double"))

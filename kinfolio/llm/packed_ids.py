@@ -59,7 +59,7 @@ def pack(ids: np.ndarray, bits: int, block: int = BLOCK_IDS) -> bytes:
         padded = np.zeros(blocks * block, dtype=np.uint32)
         padded[:n] = ids
         spread = (padded[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
-        body = np.packbits(spread.astype(np.uint8).reshape(blocks, -1), axis=1, bitorder="little").tobytes()
+        body = np.packbits(spread.astype(np.uint8).reshape(blocks, block * bits), axis=1, bitorder="little").tobytes()
         last = -(-(n - (blocks - 1) * block) * bits // 8) if blocks else 0
         body = body[: (blocks - 1) * step + last] if blocks else b""
     offsets = np.arange(blocks, dtype="<u8") * step

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import slices, texts_of
+from kinfolio.llm.common import columns_ddl, slices, texts_of
 from kinfolio.llm.hashing import SPACE_BYTES, buffers, shingle_hashes, span_hashes, word_spans
 from kinfolio.session import broadcast_if_small, cut
 
@@ -174,8 +174,8 @@ def predict(docs: DataFrame, model: Model, *keep: Column, text: str = "text", th
             out = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
             yield pa.record_batch([*(batch.column(c) for c in names), *out], names=[*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, score double, predicted int")
+    return source.mapInArrow(run, columns_ddl(source.schema.fields[:-1], "score double, predicted int"))
+
 
 
 def in_fold(doc_id: int, k: int) -> int:

@@ -22,49 +22,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfolio.llm.common import columns_ddl
+
 #: Buckets of the hashed n-grams, and the n-gram lengths.
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 
-#: The small labelled table: 1 is block. Invented examples of common unwanted and ordinary sites.
-LABELLED_URLS = [
-    (url, 1)
-    for url in """
-    http://free-bets.example.org/en/17 http://www.bets-online.example.com/live/2 https://best-bets.example.net/odds/88.html
-    https://free-casino.example.com/slots/1 http://casino-bonus.example.net/en/31 https://www.online-casino.example.org/de/5
-    http://cheap-pills.example.com/fr/7 https://buy-pills.example.org/shop/3 http://pills-store.example.net/en/90?page=2
-    https://viagra-shop.example.com/en/12 http://cheap-meds.example.net/es/4 https://pharmacy-deals.example.org/pills/8
-    http://ads-track.example.net/en/25 https://track-ads.example.com/click/77 http://ads-server.example.org/banner/6.html
-    https://ad-click.example.com/en/61 http://pixel-track.example.net/t/9 https://www.tracker-ads.example.org/fr/3
-    http://porn-tube.example.com/en/41 https://xxx-videos.example.net/de/19 http://adult-cams.example.org/live/2
-    https://sexy-dating.example.com/en/14 http://hot-singles.example.net/es/71 https://free-porn.example.org/fr/23
-    http://warez-crack.example.com/dl/5 https://keygen-crack.example.net/en/8 http://torrent-warez.example.org/get/44
-    https://free-money.example.com/win/1 http://win-prize.example.net/en/66 https://lottery-win.example.org/de/37
-    http://payday-loans.example.com/en/51 https://quick-loans.example.net/apply/9 http://cheap-loans.example.org/es/16
-    https://poker-bets.example.com/en/73 http://slots-poker.example.net/fr/28 https://jackpot-slots.example.org/en/2
-    https://cheap-watches.example.com/replica/4 http://replica-bags.example.net/en/85 https://seo-links.example.org/buy/6
-    http://malware-download.example.com/exe/3 https://phishing-login.example.net/en/1 http://spam-mail.example.org/de/10
-    http://link-farm.example.net/en/36 https://content-farm.example.com/de/47 http://spam-blog.example.net/es/52
-    """.split()
-] + [
-    (url, 0)
-    for url in """
-    http://www.library.example.org/en/17 https://blog.garden.example.com/2020/5 http://news.city.example.net/de/81.html
-    https://school.example.org/courses/3 http://m.weather.example.com/fr/9 https://www.museum.example.net/es/44?page=2
-    https://docs.python.example.org/en/5 http://wiki.history.example.com/en/612 https://science.example.net/en/33
-    http://blog.kitchen.example.org/recipes/7 https://www.theatre.example.com/en/70 http://music.example.net/de/12
-    https://m.sports.example.org/en/48 http://www.travel.example.com/es/55 https://maps.example.net/en/6.html
-    http://garden-tools.example.com/en/29 https://town-hall.example.org/fr/18 http://bird-watching.example.net/en/91
-    https://m.thother.example.com/en/205 http://www.therand.example.org/en/317 https://ndtion.example.net/de/4021
-    http://blog.erthin.example.com/es/733 https://thanre.example.org/fr/1502 http://m.onther.example.net/en/88?utm_source=feed
-    https://www.heresh.example.com/de/6120.html http://stedou.example.org/en/75#top https://blog.ingres.example.net/es/3319
-    http://entith.example.com/fr/41?page=2 https://m.atorha.example.org/en/2750 http://www.leaner.example.net/en/980
-    https://university.example.org/research/14 http://www.hospital.example.com/en/2 https://parliament.example.net/debates/8
-    http://open-data.example.org/en/22 https://blog.two-rivers.example.com/en/15 http://m.radio.example.net/fr/64
-    https://www.bakery.example.org/de/27 http://trains.example.com/timetable/5 https://forum.example.net/en/1034
-    http://blog.mountain.example.com/es/81 https://astronomy.example.org/en/59 http://www.gallery.example.net/en/140.html
-    """.split()
-]
+#: Invented site names of unwanted and of ordinary kinds, from which the small labelled table is made.
+UNWANTED = """
+free-bets bets-online best-bets live-bets free-casino casino-bonus online-casino casino-slots cheap-pills buy-pills pills-store
+diet-pills cheap-meds viagra-shop pharmacy-deals ads-track track-ads ads-server ad-click pixel-track tracker-ads porn-tube free-porn
+xxx-videos adult-cams adult-videos sexy-dating hot-singles warez-crack keygen-crack torrent-warez free-money win-prize lottery-win
+big-win payday-loans quick-loans cheap-loans poker-bets slots-poker jackpot-slots cheap-watches replica-watches replica-bags
+seo-links buy-links link-farm content-farm spam-farm spam-blog spam-mail malware-download phishing-login free-download
+""".split()
+ORDINARY = """
+library garden city-news school weather museum docs history science kitchen theatre music sports travel maps garden-tools town-hall
+bird-watching university hospital parliament open-data two-rivers radio bakery trains forum mountain astronomy gallery thother therand
+ndtion erthin thanre onther heresh stedou ingres entith atorha leaner nature-park book-club river-walk farm-shop adult-education
+win-museum ad-hoc track-field farmers-market money-history free-library live-music login
+""".split()
+
+
+def labelled_urls(unwanted: list[str] = UNWANTED, ordinary: list[str] = ORDINARY) -> list[tuple[str, int]]:
+    """(URL, label) rows, 1 for block: each site under each domain, with subdomains and paths alike in both classes."""
+    rows = []
+    for label, sites in ((1, unwanted), (0, ordinary)):
+        for i, site in enumerate(sites):
+            for j, domain in enumerate(("com", "net", "org")):
+                prefix = ("", "www.", "blog.", "m.")[(i + j) % 4]
+                path = ("en", "de", "fr", "es")[(i + 2 * j) % 4]
+                end = ("", ".html", "/", "?page=2")[(i // 4 + j) % 4]
+                rows.append((f"http://{prefix}{site}.example.{domain}/{path}/{i * 37 + j}{end}", label))
+    return rows
+
 
 #: The contract's rules: (pattern of host and path prefix, verdict).
 RULES = [
@@ -130,8 +121,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(labelled: list[tuple[str, int]] = LABELLED_URLS, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> Model:
+def fit(labelled: list[tuple[str, int]] | None = None, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> Model:
     """Logistic regression by full-batch gradient descent over the small labelled table."""
+    labelled = labelled_urls() if labelled is None else labelled
     rows = [grams(*split_url(u)) for u, _ in labelled]
     y = np.array([label for _, label in labelled], dtype=float)
     weights, bias = np.zeros(BUCKETS), 0.0
@@ -148,7 +140,7 @@ def fit(labelled: list[tuple[str, int]] = LABELLED_URLS, rounds: int = 400, rate
     return Model(weights, float(bias))
 
 
-def judge(pages: DataFrame, *keep: Column, url: str = "url", rules: list[tuple[str, str]] = RULES, labelled: list[tuple[str, int]] = LABELLED_URLS, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, *keep: Column, url: str = "url", rules: list[tuple[str, str]] = RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """The ``keep`` columns with ``host``, ``path``, ``rule``, ``verdict`` and ``block_score`` of every row."""
     shared = pages.sparkSession.sparkContext.broadcast(fit(labelled))
     source = pages.select(*keep, F.col(url).alias("_url"))
@@ -165,5 +157,5 @@ def judge(pages: DataFrame, *keep: Column, url: str = "url", rules: list[tuple[s
             out = [batch.column(c) for c in (*names, "host", "path", "rule")]
             yield pa.record_batch([*out, pa.array(verdicts, pa.string()), pa.array(score, pa.float64())], names=[*names, "host", "path", "rule", "verdict", "block_score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return ruled.mapInArrow(run, f"{kept}, host string, path string, rule string, verdict string, block_score double")
+    schema = columns_ddl(source.schema.fields[:-1], "host string, path string, rule string, verdict string, block_score double")
+    return ruled.mapInArrow(run, schema)
