@@ -31,9 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a small frame reliably, ending its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a frame, ending its lineage and its size estimates.
+
+    A written table rather than checkpoint(): a checkpointed plan keeps the estimates of
+    the plan it came from, and these grow without bound where loops join their own results.
+    """
+    return scratch_table(df, "cut")
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
