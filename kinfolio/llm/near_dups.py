@@ -8,8 +8,8 @@
 3. Classes that share a key meet in buckets. Small buckets give all their pairs; large
    ones only pairs with a leader. Pairs within the signature distance are candidates.
 4. Candidates are confirmed on the full shingle sets, best first, and only where both
-   sides aren't connected yet. Large buckets go on with further leaders until their
-   members are connected or each pair of them has been looked at.
+   sides aren't connected yet. Large buckets, those with one leader as one, go on with
+   further leaders until their members are connected or each pair has been looked at.
 
 So groups of many copies need few comparisons, and no pair is left out for its bucket's
 size. A pair at the similarity threshold itself exceeds the signature distance with a
@@ -45,7 +45,9 @@ MAX_DISTANCE = 37
 #: Buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 24
 #: Leaders that a large bucket compares with its members in one round.
-LEADERS = 256
+LEADERS = 1000
+#: Candidates confirmed at a time: one a class, the best of each pair of components, and then all.
+SHARES = (1, 16, None)
 
 _PLANES = 16
 
@@ -145,26 +147,29 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.col("ca") != F.col("cb"))
 
 
-def _connect(cand: DataFrame, texts: DataFrame, edges: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Confirm candidates until each is linked, refused, or within one component: edges and labels."""
-    labels = cut(components(edges))
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining the components ``ca`` and ``cb`` of each link; only these are walked through."""
+    merged = cut(components(links, "ca", "cb").withColumnsRenamed({"node": "was", "comp": "now"}))
+    moved = labels.join(merged, F.col("comp") == F.col("was"), "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    fresh = merged.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("comp"))
+    return cut(moved.unionByName(fresh))
+
+
+def _connect(cand: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+    """Labels after confirming candidates until each is linked, refused, or within one component."""
     open_ = cand
-    share = 1
-    while True:
+    for share in SHARES:
         open_ = cut(_labelled(open_.select("a", "b", "dist"), labels))
         if open_.isEmpty():
-            return edges, labels
-        best = W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("dist", "a", "b")
-        ranked = open_.withColumn("rank", F.row_number().over(best))
-        if share == 1:  # one partner for each class, so that stars form first
-            first = W.partitionBy("b").orderBy("dist", "a")
-            ranked = open_.withColumn("rank", F.row_number().over(first))
-        chosen = cut(ranked.where(F.col("rank") <= share).select("a", "b"))
-        linked = cut(confirm(chosen, texts, shingle))
+            return labels
+        # First one partner for each class, so that stars form; then the best of each pair of components.
+        best = W.partitionBy("b") if share == 1 else W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb"))
+        ranked = open_.withColumn("rank", F.row_number().over(best.orderBy("dist", "a", "b")))
+        chosen = open_ if share is None else cut(ranked.where(F.col("rank") <= share).drop("rank"))
+        linked = confirm(chosen, texts, shingle).join(chosen, ["a", "b"]).select("ca", "cb")
+        labels = _joined(labels, linked)
         open_ = open_.join(chosen, ["a", "b"], "left_anti")
-        edges = cut(edges.unionByName(linked))
-        labels = cut(components(edges))
-        share *= 8
+    return labels
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -186,7 +191,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     pairs = pairs.unionByName(large.select(*_ordered(F.col("cid"), F.col("leader"))))
     cand = scratch_table(candidates(pairs, classes), "candidates")
 
-    crowded = members.where(F.col("size") > SMALL_BUCKET).select("key", "cid", (F.col("cid") == F.col("leader")).alias("done"))
+    # Large buckets with one leader go on as one: their members meet many times over in them.
+    crowded = members.where(F.col("size") > SMALL_BUCKET).select(F.col("leader").alias("key"), "cid").distinct()
+    crowded = crowded.withColumn("done", F.col("cid") == F.col("key"))
     crowded = cut(crowded.join(classes.select("cid", "n", "planes"), "cid"))
     used = cand.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(crowded.select("cid")).distinct()
     used = cut(classes.join(used, "cid", "left_semi").select("cid", F.col("rep").alias("doc"), "part"))
@@ -195,14 +202,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     found = source.join(hinted, F.col("d").eqNullSafe(F.col("doc")) & (F.col("p") == F.col("part"))).select("cid", "text")
     texts = scratch_table(found.dropDuplicates(["cid"]), "texts")
 
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    edges, labels = _connect(cand, texts, none, shingle)
+    labels = docs.sparkSession.createDataFrame([], "node long, comp long")
+    labels = _connect(cand, texts, labels, shingle)
     while True:
         round_ = _leaders(crowded, labels)
         if round_ is None:
             break
         fresh, crowded = round_
-        edges, labels = _connect(fresh, texts, edges, shingle)
+        labels = _connect(fresh, texts, labels, shingle)
 
     comps = classes.select("cid", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left")
     comps = comps.withColumn("comp", F.coalesce("comp", "cid"))
