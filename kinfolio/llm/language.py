@@ -123,7 +123,7 @@ def build(rows: list[tuple[str, int, int, int, int]], dimensions: int = DIMENSIO
     np.add.at(counts, ([languages.index(r[0]) for r in rows], row), [r[4] for r in rows])
     vectors = letter_vectors(ALPHABET, dimensions, seed)
     a, b, c = codes // ALPHABET**2, codes // ALPHABET % ALPHABET, codes % ALPHABET
-    blocks = [slice(i, i + 2048) for i in range(0, len(codes), 2048)]
+    blocks = [slice(i, i + 256) for i in range(0, len(codes), 256)]
     prototypes = sum(counts[:, s] @ bind(vectors, a[s], b[s], c[s]).astype(float) for s in blocks)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
     dots = np.concatenate([bind(vectors, a[s], b[s], c[s]).astype(float) @ prototypes.T for s in blocks])
