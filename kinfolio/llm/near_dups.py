@@ -32,24 +32,24 @@ from pyspark.sql import functions as F
 
 from kinfolio.llm.common import slices, texts_of
 from kinfolio.llm.components import components
-from kinfolio.llm.signatures import SHINGLE, chunk_keys, planes, set_digests, shingle_sets, signatures
+from kinfolio.llm.signatures import SHINGLE, SLOTS, chunk_keys, planes, set_digests, shingle_sets, signatures
 from kinfolio.session import broadcast_if_small, cut, scratch_table
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Chunks of the indexed 64 slots; pairs with up to 2 * CHUNKS - 1 differing slots are found.
 CHUNKS = 12
-#: Most differing slots of all 128: at similarity 0.85 the mean is 19.2 and the standard
-#: deviation 4.04, so this is over four deviations above it.
-MAX_DISTANCE = 37
+#: Most differing slots of all 256: at similarity 0.85 the mean is 38.4 and the standard
+#: deviation 5.71, so this is over four deviations above it.
+MAX_DISTANCE = 63
 #: Buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 24
 #: Leaders that a large bucket compares with its members in one round.
 LEADERS = 1000
-#: Candidates confirmed at a time: one a class, the best of each pair of components, and then all.
-SHARES = (1, 16, None)
+#: Candidates confirmed at a time: the best one of each class, and then all that still join two components.
+SHARES = (1, None)
 
-_PLANES = 16
+_PLANES = SLOTS // 8
 
 
 def describe(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
@@ -91,7 +91,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 def distance(a: str, b: str) -> Column:
     """Slots in which two signatures differ, from their bit planes."""
     total = None
-    for at in (0, 8):
+    for at in range(0, _PLANES, 8):
         differs = None
         for i in range(at, at + 8):
             x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
@@ -162,13 +162,13 @@ def _connect(cand: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int)
         open_ = cut(_labelled(open_.select("a", "b", "dist"), labels))
         if open_.isEmpty():
             return labels
-        # First one partner for each class, so that stars form; then the best of each pair of components.
-        best = W.partitionBy("b") if share == 1 else W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb"))
-        ranked = open_.withColumn("rank", F.row_number().over(best.orderBy("dist", "a", "b")))
+        # First the closest partner of each class, so that stars form.
+        ranked = open_.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy("dist", "a")))
         chosen = open_ if share is None else cut(ranked.where(F.col("rank") <= share).drop("rank"))
         linked = confirm(chosen, texts, shingle).join(chosen, ["a", "b"]).select("ca", "cb")
         labels = _joined(labels, linked)
-        open_ = open_.join(chosen, ["a", "b"], "left_anti")
+        if share is not None:
+            open_ = ranked.where(F.col("rank") > share)
     return labels
 
 

@@ -12,7 +12,7 @@ from kinfolio.llm.hashing import mix, shingle_hashes, word_hashes
 #: Words in a shingle.
 SHINGLE = 3
 #: Slots of a signature and bits kept of each.
-SLOTS, SLOT_BITS = 128, 16
+SLOTS, SLOT_BITS = 256, 16
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, size=SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

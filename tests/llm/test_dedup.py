@@ -79,7 +79,7 @@ def test_chunk_keys_find_all_within_the_distance():
         b[i, at] ^= 1
     assert all(set(x) & set(y) for x, y in zip(chunk_keys(a, near_dups.CHUNKS), chunk_keys(b, near_dups.CHUNKS), strict=True))
     x, y = planes(a).view(np.uint64), planes(b).view(np.uint64)
-    count = sum(np.bitwise_count(np.bitwise_or.reduce(x[:, k : k + 8] ^ y[:, k : k + 8], axis=1)) for k in (0, 8))
+    count = sum(np.bitwise_count(np.bitwise_or.reduce(x[:, k : k + 8] ^ y[:, k : k + 8], axis=1)) for k in range(0, SLOTS // 8, 8))
     assert (count == ((a ^ b) & 255 > 0).sum(axis=1)).all()
 
 
