@@ -29,9 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("cosine") >= MIN_COSINE)).select(COLUMNS)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = near_dups.SHINGLE, percent: int = near_dups.PERCENT) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
-    gone = near_dups.link(docs).where(~F.col("doc").eqNullSafe(F.col("component_id"))).select("doc", "part").distinct()
+    gone = near_dups.link(docs, shingle=shingle, percent=percent).where(~F.col("doc").eqNullSafe(F.col("component_id"))).select("doc", "part").distinct()
     return _without(docs, gone)
 
 

@@ -23,6 +23,7 @@ larger than all others. An empty table gives an empty result. Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,29 @@ from kinfolio.session import broadcast_if_small, cut, scratch_table
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Chunks of the indexed 64 slots; pairs with up to 2 * CHUNKS - 1 differing slots are found.
-CHUNKS = 12
-#: Most differing slots of all 256: at similarity 0.85 the mean is 38.4 and the standard
-#: deviation 5.71, so this is over four deviations above it.
-MAX_DISTANCE = 63
+#: Slots of a signature that are indexed.
+INDEXED = 64
+
+
+def limits(percent: int) -> tuple[int, int]:
+    """Chunks of the indexed slots, and most differing slots of all, for links at ``percent``.
+
+    Pairs with up to 2 * chunks - 1 differing indexed slots are found. A pair at the
+    similarity itself has more with a probability of at most 1e-5, and more than the
+    distance of all slots with one of at most 2.5e-5 (binomials).
+    """
+
+    def beyond(slots: int, d: int) -> float:
+        p = 1 - percent / 100
+        return sum(comb(slots, k) * p**k * (1 - p) ** (slots - k) for k in range(d + 1, slots + 1))
+
+    chunks = next(c for c in range(1, INDEXED + 1) if beyond(INDEXED, 2 * c - 1) <= 1e-5)
+    return chunks, next(d for d in range(SLOTS + 1) if beyond(SLOTS, d) <= 2.5e-5)
+
+
+#: 12 chunks, so up to 23 of the indexed slots, and 63 of all: at similarity 0.85 the mean
+#: is 38.4 and the standard deviation 5.71, so this is over four deviations above it.
+CHUNKS, MAX_DISTANCE = limits(PERCENT)
 #: Buckets up to this size give all their pairs at once.
 SMALL_BUCKET = 24
 #: Leaders that a large bucket compares with its members in one round.
@@ -74,13 +93,13 @@ def describe(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> Da
     return source.mapInArrow(run, "doc long, part long, n long, digest binary, sig binary, planes array<long>")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint16).reshape(part.num_rows, -1)
-                keys = chunk_keys(sig, CHUNKS)
+                keys = chunk_keys(sig, chunks, INDEXED)
                 cid = np.repeat(part.column("cid").to_numpy(), keys.shape[1])
                 rep = part.column("rep").take(pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1])))
                 yield pa.record_batch([pa.array(keys.ravel()), pa.array(cid), rep], names=["key", "cid", "rep"])
@@ -100,16 +119,16 @@ def distance(a: str, b: str) -> Column:
     return total
 
 
-def _sizes_fit(a: str, b: str) -> Column:
+def _sizes_fit(a: str, b: str, percent: int = PERCENT) -> Column:
     """Whether two set sizes allow the similarity at all."""
-    return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
+    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
 
-def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def candidates(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a, b, dist`` of distinct pairs (a < b) within the size and signature limits."""
     side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("planes").alias(f"p_{s}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_sizes_fit("n_a", "n_b"))
-    return both.select("a", "b", distance("p_a", "p_b").alias("dist")).where(F.col("dist") <= MAX_DISTANCE)
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_sizes_fit("n_a", "n_b", percent))
+    return both.select("a", "b", distance("p_a", "p_b").alias("dist")).where(F.col("dist") <= limits(percent)[1])
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -155,7 +174,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(fresh))
 
 
-def _connect(cand: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+def _connect(cand: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Labels after confirming candidates until each is linked, refused, or within one component."""
     open_ = cand
     for share in SHARES:
@@ -165,22 +184,22 @@ def _connect(cand: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int)
         # First the closest partner of each class, so that stars form.
         ranked = open_.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy("dist", "a")))
         chosen = open_ if share is None else cut(ranked.where(F.col("rank") <= share).drop("rank"))
-        linked = confirm(chosen, texts, shingle).join(chosen, ["a", "b"]).select("ca", "cb")
+        linked = confirm(chosen, texts, shingle, percent).join(chosen, ["a", "b"]).select("ca", "cb")
         labels = _joined(labels, linked)
         if share is not None:
             open_ = ranked.where(F.col("rank") > share)
     return labels
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc, part, n_shingles, component_id`` of every document."""
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc, part, n_shingles, component_id`` of every document; links from ``percent`` of equal shingles on."""
     described = scratch_table(describe(docs, key, text, shingle), "described")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "part", "n", "sig", "planes")).alias("x")
     grouped = described.where("n > 0").groupBy("digest").agg(first)
     grouped = grouped.select("digest", F.col("x.doc").alias("rep"), "x.part", "x.n", "x.sig", "x.planes")
     classes = scratch_table(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    keys = _keys(classes)
+    keys = _keys(classes, limits(percent)[0])
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "cid")).alias("top")).where("size > 1")
     members = keys.join(buckets, "key").select("key", "cid", "size", F.col("top.cid").alias("leader"))
     members = scratch_table(members, "buckets")
@@ -189,7 +208,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     pairs = few.join(other, "key").where("cid < cid2").select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
     large = members.where((F.col("size") > SMALL_BUCKET) & (F.col("cid") != F.col("leader")))
     pairs = pairs.unionByName(large.select(*_ordered(F.col("cid"), F.col("leader"))))
-    cand = scratch_table(candidates(pairs, classes), "candidates")
+    cand = scratch_table(candidates(pairs, classes, percent), "candidates")
 
     # Large buckets with one leader go on as one: their members meet many times over in them.
     crowded = members.where(F.col("size") > SMALL_BUCKET).select(F.col("leader").alias("key"), "cid").distinct()
@@ -203,13 +222,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     texts = scratch_table(found.dropDuplicates(["cid"]), "texts")
 
     labels = docs.sparkSession.createDataFrame([], "node long, comp long")
-    labels = _connect(cand, texts, labels, shingle)
+    labels = _connect(cand, texts, labels, shingle, percent)
     while True:
-        round_ = _leaders(crowded, labels)
+        round_ = _leaders(crowded, labels, percent)
         if round_ is None:
             break
         fresh, crowded = round_
-        labels = _connect(fresh, texts, labels, shingle)
+        labels = _connect(fresh, texts, labels, shingle, percent)
 
     comps = classes.select("cid", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left")
     comps = comps.withColumn("comp", F.coalesce("comp", "cid"))
@@ -221,7 +240,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     )
 
 
-def _leaders(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+def _leaders(crowded: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
     """Next candidates of the large buckets that hold several components, and what is left of the buckets.
 
     A leader is compared with all members not done yet; then it is done in its bucket.
@@ -237,7 +256,7 @@ def _leaders(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
     order = W.partitionBy("key").orderBy("many", "comp", "cid")
     led = left.join(crowd, ["key", "comp"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
     led = cut(led.select("key", F.col("cid").alias("lead"), F.col("n").alias("n_l"), F.col("planes").alias("p_l"), F.col("comp").alias("comp_l")))
-    fit = (F.col("comp") != F.col("comp_l")) & _sizes_fit("n", "n_l") & (distance("planes", "p_l") <= MAX_DISTANCE)
+    fit = (F.col("comp") != F.col("comp_l")) & _sizes_fit("n", "n_l", percent) & (distance("planes", "p_l") <= limits(percent)[1])
     met = left.join(broadcast_if_small(led, 20_000), "key").where(fit)
     fresh = met.select(*_ordered(F.col("cid"), F.col("lead")), distance("planes", "p_l").alias("dist")).distinct()
     done = led.select("key", F.col("lead").alias("cid"))

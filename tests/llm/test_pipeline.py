@@ -2,12 +2,13 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline as P
-from kinfolio.llm import language
+from kinfolio.llm import language, near_dups
 from kinfolio.llm.queries import ORACLE_SQL, QUERIES
 
 from .test_dedup import brute_near, brute_substring
@@ -65,3 +66,25 @@ def test_sql(spark, name):
     names = [d[0] for d in found.description]
     want = sorted(str([dict(zip(names, r, strict=True))[c] for c in cols]) for r in found.fetchall())
     assert sorted(str([r[c] for c in cols]) for r in got.collect()) == want
+
+
+def test_near_dedup_with_five_words_and_80_percent(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(30):  # copies with 15 to 40 % more words: five-word similarities of 0.7 to 0.87
+        base = words(100)
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base + words(15 + g % 26)))]
+        rows.append((10 * g + 2, " ".join(w if i % 34 else f"x{g}" for i, w in enumerate(base))))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.near_dedup(spark, docs, SF, shingle=5, percent=80).collect()}
+    assert kept == set(root.values()) and 30 < len(kept) < 90
+    assert kept != {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()}
+    assert near_dups.limits(85) == (12, 63) and near_dups.limits(80) == (15, 79)
