@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kinfolio.llm import bpe, decontaminate, language, near_dups, substring_dedup
 from kinfolio.llm.common import crc_mod, table
 from kinfolio.llm.queries import tokenizer_path
-from kinfolio.session import scratch_table
+from kinfolio.session import cut, scratch_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Cosine with the nearest language prototype below which a document is rejected, as
@@ -30,9 +30,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = near_dups.SHINGLE, percent: int = near_dups.PERCENT) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    gone = near_dups.link(docs, shingle=shingle, percent=percent).where(~F.col("doc").eqNullSafe(F.col("component_id"))).select("doc", "part").distinct()
-    return _without(docs, gone)
+    """Keeps one document of each group of near-duplicates: the smallest id, with repeated rows once."""
+    linked = near_dups.link(docs, shingle=shingle, percent=percent).where("n_shingles > 0")
+    first = F.col("doc").eqNullSafe(F.col("component_id")) & (F.col("part") == F.col("component_part"))
+    rows = scratch_table(linked.groupBy("doc", "part", first.alias("first")).agg(F.count("*").alias("n")), "linked")
+    kept = _without(docs, rows.where("not first").select("doc", "part"))
+    again = cut(rows.where("first and n > 1").select("doc", "part"))
+    if again.isEmpty():
+        return kept
+    # Rows that repeat the id and text of their group's first document: the least of them stays.
+    marked = kept.withColumn("_part", F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(again["doc"]) & (marked["_part"] == again["part"])
+    once = marked.join(again, same, "left_semi").groupBy("doc_id", "_part").agg(F.min(F.struct(*COLUMNS)).alias("x"))
+    return _without(kept, again).unionByName(once.select("x.*"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +57,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that aren't contaminated by a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("doc")).distinct())
+    found = decontaminate.judged(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("doc"), "part").distinct())
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +67,9 @@ def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents that aren't among ``gone`` (by id, and by the text's hash if it has ``part``)."""
+    """Documents that aren't among ``gone``, by id and the text's hash."""
     rows = docs.withColumn("_part", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(gone["doc"])
-    if "part" in gone.columns:
-        same = same & (rows["_part"] == gone["part"])
+    same = rows["doc_id"].eqNullSafe(gone["doc"]) & (rows["_part"] == gone["part"])
     return rows.join(gone, same, "left_anti").select(COLUMNS)
 
 

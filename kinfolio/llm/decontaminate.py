@@ -110,6 +110,11 @@ def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame, window: int
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
     """``key, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
+    return judged(docs, benchmark, key, text, item_key, window).drop("part")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """``contamination`` with ``part``, the hash of the text that the verdict is of."""
     source = _documents(docs, key, text)
     items = item_words(benchmark, item_key)
     vocabulary = cut(items.select(F.explode("w").alias("term")).distinct())
@@ -135,6 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "part",
     )
 
 

@@ -192,7 +192,11 @@ def _connect(cand: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int,
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc, part, n_shingles, component_id`` of every document; links from ``percent`` of equal shingles on."""
+    """``doc, part, n_shingles, component_id, component_part`` of every document; links from ``percent`` of equal shingles on.
+
+    Id and part of a component are those of its first document, so they tell components
+    with equal ids apart.
+    """
     described = scratch_table(describe(docs, key, text, shingle), "described")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "part", "n", "sig", "planes")).alias("x")
     grouped = described.where("n > 0").groupBy("digest").agg(first)
@@ -230,14 +234,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         fresh, crowded = round_
         labels = _connect(fresh, texts, labels, shingle, percent)
 
-    comps = classes.select("cid", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left")
+    comps = classes.select("cid", "digest", "rep", F.col("part").alias("rep_part")).join(labels, F.col("cid") == F.col("node"), "left")
     comps = comps.withColumn("comp", F.coalesce("comp", "cid"))
-    smallest = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = comps.join(smallest, "comp").select("digest", "component_id")
+    smallest = comps.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_part")).alias("x"))
+    named = comps.join(smallest, "comp").select("digest", F.col("x.rep").alias("component_id"), F.col("x.rep_part").alias("component_part"))
     out = described.select("doc", "part", "n", "digest").join(named, "digest", "left")
     return out.select(
-        "doc", "part", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")
-    )
+        "doc", "part", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_part")).otherwise(F.col("part")).alias("component_part"),
+    )
 
 
 def _leaders(crowded: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:

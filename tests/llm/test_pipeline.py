@@ -88,3 +88,20 @@ def test_near_dedup_with_five_words_and_80_percent(spark):
     assert kept == set(root.values()) and 30 < len(kept) < 90
     assert kept != {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()}
     assert near_dups.limits(85) == (12, 63) and near_dups.limits(80) == (15, 79)
+
+
+def test_rows_with_equal_or_null_ids_are_judged_one_by_one(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", s, None) for d, t, s in rows], schema)
+    rows = [(1, text("a"), "x"), (1, text("a"), "y"), (1, text("b"), "x"), (1, text("a") + " z", "x"), (None, text("c"), "x"), (None, text("c"), "x")]
+    rows += [(None, text("c") + " z", "x"), (None, text("d"), "x"), (None, None, "x"), (None, None, "x"), (2, text("b"), "x"), (None, text("a"), "x")]
+    got = [(r.doc_id, r.text) for r in P.near_dedup(spark, frame(rows), SF).collect()]
+    first = {t: min((x for x in got if x[1] and x[1].removesuffix(" z") == t), default=None, key=str) for t in map(text, "abcd")}
+    assert len(got) == 6 and {d for d, t in got if t == text("b")} == {1} and got.count((None, None)) == 2
+    assert all(first.values()) and first[text("a")][0] == 1 and first[text("c")][0] is None
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, item, "x"), (1, text("a"), "x"), (None, item, "x"), (None, text("b"), "x"), (None, None, "x")]
+    left = [(r.doc_id, r.text) for r in P.decontamination(spark, frame(rows), SF).collect()]
+    assert sorted(left, key=str) == sorted([(1, text("a")), (None, text("b")), (None, None)], key=str)
