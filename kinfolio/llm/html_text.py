@@ -4,9 +4,12 @@ The standard library's parser streams events. Text between block-level tags form
 line, with the number of tags and the link text in it; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by
 their elements or the words of their class, id or role. The ratio of text to tags of
-each remaining line is smoothed with a Gaussian, two clusters are split by a threshold
-found by iteration, and the container that holds most of the dense cluster's text is
-the content region: all its lines are kept, so short paragraphs between long ones stay.
+each remaining line is smoothed with a Gaussian, and two clusters are split by a
+threshold found by iteration. The outermost article and main elements with dense lines
+are the content region, or, where these hold less than half of the dense text, the
+smallest container with all of it. All lines of the region are kept, so headings and
+short paragraphs stay; only where no element but the body holds the text are runs of
+link-only lines taken for menus.
 
 Character references are decoded, white space in a block becomes one space (``<br>``
 counts as white space), and blocks join with an empty line. A tag cut off by the end of
@@ -51,8 +54,8 @@ STRONG = frozenset("ad ads advert advertisement comment comments reply replies c
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Gaussian smoothing of the line ratios.
 SIGMA, RADIUS = 1.0, 2
-#: Share of the dense text that the content region holds at least.
-REGION_SHARE = 0.7
+#: Share of the dense text from which on articles are the content region.
+ARTICLE_SHARE = 0.5
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
@@ -76,6 +79,7 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, starts boilerplate, container
         self.parents = [-1]  # container -> its parent
+        self.kinds = [""]  # container -> its tag
         self.dropped = self.links = 0
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
@@ -106,6 +110,7 @@ class LineParser(HTMLParser):
         container = self.stack[-1][2] if self.stack else 0
         if tag in CONTAINERS:
             self.parents.append(container)
+            self.kinds.append(tag)
             container = len(self.parents) - 1
         drop = tag in DROPPED or bool(attrs) and hinted(tag, attrs)
         self.dropped += drop
@@ -182,19 +187,29 @@ def blocks(html: str) -> list[str]:
     weight = np.where(dense(ratios), size, 0.0)
     if not weight.sum():
         weight = np.array([len(t) for t, _, _, _ in lines], dtype=float)
+    at = np.array([c for _, _, _, c in lines])
     held = np.zeros(len(parser.parents))
-    np.add.at(held, [c for _, _, _, c in lines], weight)
+    np.add.at(held, at, weight)
+    top = np.zeros(len(held), dtype=int)  # the outermost article or main that a container is in
+    for c in range(1, len(held)):
+        top[c] = top[parser.parents[c]] or (c if parser.kinds[c] in ("article", "main") else 0)
+    if weight[top[at] > 0].sum() >= ARTICLE_SHARE * weight.sum():
+        chosen = np.unique(top[at[weight > 0]])
+        kept = (top[at] > 0) & np.isin(top[at], chosen)
+        return [t for (t, _, _, _), k in zip(lines, kept, strict=True) if k]
     for c in range(len(held) - 1, 0, -1):
         held[parser.parents[c]] += held[c]
-    # Down from the root to the smallest container that still holds most of the text.
+    # Down from the root to the smallest container that still holds all dense text.
     region = 0
     for c in range(1, len(held)):
-        if parser.parents[c] == region and held[c] >= REGION_SHARE * held[0]:
+        if parser.parents[c] == region and held[c] >= held[0]:
             region = c
     inside = np.zeros(len(held), dtype=bool)
     inside[region] = True
     for c in range(region + 1, len(held)):
         inside[c] = inside[parser.parents[c]]
+    if parser.kinds[region] not in ("", "body"):
+        return [t for t, _, _, c in lines if inside[c]]
     only_links = np.array([linked >= len(t) > 0 for t, _, linked, _ in lines])
     run = np.array([only_links[max(0, i - 2) : i + 1].sum() == 3 for i in range(len(lines))])
     menu = np.array([run[i : i + 3].any() and only_links[i] for i in range(len(lines))])

@@ -113,6 +113,22 @@ def test_html():
     assert html_text.blocks(PAGE) == ["Title & more", "First para é next line.", "Short.", "Bold", "Third paragraph with a link inside it.", "item one", "item two"]
 
 
+LONG = "Quite a long paragraph of the article that has many words and no links in it at all. "
+
+
+@pytest.mark.parametrize("page, text", [
+    # The lead, the end and a second section stay, though one child holds over 70 % of the text.
+    (f"<div>Menu</div><article><h1>Head</h1><p>Lead.</p><div class=body><p>{LONG * 3}</p><p>{LONG * 4}</p></div><p>{LONG}</p></article>", f"Head|Lead.|{LONG * 3}|{LONG * 4}|{LONG}"),
+    (f"<body><article><section><h2>A</h2><p>{LONG * 8}</p></section><section><h2>B</h2><p>{LONG}</p></section></article></body>", f"A|{LONG * 8}|B|{LONG}"),
+    # A list of sources in the article.
+    (f"<article><p>{LONG * 3}</p><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></article><p>Outside</p>", f"{LONG * 3}|One|Two|Three"),
+    # Without an article: all dense text, and menus of the body go.
+    (f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><div><p>{LONG * 8}</p></div><div><p>{LONG * 2}</p></div></body>", f"{LONG * 8}|{LONG * 2}"),
+])
+def test_html_keeps_the_whole_article(page, text):
+    assert html_text.blocks(page) == [t.strip() for t in text.split("|")]
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain &lt;b&gt; text", "plain <b> text"), ("<nav>x</nav>", ""), ("<article><p>cut off here</p><p>and he</", "cut off here\n\nand he"), ("<p>" + "long " * 50000, ("long " * 50000).strip())])
 def test_html_edges(page, text):
     assert html_text.main_text(page) == text
