@@ -7,9 +7,10 @@ from a median and MAD start: distances under the current mean and covariance, th
 nearest three quarters of the group, their mean and covariance, and so on. Documents
 beyond the Mahalanobis cutoff are rejected.
 
-Groups with fewer than ``MIN_GROUP`` documents pool with those of their language, then
-with all the rest; a pool still smaller gives no verdict and keeps its documents. A null
-language or source is a group of its own. A null or empty text has no words and fails
+Documents of groups with fewer than ``MIN_GROUP`` documents are judged by the estimates
+of all documents of their language or, if those are fewer too, of the whole table,
+however small; the floors keep its covariance regular. So every document that passes the
+base rule has a distance. A null language or source is a group of its own. A null or empty text has no words and fails
 the base rule. Repeated rows count as often as they occur; an empty table gives an
 empty result. Extra columns are not read.
 """
@@ -30,6 +31,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Documents a group needs for estimates of its own.
 MIN_GROUP = 200
+#: The pool of all documents.
+ALL = "2:*"
 #: Share of a group that a concentration step keeps, and the number of steps.
 COVERAGE, STEPS = 0.75, 4
 #: Makes the covariance of the nearest 75 % consistent for 4 normal statistics:
@@ -105,17 +108,26 @@ def _cov(a: str, b: str) -> str:
 
 
 def assign_groups(rows: DataFrame, lang: str = "lang", source: str = "source", least: int = MIN_GROUP) -> DataFrame:
-    """Adds ``grp``: the (language, source) group, or the pool that takes a small one."""
-    for level, key in enumerate((F.to_json(F.struct(lang, source)), F.to_json(F.struct(lang)), F.lit("*"))):
-        open_ = F.col("grp").isNull() if level else F.lit(True)
-        mine = F.when(open_, key)
-        rows = rows.withColumn("_key", mine)
-        counts = rows.groupBy("_key").count().where(F.col("_key").isNotNull() & (F.col("count") >= least))
-        counts = broadcast_if_small(cut(counts.select("_key", F.lit(True).alias("_enough"))))
-        chosen = F.when(F.col("_enough"), F.concat(F.lit(f"{level}:"), F.col("_key")))
-        chosen = F.coalesce(F.col("grp"), chosen) if level else chosen
-        rows = rows.join(counts, "_key", "left").withColumn("grp", chosen).drop("_key", "_enough")
-    return rows
+    """Adds ``grp``, the pool that judges a row: its (language, source) group, its language or, where both are small, the table.
+
+    ``pools`` lists all pools that the row is counted in.
+    """
+    keys = [F.concat(F.lit(f"{level}:"), F.to_json(F.struct(*by))) for level, by in enumerate(((lang, source), (lang,)))]
+    chosen = F.lit(ALL)
+    for level, key in reversed(list(enumerate(keys))):
+        rows = rows.withColumn(f"_key{level}", key)
+        counts = rows.groupBy(f"_key{level}").count().where(F.col("count") >= least)
+        counts = broadcast_if_small(cut(counts.select(f"_key{level}", F.lit(True).alias(f"_enough{level}"))))
+        rows = rows.join(counts, f"_key{level}", "left")
+        chosen = F.when(F.col(f"_enough{level}"), F.col(f"_key{level}")).otherwise(chosen)
+    pools = F.array("_key0", "_key1", F.lit(ALL))
+    return rows.withColumns({"grp": chosen, "pools": pools}).drop("_key0", "_key1", "_enough0", "_enough1")
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """The statistics of every row once for each pool it is counted in, for the pools that judge a row."""
+    used = broadcast_if_small(cut(rows.select("grp").distinct()))
+    return rows.select(*FLOORS, F.explode("pools").alias("grp")).join(used, "grp", "left_semi")
 
 
 def _with_inverse(stats: DataFrame) -> DataFrame:
@@ -159,7 +171,7 @@ def _estimates(sums: DataFrame, factor: float) -> DataFrame:
 
 def estimates(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
     """Minimum-covariance-determinant estimates of each ``grp`` of ``rows`` (a materialised frame)."""
-    data = rows.where(F.col("grp").isNotNull())
+    data = rows
     quartile = lambda c, q: F.percentile_approx(c, q, 10000)
     centre = cut(data.groupBy("grp").agg(*(quartile(a, 0.5).alias(f"m_{a}") for a in FLOORS)))
     away = data.join(broadcast_if_small(centre), "grp")
@@ -184,14 +196,14 @@ def estimates(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -
 
 
 def apply(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """``key``, the base statistics, ``base_failed``, ``kept`` and ``distance`` (null without a verdict)."""
+    """``key``, the base statistics, ``base_failed``, ``kept`` and ``distance`` (null where the base rule fails)."""
     keep = [F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source")]
     rows = base_statistics(docs, *keep, text=text).withColumn("base_failed", base_failed()).withColumns(transformed())
     rows = scratch_table(rows, "quality-rules")
     passing = scratch_table(assign_groups(rows.where(~F.col("base_failed"))), "quality-groups")
-    known = broadcast_if_small(estimates(passing))
+    known = broadcast_if_small(estimates(scratch_table(pooled(passing), "quality-pools")))
     judged = passing.join(known, "grp", "left").withColumn("distance", F.greatest(distance(), F.lit(0.0)))
-    judged = judged.withColumn("kept", F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+    judged = judged.withColumn("kept", F.col("distance") <= cutoff)
     failed = rows.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     return judged.select(columns).unionByName(failed.select(columns)).withColumnRenamed("doc_id", key)

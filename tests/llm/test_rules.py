@@ -66,6 +66,17 @@ def test_junk_goes_and_clean_stays(spark):
     assert sum(not r.kept for r in rows if r.quality == 0) > 5
 
 
+@pytest.mark.parametrize("many", [40, 300])
+def test_small_groups_and_tables_are_judged(spark, many):
+    rng = np.random.default_rng(9)
+    clean = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(80))
+    junk = lambda: " ".join("#$%&|<>*" * 2 + str(rng.integers(10**9)) for _ in range(80))
+    rows = [(i, clean(), "en", "web") for i in range(many)] + [(1000, junk(), "en", "rare"), (1001, junk(), None, None), (1002, clean(), "en", "rare"), (1003, clean(), None, None)]
+    got = {r.doc_id: r for r in quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(not r.base_failed and r.distance is not None for r in got.values())
+    assert {d for d, r in got.items() if not r.kept} == {1000, 1001}
+
+
 def lower_words(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
