@@ -359,7 +359,7 @@ def build_clusters(items: DataFrame, k: int | None = None, least: int = 3, most:
         labels = cut(contiguous(hierarchical(features, min(least, n))))
     flat = centered_pca(rows.select("item_id", "x"), 3).select("item_id", *((F.col("z")[i] * 2.0).alias(c) for i, c in enumerate("xyz")))
     sized = flat.join(items.select("item_id", layout_size(F.col("stars")).alias("size")), "item_id")
-    placed = resolve_collisions(sized, rounds=3)
+    placed = resolve_collisions(sized)
     named = heuristic_names(items.drop("cluster_id").join(labels.where("cluster_id >= 0"), "item_id"))
     out = placed.join(labels, "item_id")
     centers = out.where("cluster_id >= 0").groupBy("cluster_id").agg(*(F.avg(c).alias(f"center_{c}") for c in "xyz"))

@@ -198,7 +198,7 @@ def _(s, d):
 def _(s, d):
     size = N.layout_size(F.col("stars"))
     nodes = items(s, d).select("item_id", *((F.col("embedding")[i].cast("double") * 8).alias(c) for i, c in enumerate("xyz")), size.alias("size"))
-    return C.resolve_collisions(nodes, rounds=4).select("item_id", *(F.round(c, 5).alias(c) for c in "xyz"))
+    return C.resolve_collisions(nodes).select("item_id", *(F.round(c, 5).alias(c) for c in "xyz"))
 
 
 @query(

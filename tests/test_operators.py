@@ -189,3 +189,18 @@ def test_embed_counts(spark):
     rows = spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "k long, t string")
     got = {r.k: r.embedding for r in embed(rows, "k", "t", lambda ts: [[1.0, 2.0] for _ in ts], 2).collect()}
     assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+
+
+@pytest.mark.parametrize("name", ["resolve_collisions", "build_clusters"])
+def test_layout_queries_run_until_no_nodes_overlap_or_all_rounds_are_over(spark, monkeypatch, name):
+    from __spark_entry__ import queries
+
+    seen = []
+
+    def noted(nodes, min_distance=0.35, rounds=100, strength=0.5):
+        seen.append(rounds)
+        return nodes.select("item_id", "x", "y", "z", "size")
+
+    monkeypatch.setattr(C, "resolve_collisions", noted)
+    queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [100]
