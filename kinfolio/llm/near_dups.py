@@ -3,8 +3,8 @@
 1. Each text gives its set of word shingles and a signature of b-bit minima. Texts with
    equal sets form a class at once; only classes go on.
 2. The first 64 slots of a signature are cut into chunks. By the pigeonhole principle,
-   signatures within the distance threshold have a chunk with at most one differing
-   slot; each chunk is keyed once with each slot masked, so such pairs share a key.
+   signatures with few enough differing slots there have a chunk with at most one
+   differing slot; each chunk is keyed once with each slot masked, so such pairs share a key.
 3. Classes that share a key meet in buckets. Small buckets give all their pairs; large
    ones only pairs with a leader. Pairs within the signature distance are candidates.
 4. Candidates are confirmed on the full shingle sets, best first, and only where both
@@ -12,8 +12,8 @@
    further leaders until their members are connected or each pair has been looked at.
 
 So groups of many copies need few comparisons, and no pair is left out for its bucket's
-size. A pair at the similarity threshold itself exceeds the signature distance with a
-probability of about 1e-5.
+size. A pair at the similarity threshold itself is missed with a probability of up to about
+3e-5: by the index of 64 slots, or by the distance of all slots.
 
 Texts without words, nulls and empty texts have an empty set and are linked with
 nothing. Equal ids are separate documents that share their id. A null id counts as
