@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at a time; bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -43,14 +45,14 @@ def columns_ddl(fields: list, more: str) -> str:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], *texts: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``limit`` bytes of text (one row at least)."""
+    """Cut record batches so that each holds about ``limit`` bytes of its text columns (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0)
-        ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = (pc.fill_null(pc.binary_length(batch.column(t)), 0) for t in texts)
+        ends = np.cumsum(sum(s.to_numpy(zero_copy_only=False).astype(np.int64) for s in sizes))
         at = 0
         while at < batch.num_rows:
             base = int(ends[at - 1]) if at else 0
@@ -59,6 +61,28 @@ def slices(
             at = stop
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function that gives freed memory back to the system when its partition ends.
+
+    Spark keeps Python workers for later tasks; what Arrow's pool and the allocator hold
+    unused would otherwise add up over the operators that a worker has served.
+    """
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return outer
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start+1, ... of every (start, length), one after another."""
     lengths = lengths.astype(np.int64)

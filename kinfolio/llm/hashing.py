@@ -12,6 +12,8 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+#: Powers kept per worker; longer slices compute the rest for themselves.
+KEPT_POWERS = 2 << 20
 
 SPACE_BYTES = np.zeros(256, dtype=bool)
 SPACE_BYTES[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,9 +32,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), np.uint64(base), dtype=np.uint64)
+        steps = np.full(max(n, KEPT_POWERS), np.uint64(base), dtype=np.uint64)
         steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        _powers[name] = have[:KEPT_POWERS].copy()
     return have[:n]
 
 

@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
         if name == "language_id":
             assert set(after) == {d for d, t in before} - {100001, 100002}
         if name == "near_dedup":
-            kept = {eval(x)[0] for x in brute_near(before) if eval(x)[3]}
+            kept = {eval(x)[0] for x in brute_near(before, k=5, percent=80) if eval(x)[3]}
             assert set(after) == kept
         if name == "substring_dedup":
             removed = {eval(x)[0]: eval(x)[2:0:-1] for x in brute_substring(before, 50)}
@@ -84,9 +84,9 @@ def test_near_dedup_with_five_words_and_80_percent(spark):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = {d: new if r == old else r for d, r in root.items()}
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in P.near_dedup(spark, docs, SF, shingle=5, percent=80).collect()}
+    kept = {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()}
     assert kept == set(root.values()) and 30 < len(kept) < 90
-    assert kept != {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()}
+    assert kept != {r.doc_id for r in P.near_dedup(spark, docs, SF, shingle=3, percent=85).collect()}
     assert near_dups.limits(85) == (12, 63) and near_dups.limits(80) == (15, 79)
 
 
