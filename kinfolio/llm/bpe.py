@@ -3,8 +3,8 @@
 The symbols of many distinct words lie in one flat array. A round looks every
 neighbouring pair up by binary search over the sorted pair keys, finds the lowest
 rank of each word, and merges that pair everywhere in its word; words without a
-mergeable pair leave the array. Each worker keeps a bounded cache of encoded units,
-so frequent words are merged once.
+mergeable pair leave the array. Each worker keeps a cache of encoded units, bounded in
+bytes, so frequent words are merged once. Texts of any length are encoded whole.
 
 Nulls encode as the empty text (no ids). Repeated rows give repeated results; other
 columns, whatever their names, are not read. An empty table gives an empty result.
@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import ragged, slices, texts_of
+from kinfolio.llm.common import ragged, slices, texts_of, tidy
 from kinfolio.llm.token_units import PATTERN, UnitCache, Vocabulary, encode_texts
 
-#: Words kept per worker before the word cache starts anew.
-CACHE_WORDS = 400_000
+#: Bytes that the cached words of a worker may take, about, besides its cached units.
+CACHE_WORDS_BYTES = 48 << 20
 
 _NONE = np.iinfo(np.int64).max
 
@@ -79,7 +79,7 @@ class BpeCodec:
         names = sorted(self.vocab.special, key=len, reverse=True)
         self.specials = names
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.words = UnitCache(self._merge, CACHE_WORDS)
+        self.words = UnitCache(self._merge, CACHE_WORDS_BYTES)
         self.units = UnitCache(self._encode_units)
 
     def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +101,13 @@ class BpeCodec:
                     pieces.extend(self.pattern.findall(part))
             counts[i] = len(pieces) - before
         distinct = list(dict.fromkeys(pieces))
-        at = dict(zip(distinct, self.words.lookup(distinct), strict=True))
+        flat, starts, lengths = self.words.lookup(distinct)
+        at = {w: i for i, w in enumerate(distinct)}
         where = np.fromiter(map(at.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        lengths = self.words.lengths[where].astype(np.int64)
+        lengths = lengths[where]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         stops = np.cumsum(counts)
-        return self.words.flat[ragged(self.words.starts[where], lengths)], ends[stops] - ends[stops - counts]
+        return flat[ragged(starts[where], lengths)], ends[stops] - ends[stops - counts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
@@ -136,7 +137,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(run), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -162,5 +163,5 @@ def encode_digests(docs: DataFrame, vocab_path: str, text: str = "text", key: st
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    out = source.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = source.mapInArrow(tidy(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kinfolio.llm import bpe, packed_ids
+from kinfolio.llm import bpe, packed_ids, token_units
 from kinfolio.llm.queries import tokenizer_path
 from kinfolio.llm.token_units import encode_texts
 
@@ -45,11 +45,41 @@ def test_library_encoder_equals_whole_texts(library):
 
 def test_cache_starts_anew(library):
     codec = bpe.BpeCodec(tokenizer_path())
-    codec.units.limit = codec.words.limit = 3
+    codec.units.limit = codec.words.limit = 300
     for text in ("one two three four five", "six seven one two", "eight one"):
         assert codec.encode(pa.array([text], pa.large_string()))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+WHITES = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\xa0", "\x85", "\u2028", "\u180e", "\x0b", "\x1c", "\u3000", "\x00", "<|endoftext|>", "\n \n"]
+
+
+@pytest.mark.parametrize("kind", [bpe.codec, packed_ids.encoder])
+def test_white_space_of_all_kinds(library, kind):
+    rnd = random.Random(7)
+    all_texts = ["".join(rnd.choice(WHITES) if rnd.random() < 0.6 else rnd.choice(["a", "The", "1", ".", "'s", "é", "!"]) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    c = kind(tokenizer_path())
+    ids, counts = encode_texts(pa.array(all_texts, pa.large_string()), c.units, c.specials)
+    for text, part in zip(all_texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert part.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("kind", [bpe.BpeCodec, packed_ids.LibraryEncoder])
+def test_paragraphs_are_cut_and_the_cache_is_bounded(library, kind):
+    """Documents with blank lines: no long text in the cache, and no more bytes than stated."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 12)))
+    docs = ["\n\n".join("  ".join(word() for _ in range(30)) for _ in range(8)) + rnd.choice(["", "\n\n", "x" * 5000]) for _ in range(150)]
+    c = kind(tokenizer_path())
+    c.units.limit = 200_000
+    for i in range(0, len(docs), 10):
+        ids, counts = encode_texts(pa.array(docs[i : i + 10], pa.large_string()), c.units, c.specials)
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in docs[i : i + 10]]
+        assert max(map(len, c.units.index), default=0) <= token_units.LONGEST_KEPT
+        step = sum(token_units.UNIT_BYTES + 5 * len(u) for t in docs[i : i + 10] for u in set(t.split()))
+        assert c.units.n_bytes <= c.units.limit + 2 * step
+
+
 def test_broken_bytes_decode_as_the_library_does(library):
     codec = bpe.BpeCodec(tokenizer_path())
     ids = library.encode("é漢🙂", add_special_tokens=False).ids
