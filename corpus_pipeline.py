@@ -20,6 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Cosine with the nearest language prototype below which a document is rejected, as
 #: one without letters is; ordinary text of a learned language lies far above.
 MIN_COSINE = 0.1
+#: Words in a shingle and percent of equal shingles from which on documents are near-duplicates.
+SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("cosine") >= MIN_COSINE)).select(COLUMNS)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = near_dups.SHINGLE, percent: int = near_dups.PERCENT) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the smallest id, with repeated rows once."""
     linked = near_dups.link(docs, shingle=shingle, percent=percent).where("n_shingles > 0")
     first = F.col("doc").eqNullSafe(F.col("component_id")) & (F.col("part") == F.col("component_part"))
