@@ -1,4 +1,9 @@
-"""Compressed FM-index over word sequences: wavelet matrix, backward search, matching statistics."""
+"""Compressed FM-index over word sequences: wavelet matrix, backward search, matching statistics.
+
+An index keeps bit vectors (the wavelet levels, and where groups of equal windows begin) and
+one number a symbol and a group. The suffix array is gone once it is built: whether and
+where a query matches is told in the query's own positions.
+"""
 
 from __future__ import annotations
 
@@ -54,118 +59,88 @@ class WaveletMatrix:
 class FmIndex:
     """Index of several word sequences (symbols from 1 up), each ended by a separator of its own.
 
-    ``window`` is the match length that matters: suffixes that agree in so many words
-    form one group, into which backward search falls back when it drops a last word.
+    ``window`` is the match length that matters. Suffixes are sorted by a little more than
+    their first ``window`` words only, which is enough to search for as many.
     """
 
     def __init__(self, sequences: list[np.ndarray], window: int):
         self.window = window
-        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
-        self.starts = np.cumsum(lengths + 1) - lengths - 1
-        self.text = np.concatenate([x for s in sequences for x in (s, [0])] or [[0]]).astype(np.int64)
-        self.sigma = int(self.text.max()) + 1
-        self.owner = np.repeat(np.arange(len(sequences)), lengths + 1)
-        n = len(self.text)
-        breaks = np.flatnonzero(self.text == 0)
+        text = np.concatenate([x for s in sequences for x in (s, [0])] or [[0]]).astype(np.int64)
+        n = self.size = len(text)
+        self.sigma = int(text.max()) + 1
+        breaks = np.flatnonzero(text == 0)
         # Separators rank first and differ from each other, so no match runs over one.
-        rank = self.text + len(breaks)
+        rank = text + len(breaks)
         rank[breaks] = np.arange(len(breaks))
-        same, agreed = np.ones(n, dtype=bool), 0
-        width = 1
-        order = np.argsort(rank)
+        order, width = np.argsort(rank), 1
         while True:
-            sorted_ = rank[order]
-            step = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+            now = rank[order]
+            step = np.concatenate([[0], np.cumsum(now[1:] != now[:-1])])
             rank = np.empty(n, dtype=np.int64)
             rank[order] = step
-            if 2 * width > window >= width:
+            if width <= window:
                 agreed, base = width, rank
-            if step[-1] == n - 1 and width >= window:
+            if width > window or step[-1] == n - 1:
                 break
             after = np.zeros(n, dtype=np.int64)
-            after[: n - width] = rank[width:] + 1 if width < n else 0
-            order = np.argsort(rank * (n + 1) + after)
+            after[: max(0, n - width)] = rank[width:] + 1
             rank = rank * (n + 1) + after
+            order = np.argsort(rank)
             width *= 2
-        self.order = order
-        # Neighbours in the suffix array that agree in ``window`` words.
-        far = np.minimum(np.arange(n) + window - agreed, n - 1)
-        shifted = base[far]
-        same = np.zeros(n, dtype=bool)
+        # Neighbours in the order that agree in ``window`` words form a group.
         a, b = order[:-1], order[1:]
-        fits = (np.maximum(a, b) + window) <= n
-        same[1:] = (base[a] == base[b]) & (shifted[a] == shifted[b]) & fits
-        group = np.cumsum(~same) - 1
-        self.first = np.flatnonzero(~same)
-        self.last = np.append(self.first[1:], n)
-        self.group = group
-        bwt = self.text[order - 1]
-        self.wavelet = WaveletMatrix(bwt, self.sigma)
-        counts = np.bincount(self.text, minlength=self.sigma)
+        end = np.minimum(np.arange(n) + window - agreed, n - 1)
+        same = (base[a] == base[b]) & (base[end[a]] == base[end[b]]) & (np.maximum(a, b) + window <= n)
+        heads = np.concatenate([[True], ~same])
+        self.heads = BitVector(heads)
+        self.first = np.append(np.flatnonzero(heads), n).astype(np.int32)
+        self.wavelet = WaveletMatrix(text[order - 1], self.sigma)
+        counts = np.bincount(text, minlength=self.sigma)
         self.below = np.cumsum(counts) - counts
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step of many intervals: the occurrences with a symbol put in front."""
+        both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         base = self.below[symbol]
-        return base + self.wavelet.rank(symbol, lo), base + self.wavelet.rank(symbol, hi)
+        return base + both[: len(lo)], base + both[len(lo) :]
 
     def count(self, pattern: np.ndarray) -> int:
-        lo, hi = np.array([0]), np.array([len(self.text)])
+        """Occurrences of a pattern of at most ``window`` words."""
+        lo, hi = np.array([0]), np.array([self.size])
         for c in pattern[::-1]:
             if not 0 < c < self.sigma:
                 return 0
             lo, hi = self.extend(np.array([c]), lo, hi)
         return int(hi[0] - lo[0])
 
-    def windows(self, queries: list[np.ndarray]) -> list[np.ndarray]:
-        """For each start of ``window`` words of each query: the group of its occurrences, or -1.
+    def occurring(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piece: int = 16) -> np.ndarray:
+        """Where in ``flat`` a window starts that the index has; queries are given by start and length.
 
-        Matching statistics, cut at ``window``: from a query's end to its start, a step
-        puts a word in front, and a match of more than ``window`` words falls back to the
-        group of its first ``window``. Without an occurrence the match starts anew.
+        Matching statistics from each query's end: a step puts a word in front of the match, and
+        a match of more than ``window`` words falls back to its first ``window``. Where a word
+        can't stand in front, the match starts anew one word earlier, or before a word that the
+        index lacks. Queries are cut into pieces of a few windows, which all go ahead together.
         """
-        out = [np.full(max(0, len(q) - self.window + 1), -1, dtype=np.int64) for q in queries]
-        if not queries:
-            return out
-        length = np.array([len(q) for q in queries], dtype=np.int64)
-        ends = np.cumsum(length)
-        flat = np.concatenate(queries).astype(np.int64)
-        flat[(flat < 0) | (flat >= self.sigma)] = 0
-        n, most = len(queries), int(length.max())
-        found = np.full(len(flat), -1, dtype=np.int64)
-        lo, hi = np.zeros(n, dtype=np.int64), np.full(n, len(self.text), dtype=np.int64)
-        matched = np.zeros(n, dtype=np.int64)
-        # Where a match broke off, the words after the new start have to be matched again.
-        resume = length.copy()
-        at = length - 1
-        while True:
-            live = np.flatnonzero(at >= 0)
-            if not len(live):
-                break
-            where = ends[live] - length[live] + at[live]
-            c = flat[where]
-            new_lo, new_hi = self.extend(c, lo[live], hi[live])
+        found = np.zeros(len(flat), dtype=bool)
+        flat = np.where((flat > 0) & (flat < self.sigma), flat, 0)
+        count = np.maximum(0, -(-(lengths - self.window + 1) // piece))
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.repeat(starts, count) + nth * piece
+        end = np.minimum(np.repeat(starts + lengths, count), begin + piece + self.window - 1)
+        # Of each piece still under way: first place, next place, matched words and their interval.
+        at, m, lo, hi = end - 1, np.zeros_like(end), np.zeros_like(end), np.full_like(end, self.size)
+        while len(at):
+            c = flat[at]
+            new_lo, new_hi = self.extend(c, lo, hi)
             ok = (new_hi > new_lo) & (c > 0)
-            good = live[ok]
-            lo[good], hi[good] = new_lo[ok], new_hi[ok]
-            matched[good] += 1
-            full = good[matched[good] >= self.window]
-            g = self.group[lo[full]]
-            found[ends[full] - length[full] + at[full]] = g
-            lo[full], hi[full] = self.first[g], self.last[g]
-            matched[full] = self.window
-            at[good] -= 1
-            # No occurrence of at..at+matched: the next window to try ends one word earlier.
-            bad = live[~ok]
-            fresh = bad[(matched[bad] == 0)]
-            again = bad[(matched[bad] > 0)]
-            at[fresh] -= 1
-            resume[fresh] = at[fresh] + 1
-            resume[again] = at[again] + matched[again]
-            at[again] = resume[again] - 1
-            lo[bad], hi[bad], matched[bad] = 0, len(self.text), 0
-            if most == 0:
-                break
-        for i in range(n):
-            out[i] = found[ends[i] - length[i] : ends[i] - length[i] + len(out[i])]
-        return out
+            full = np.flatnonzero(ok & (m + 1 >= self.window))
+            found[at[full]] = True
+            group = self.heads.rank(new_lo[full] + 1) - 1
+            new_lo[full], new_hi[full] = self.first[group], self.first[group + 1]
+            anew = np.where(c > 0, at + m, at)  # where a match that starts anew ends
+            at = np.where(ok, at, anew) - 1
+            m = np.where(ok, np.minimum(m + 1, self.window), 0)
+            lo, hi = np.where(ok, new_lo, 0), np.where(ok, new_hi, self.size)
+            left = np.flatnonzero((at >= begin) & (at + 1 + m - begin >= self.window))
+            begin, at, m, lo, hi = begin[left], at[left], m[left], lo[left], hi[left]
+        return found

@@ -5,14 +5,15 @@
    minimizer, found in a single pass, need comparing only with runs of the same one.
    Minimizers that a single text has are dropped.
 2. The words of the remaining runs are cut out of the texts; equal cuts become one, with
-   the smallest document id. A minimizer with very many different cuts (at the edges of
-   a passage that many texts share) is dealt out by single windows instead.
-3. Cuts go to shards by minimizer. A shard is a compressed FM-index; its cuts stream
-   through it, and backward search over the wavelet tree gives matching statistics:
-   for each window of 50 words, the group of all its occurrences, hence the smallest
-   document id among them.
-4. Windows that also start in a document with a smaller id are reported, and the words
-   they cover removed. Whole copies of a text with a smaller id are known from step 2's
+   the smallest document id. A minimizer with more different words than part of a shard
+   (at the edges of a passage that many texts share) is dealt out by single windows.
+3. Cuts go to shards by minimizer. In a shard, cuts of earlier documents are indexed by a
+   compressed FM-index and those of later documents stream through it: backward search
+   over the wavelet tree gives matching statistics, and intervals of at least 50 matching
+   words are reported. The cuts of a minimizer are halved by document again and again,
+   so that each meets all cuts of earlier documents and never an index of its own.
+4. Words in reported intervals are removed, as are all words of a cut that an earlier
+   document has too. Whole copies of a text with a smaller id are known from step 2's
    digests and lose all words, if they have a window at all.
 
 Null and empty texts have no words. Documents with a null id neither lose words nor
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import slices, texts_of, words
+from kinfolio.llm.common import give_back, ragged, slices, texts_of, tidy, words
 from kinfolio.llm.fm_index import FmIndex
 from kinfolio.llm.hashing import shingle_hashes, word_hashes
 from kinfolio.session import broadcast_if_small, cut, scratch_table
@@ -38,10 +40,10 @@ from kinfolio.session import broadcast_if_small, cut, scratch_table
 WINDOW = 50
 #: Words in a shingle whose hash can be a window's minimizer.
 SHINGLE = 20
-#: Different cuts of one minimizer beyond which they are dealt out by single windows.
-MANY_CUTS = 2000
 #: Words that a shard holds on average.
 SHARD_WORDS = 400_000
+#: Words in different cuts of one minimizer beyond which they are dealt out by single windows.
+MANY_WORDS = 50_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,92 +85,141 @@ def _runs(docs: DataFrame, window: int, shingle: int) -> DataFrame:
                 names=["fp", "part", "a", "b", "doc"],
             )
 
-    rows = docs.where(F.col("doc").isNotNull()).select("doc", "part", "text").mapInArrow(run, "fp long, part long, a int, b int, doc long")
+    rows = docs.where(F.col("doc").isNotNull()).select("doc", "part", "text").mapInArrow(tidy(run), "fp long, part long, a int, b int, doc long")
     # Copies of a text have equal runs: one stays, with the smallest id.
     return rows.groupBy("fp", "part", "a", "b").agg(F.min("doc").alias("doc"))
 
 
 def _cuts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """``fp, doc, part, a, region``: the words of the runs whose minimizer several texts have."""
+    """``fp, doc, part, a, z, region``: the words from a to z of the runs whose minimizer several texts have."""
     shared = runs.groupBy("fp").agg((F.min("part") != F.max("part")).alias("several")).where("several").select("fp")
     wanted = runs.join(shared, "fp", "left_semi").groupBy("doc", "part").agg(F.collect_list(F.struct("fp", "a", "b")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"doc": "d", "part": "p"})
     unique = docs.join(wanted, (docs.doc == wanted.d) & (docs.part == wanted.p)).select("doc", "part", "runs", words(F.col("text")).alias("w"), F.size("runs"))
     region = lambda r: F.array_join(F.slice("w", r["a"] + 1, r["b"] - r["a"] + window), " ")
-    parts = F.transform("runs", lambda r: F.struct(r["fp"].alias("fp"), r["a"].alias("a"), region(r).alias("region")))
-    return unique.select("doc", "part", F.explode(parts).alias("r"), F.size("w")).select("r.fp", "doc", "part", "r.a", "r.region")
+    parts = F.transform("runs", lambda r: F.struct(r["fp"].alias("fp"), r["a"].alias("a"), (r["b"] + window).alias("z"), region(r).alias("region")))
+    return unique.select("doc", "part", F.explode(parts).alias("r"), F.size("w")).select("r.fp", "doc", "part", "r.a", "r.z", "r.region")
 
 
 def _dealt_out(cuts: DataFrame, window: int, many: int) -> DataFrame:
-    """Cuts with ``sub``: 0, or for minimizers with many different cuts each window's own number."""
-    crowded = cuts.groupBy("fp").agg(F.approx_count_distinct("region").alias("n"), F.count("*").alias("rows"))
-    crowded = cut(crowded.where((F.col("rows") > many) & (F.col("n") > many)).select("fp", F.lit(True).alias("crowded")))
+    """Cuts with ``sub``: 0, or for minimizers with very many words in different cuts each window's own number."""
+    words_of = (F.col("z") - F.col("a")).cast("double")
+    crowded = cuts.groupBy("fp").agg(F.approx_count_distinct("region").alias("n"), F.avg(words_of).alias("mean"), F.sum(words_of).alias("all"))
+    crowded = cut(crowded.where((F.col("all") > many) & (F.col("n") * F.col("mean") > many)).select("fp", F.lit(True).alias("crowded")))
     marked = cuts.join(broadcast_if_small(crowded), "fp", "left")
-    plain = marked.where("crowded is null").select("fp", F.lit(0).cast("long").alias("sub"), "doc", "part", "a", "region")
+    plain = marked.where("crowded is null").select("fp", F.lit(0).cast("long").alias("sub"), "doc", "part", "a", "z", "region")
     w = F.split("region", " ")
     each = F.transform(
         F.sequence(F.lit(0), F.size("w") - window),
         lambda i: F.struct((F.col("a") + i).alias("a"), F.array_join(F.slice("w", i + 1, window), " ").alias("region")),
     )
     wide = marked.where("crowded").select("fp", "doc", "part", "a", w.alias("w"), F.lit(0)).select("fp", "doc", "part", F.explode(each).alias("x"), F.size("w"))
-    wide = wide.select("fp", F.xxhash64("x.region").alias("sub"), "doc", "part", "x.a", "x.region")
-    several = wide.groupBy("fp", "sub").agg((F.min("doc") < F.max("doc")).alias("several")).where("several").select("fp", "sub")
-    return plain.unionByName(wide.join(several, ["fp", "sub"], "left_semi"))
+    return plain.unionByName(wide.select("fp", F.xxhash64("x.region").alias("sub"), "doc", "part", "x.a", (F.col("x.a") + window).alias("z"), "x.region"))
 
 
-def search_shard(regions: list[str], least_doc: np.ndarray, window: int = WINDOW) -> list[list[int]]:
-    """For every window of every region, the smallest document id that has it in this shard."""
-    ids: dict[str, int] = {}
-    sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in r.split(" ")], dtype=np.int64) for r in regions]
-    index = FmIndex(sequences, window)
-    smallest = np.minimum.reduceat(least_doc[index.owner[index.order]], index.first)
-    return [smallest[g].tolist() for g in index.windows(sequences)]
+def matched_spans(regions: pa.Array, fp: np.ndarray, sub: np.ndarray, least: np.ndarray, window: int = WINDOW) -> list[list[int]]:
+    """For every region, where windows that regions of the same key with smaller ids have begin and end, in words.
+
+    Ids are ranked within a key. For each binary place of the rank, regions with a 0
+    there are indexed and those with a 1 and the same higher places stream through, so
+    each pair of ranks meets once. The words of each such block are symbols of its own, so
+    that one index serves all blocks and a region never meets another block's words.
+    """
+    coded = pc.split_pattern(regions, " ")
+    lengths = pc.list_value_length(coded).to_numpy(zero_copy_only=False).astype(np.int64)
+    words_ = coded.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    order = np.lexsort((least, sub, fp))
+    group_opens, id_opens = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+    f, s, d = fp[order], sub[order], least[order]
+    group_opens[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+    id_opens[1:] = group_opens[1:] | (d[1:] != d[:-1])
+    group, rank = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+    group[order] = np.cumsum(group_opens) - 1
+    ids = np.cumsum(id_opens)
+    rank[order] = ids - np.maximum.accumulate(np.where(group_opens, ids, 0))
+    found = np.zeros(len(words_), dtype=bool)
+    vocabulary = int(words_.max(initial=0)) + 1
+    most = int(rank.max(initial=0))
+    stored, streams = [np.empty((0, 2), dtype=np.int64)], [np.empty((0, 2), dtype=np.int64)]  # region, block
+    for place in range(most.bit_length()):
+        block = (place * len(regions) + group) * (most + 2) + (rank >> (place + 1))
+        later = (rank >> place) & 1 == 1
+        ahead = ~later & np.isin(block, block[later])
+        streams.append(np.stack([np.flatnonzero(later), block[later]], axis=1))
+        stored.append(np.stack([np.flatnonzero(ahead), block[ahead]], axis=1))
+    (kept, kept_block), (asked, asked_block) = np.concatenate(stored).T, np.concatenate(streams).T
+    if len(kept):
+        symbols, inverse = np.unique(np.repeat(kept_block, lengths[kept]) * vocabulary + words_[ragged(starts[kept], lengths[kept])], return_inverse=True)
+        index = FmIndex(np.split(inverse + 1, np.cumsum(lengths[kept])[:-1]), window)
+        at = ragged(starts[asked], lengths[asked])
+        code = np.repeat(asked_block, lengths[asked]) * vocabulary + words_[at]
+        near = np.minimum(np.searchsorted(symbols, code), len(symbols) - 1)
+        flat = np.where(symbols[near] == code, near + 1, 0)
+        found[at[index.occurring(flat, np.cumsum(lengths[asked]) - lengths[asked], lengths[asked])]] = True
+    hits = np.flatnonzero(found)
+    owner = np.searchsorted(starts, hits, side="right") - 1
+    opens = np.ones(len(hits), dtype=bool)
+    opens[1:] = (owner[1:] != owner[:-1]) | (hits[1:] > hits[:-1] + window)
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(hits)) - 1 if len(first) else first
+    out: list[list[int]] = [[] for _ in range(len(regions))]
+    for k, a, z in zip(owner[first].tolist(), (hits[first] - starts[owner[first]]).tolist(), (hits[last] - starts[owner[last]] + window).tolist(), strict=True):
+        out[k] += [a, z]
+    return out
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, many: int = MANY_CUTS) -> DataFrame:
-    """``doc, part, starts``: window starts whose words also start in a document with a smaller id.
+def repeated_spans(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, many: int = MANY_WORDS) -> DataFrame:
+    """``doc, part, spans``: word ranges covered by windows that also start in a document with a smaller id.
 
-    ``docs`` has ``doc, part, text``; of several copies of a text, only the one with the smallest id is told of.
+    ``docs`` has ``doc, part, text``; of several copies of a text, only the one with the
+    smallest id is told of. ``spans`` lists begins and ends in turn.
     """
     runs = scratch_table(_runs(docs, window, shingle), "runs")
     cuts = scratch_table(_cuts(docs, runs, window), "cuts")
-    dealt = _dealt_out(cuts, window, many)
-    dealt = scratch_table(dealt.withColumn("rid", F.xxhash64("region")), "dealt")
+    dealt = scratch_table(_dealt_out(cuts, window, many).withColumn("rid", F.xxhash64("region")), "dealt")
     distinct = dealt.groupBy("fp", "sub", "rid", "region").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     size = dealt.agg(F.sum(F.length("region")).alias("n")).first().n or 0
     shards = max(1, round(size / 6 / SHARD_WORDS))
 
-    def run(key: tuple, part: pa.Table) -> pa.Table:
-        found = search_shard(part.column("region").to_pylist(), part.column("least").to_numpy(), window)
-        return pa.table([part.column("fp"), part.column("sub"), part.column("rid"), pa.array(found, pa.list_(pa.int64()))], names=["fp", "sub", "rid", "docs"])
+    def run(_key: tuple, part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        column = lambda name: part.column(name).to_numpy()
+        regions = part.column("region").cast(pa.large_string()).combine_chunks()
+        spans = matched_spans(regions, column("fp"), column("sub"), column("least"), window)
+        keep = np.array([bool(x) for x in spans]) | (column("least") < column("most"))
+        out = part.select(["fp", "sub", "rid", "least"]).append_column("spans", pa.array(spans, pa.list_(pa.int32()))).filter(pa.array(keep))
+        give_back()
+        return out
 
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("fp", "sub"), F.lit(shards)))
-    found = sharded.groupBy("shard").applyInArrow(run, "fp long, sub long, rid long, docs array<long>")
-    # A window is told of only where some document lost it: most cuts have none.
-    placed = dealt.select("fp", "sub", "rid", "doc", "part", "a").join(found, ["fp", "sub", "rid"])
-    hits = F.filter(F.transform("docs", lambda d, i: F.when(d < F.col("doc"), F.col("a") + i)), lambda x: x.isNotNull())
-    rows = placed.select("doc", "part", hits.alias("hits")).where(F.size("hits") > 0)
-    return rows.groupBy("doc", "part").agg(F.flatten(F.collect_list("hits")).alias("starts"))
+    sharded = sharded.repartition(max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    found = sharded.groupBy("shard").applyInArrow(run, "fp long, sub long, rid long, least long, spans array<int>")
+    # A cut is told of only where some document lost words by it: most have none.
+    placed = dealt.select("fp", "sub", "rid", "doc", "part", "a", "z").join(found, ["fp", "sub", "rid"])
+    moved = F.when(F.col("doc") > F.col("least"), F.array("a", "z")).otherwise(F.transform("spans", lambda x: x + F.col("a")))
+    rows = placed.select("doc", "part", moved.alias("spans")).where(F.size("spans") > 0)
+    return rows.groupBy("doc", "part").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, many: int = MANY_CUTS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, many: int = MANY_WORDS) -> DataFrame:
     """``doc, part, n_words, n_removed, kept``: the kept words of every document, joined by one space."""
     source = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("part"), F.col(text).alias("text"))
-    starts = repeated_windows(source, window, shingle, many)
+    spans = repeated_spans(source, window, shingle, many)
     ids = source.where("doc is not null").select("doc", "part", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
     originals = ids.groupBy("digest").agg(F.min("doc").alias("original"), F.max("doc").alias("latest")).where("original < latest")
     copies = ids.join(originals, "digest").where("doc > original").select("doc", "part").distinct()
-    verdicts = starts.select("doc", "part", "starts", F.lit(False).alias("copy")).unionByName(
-        copies.select("doc", "part", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    verdicts = spans.select("doc", "part", "spans", F.lit(False).alias("copy")).unionByName(
+        copies.select("doc", "part", F.array().cast("array<int>").alias("spans"), F.lit(True).alias("copy"))
     )
-    verdicts = verdicts.groupBy("doc", "part").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("starts")).alias("starts"))
+    verdicts = verdicts.groupBy("doc", "part").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans"))
     verdicts = scratch_table(verdicts.withColumnsRenamed({"doc": "d", "part": "p"}), "verdicts")
-    joined = source.join(verdicts, (source.doc == verdicts.d) & (source.part == verdicts.p), "left").select("doc", "part", "text", "starts", "copy")
+    joined = source.join(verdicts, (source.doc == verdicts.d) & (source.part == verdicts.p), "left").select("doc", "part", "text", "spans", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             counts, removed, kept = [], [], []
-            rows = zip(texts_of(batch, "text").to_pylist(), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True)
+            rows = zip(texts_of(batch, "text").to_pylist(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist(), strict=True)
             for body, at, copy in rows:
                 w = _WORDS.findall(body)
                 n = len(w)
@@ -176,9 +227,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     w = []
                 elif at:
                     edge = np.zeros(n + 1, dtype=np.int64)
-                    begins = np.unique(np.array(at, dtype=np.int64))
-                    edge[begins] += 1
-                    edge[begins + window] -= 1
+                    np.add.at(edge, at[::2], 1)
+                    np.add.at(edge, at[1::2], -1)
                     gone = np.cumsum(edge)[:n] > 0
                     w = [x for x, out in zip(w, gone.tolist(), strict=True) if not out]
                 counts.append(n)
@@ -188,4 +238,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             yield pa.record_batch([batch.column("doc"), batch.column("part"), *out], names=["doc", "part", "n_words", "n_removed", "kept"])
 
     kind = source.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc {kind}, part long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(tidy(run), f"doc {kind}, part long, n_words long, n_removed long, kept string")

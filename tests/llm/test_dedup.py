@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinfolio.llm import components, near_dups, substring_dedup
@@ -150,24 +151,52 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_fm_index_against_brute_force():
+@pytest.mark.parametrize("piece", [1, 3, 128])
+def test_fm_index_against_brute_force(piece):
+    """Queries that the index doesn't hold, and some that it does."""
     rnd = random.Random(5)
-    for _ in range(120):
+    for _ in range(150):
         sigma, window = rnd.choice([1, 2, 3, 20]), rnd.choice([1, 2, 3, 5, 8])
         texts = [np.array([rnd.randint(1, sigma) for _ in range(rnd.randint(1, 30))]) for _ in range(rnd.randint(1, 8))]
         index = FmIndex(texts, window)
-        members = {}
-        for rank, p in enumerate(index.order):
-            members.setdefault(index.group[rank], set()).add((int(index.owner[p]), int(p - index.starts[index.owner[p]])))
-        queries = texts + [np.array([rnd.randint(1, sigma + 1) for _ in range(20)])]
-        for q, found in zip(queries, index.windows(queries), strict=True):
-            for i in range(len(q) - window + 1):
-                same = {(a, j) for a, t in enumerate(texts) for j in range(len(t) - window + 1) if tuple(t[j : j + window]) == tuple(q[i : i + window])}
-                assert (members[found[i]] if found[i] >= 0 else set()) == same
-        pattern = texts[0][: rnd.randint(1, len(texts[0]))]
+        have = {tuple(t[j : j + window].tolist()) for t in texts for j in range(len(t) - window + 1)}
+        queries = [*texts[:2], *(np.array([rnd.randint(0, sigma + 1) for _ in range(rnd.randint(1, 25))]) for _ in range(4))]
+        lengths = np.array([len(q) for q in queries])
+        starts = np.cumsum(lengths) - lengths
+        got = index.occurring(np.concatenate(queries), starts, lengths, piece)
+        for q, a in zip(queries, starts, strict=True):
+            want = [tuple(q[i : i + window].tolist()) in have for i in range(len(q) - window + 1)] + [False] * min(window - 1, len(q))
+            assert got[a : a + len(q)].tolist() == want
+        pattern = texts[0][: rnd.randint(1, min(window, len(texts[0])))]
         assert index.count(pattern) == sum(tuple(t[j : j + len(pattern)]) == tuple(pattern) for t in texts for j in range(len(t) - len(pattern) + 1))
 
 
+def test_an_index_keeps_no_suffix_array():
+    rng = np.random.default_rng(1)
+    text = rng.integers(1, 500, 50_000)
+    index = FmIndex([text], 50)
+    arrays = [*vars(index).values(), *(x for v in [index.heads, *index.wavelet.bits] for x in vars(v).values())]
+    # 9 levels of bits with counts, a bit for each group and its begin: far below 8 bytes a word each.
+    assert sum(a.nbytes for a in arrays if isinstance(a, np.ndarray)) < 8 * len(text)
+    assert not any(isinstance(a, np.ndarray) and a.dtype == np.int64 and len(a) >= len(text) for a in arrays)
+
+
+def test_spans_meet_earlier_documents_only():
+    rnd = random.Random(2)
+    for _ in range(60):
+        window, n = rnd.choice([2, 3, 5]), rnd.randint(1, 14)
+        regions = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(window, 14))) for _ in range(n)]
+        fp, sub, least = (np.array([rnd.randint(0, k) for _ in range(n)], dtype=np.int64) for k in (2, 1, 6))
+        got = substring_dedup.matched_spans(pa.array(regions, pa.large_string()), fp, sub, least, window)
+        for i, r in enumerate(regions):
+            w, cover = r.split(" "), set()
+            earlier = [regions[j].split(" ") for j in range(n) if fp[j] == fp[i] and sub[j] == sub[i] and least[j] < least[i]]
+            for s in range(len(w) - window + 1):
+                if any(w[s : s + window] == e[t : t + window] for e in earlier for t in range(len(e) - window + 1)):
+                    cover.update(range(s, s + window))
+            assert {x for a, z in zip(got[i][::2], got[i][1::2], strict=True) for x in range(a, z)} == cover
+
+
 def brute_substring(rows, window):
     first = {}
     for d, t in rows:
@@ -185,7 +214,7 @@ def brute_substring(rows, window):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("many", [2000, 1])
+@pytest.mark.parametrize("many", [substring_dedup.MANY_WORDS, 1])
 def test_substring_dedup(spark, many):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("ab") for _ in range(3))
