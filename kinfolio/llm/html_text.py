@@ -4,12 +4,13 @@ The standard library's parser streams events. Text between block-level tags form
 line, with the number of tags and the link text in it; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by
 their elements or the words of their class, id or role. The ratio of text to tags of
-each remaining line is smoothed with a Gaussian, and two clusters are split by a
-threshold found by iteration. The outermost article and main elements with dense lines
-are the content region, or, where these hold less than half of the dense text, the
-smallest container with all of it. All lines of the region are kept, so headings and
-short paragraphs stay; only where no element but the body holds the text are runs of
-link-only lines taken for menus.
+each remaining line is smoothed with a Gaussian, and two clusters of lines are split by a
+threshold found by iteration, which is never above what any paragraph reaches. Dense
+lines select the content regions: the outermost article and main elements with at least
+half of their text in dense lines, kept whole so that headings and short paragraphs stay;
+where these hold less than half of the dense text, the smallest container with all of it;
+where that is the body, the lines from the first to the last dense one, without runs of
+link-only lines. A page without dense lines has no content.
 
 Character references are decoded, white space in a block becomes one space (``<br>``
 counts as white space), and blocks join with an empty line. A tag cut off by the end of
@@ -20,6 +21,7 @@ rows give repeated results; an empty table gives an empty one; extra columns are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import columns_ddl, slices, texts_of
+from kinfolio.llm.common import columns_ddl, slices, texts_of, tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -54,8 +56,10 @@ STRONG = frozenset("ad ads advert advertisement comment comments reply replies c
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Gaussian smoothing of the line ratios.
 SIGMA, RADIUS = 1.0, 2
-#: Share of the dense text from which on articles are the content region.
-ARTICLE_SHARE = 0.5
+#: Share of an article's text in dense lines, and of all dense text in such articles, from which on they are the content.
+DENSE_SHARE, ARTICLE_SHARE = 0.5, 0.5
+#: Characters a tag, smoothed, from which on a line is dense whatever the other lines are.
+SURELY_DENSE = 60.0
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
@@ -81,6 +85,7 @@ class LineParser(HTMLParser):
         self.parents = [-1]  # container -> its parent
         self.kinds = [""]  # container -> its tag
         self.dropped = self.links = 0
+        self.open: Counter[str] = Counter()
         self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -115,6 +120,7 @@ class LineParser(HTMLParser):
         drop = tag in DROPPED or bool(attrs) and hinted(tag, attrs)
         self.dropped += drop
         self.links += tag == "a"
+        self.open[tag] += 1
         self.stack.append((tag, drop, container))
 
     def handle_startendtag(self, tag, attrs):
@@ -126,9 +132,12 @@ class LineParser(HTMLParser):
         tag, drop, _ = self.stack.pop()
         self.dropped -= drop
         self.links -= tag == "a"
+        self.open[tag] -= 1
 
     def _close(self, tags: set[str]) -> None:
         """End the innermost open element of these tags, not looking beyond a container or list."""
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[i][0]
             if tag in tags:
@@ -141,6 +150,8 @@ class LineParser(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 while len(self.stack) > i:
@@ -157,10 +168,10 @@ class LineParser(HTMLParser):
 
 
 def dense(ratios: np.ndarray) -> np.ndarray:
-    """Lines in the denser of two clusters of the smoothed ratios."""
+    """Lines in the denser of two clusters of the smoothed ratios, on a logarithmic scale."""
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     padded = np.pad(ratios, RADIUS, mode="edge")
-    smooth = np.convolve(padded, kernel / kernel.sum(), mode="valid")
+    smooth = np.log1p(np.convolve(padded, kernel / kernel.sum(), mode="valid"))
     threshold = smooth.mean()
     for _ in range(50):
         low, high = smooth[smooth < threshold], smooth[smooth >= threshold]
@@ -170,7 +181,7 @@ def dense(ratios: np.ndarray) -> np.ndarray:
         if abs(new - threshold) < 1e-9:
             break
         threshold = new
-    return smooth >= min(threshold, smooth.max())
+    return smooth >= min(threshold, smooth.max(), np.log1p(SURELY_DENSE))
 
 
 def blocks(html: str) -> list[str]:
@@ -184,19 +195,21 @@ def blocks(html: str) -> list[str]:
         return []
     size = np.array([max(0, len(t) - linked) for t, _, linked, _ in lines], dtype=float)
     ratios = size / np.maximum(1, [tags for _, tags, _, _ in lines])
-    weight = np.where(dense(ratios), size, 0.0)
-    if not weight.sum():
-        weight = np.array([len(t) for t, _, _, _ in lines], dtype=float)
+    found = dense(ratios)
+    if not found.any():
+        return []
+    # A line of links alone has no size of its own, but counts where it is dense.
+    weight = np.where(found, np.maximum(size, 1.0), 0.0)
     at = np.array([c for _, _, _, c in lines])
-    held = np.zeros(len(parser.parents))
-    np.add.at(held, at, weight)
-    top = np.zeros(len(held), dtype=int)  # the outermost article or main that a container is in
-    for c in range(1, len(held)):
+    top = np.zeros(len(parser.parents), dtype=int)  # the outermost article or main that a container is in
+    for c in range(1, len(top)):
         top[c] = top[parser.parents[c]] or (c if parser.kinds[c] in ("article", "main") else 0)
-    if weight[top[at] > 0].sum() >= ARTICLE_SHARE * weight.sum():
-        chosen = np.unique(top[at[weight > 0]])
-        kept = (top[at] > 0) & np.isin(top[at], chosen)
-        return [t for (t, _, _, _), k in zip(lines, kept, strict=True) if k]
+    own, of_dense = (np.bincount(top[at], weights=w, minlength=len(top)) for w in (np.maximum(size, 1.0), weight))
+    content = of_dense >= np.maximum(DENSE_SHARE * own, 1e-9)
+    content[0] = False
+    if of_dense[content].sum() >= ARTICLE_SHARE * weight.sum():
+        return [t for (t, _, _, c) in lines if content[top[c]]]
+    held = np.bincount(at, weights=weight, minlength=len(top))
     for c in range(len(held) - 1, 0, -1):
         held[parser.parents[c]] += held[c]
     # Down from the root to the smallest container that still holds all dense text.
@@ -213,7 +226,8 @@ def blocks(html: str) -> list[str]:
     only_links = np.array([linked >= len(t) > 0 for t, _, linked, _ in lines])
     run = np.array([only_links[max(0, i - 2) : i + 1].sum() == 3 for i in range(len(lines))])
     menu = np.array([run[i : i + 3].any() and only_links[i] for i in range(len(lines))])
-    return [t for (t, _, _, c), m in zip(lines, menu, strict=True) if inside[c] and not m]
+    first, last = np.flatnonzero(found)[[0, -1]]
+    return [lines[i][0] for i in range(first, last + 1) if inside[at[i]] and not menu[i]]
 
 
 def main_text(html: str | None) -> str:
@@ -231,4 +245,4 @@ def extract(pages: DataFrame, *keep: Column, html: str = "html") -> DataFrame:
             out = [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
             yield pa.record_batch([*(batch.column(c) for c in names), *out], names=[*names, "text", "n_chars"])
 
-    return source.mapInArrow(run, columns_ddl(source.schema.fields[:-1], "text string, n_chars long"))
+    return source.mapInArrow(tidy(run), columns_ddl(source.schema.fields[:-1], "text string, n_chars long"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -140,6 +141,38 @@ def test_html_keeps_the_whole_article(page, text):
     assert html_text.blocks(page) == [t.strip() for t in text.split("|")]
 
 
+TEASERS = "".join(f"<article><h3><a href=t{i}>Teaser {i}</a></h3><p>Read <b>more</b> <i>here</i></p></article>" for i in range(6))
+
+
+@pytest.mark.parametrize("page, text", [
+    # Teaser cards are articles too; only their lines' text-to-tag ratio tells them from the article.
+    (f"<body><article><h1>Head</h1><p>{LONG * 3}</p><p>Short.</p><p>{LONG * 2}</p></article>{TEASERS}</body>", f"Head|{LONG * 3}|Short.|{LONG * 2}"),
+    # One very long paragraph doesn't make the others sparse.
+    (f"<article><p>{LONG * 60}</p>" + f"<p>{LONG}</p>" * 40 + "<p>The end.</p></article>", "|".join([LONG * 60, *[LONG] * 40, "The end."])),
+    # Unmarked menus and footers around plain text of the body.
+    (f"<body><div><a href=a>Home</a></div><div><a href=b>News</a></div><div><a href=c>Shop</a></div><p>Lead.</p><p>{LONG * 4}</p><ul><li>one<li>two</ul><p>{LONG * 4}</p></body>", f"Lead.|{LONG * 4}|one|two|{LONG * 4}"),
+])
+def test_html_ratio_clusters_select_the_content(monkeypatch, page, text):
+    assert html_text.blocks(page) == [t.strip() for t in text.split("|")]
+    verdict = html_text.dense
+    monkeypatch.setattr(html_text, "dense", lambda r: ~verdict(r))
+    only_article = page.startswith("<article>")  # is kept whole, whichever lines are dense
+    assert only_article or html_text.blocks(page) != [t.strip() for t in text.split("|")]
+
+
+def test_html_verdict_matters_on_the_tables(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    before, verdict = [html_text.main_text(h) for h in pages], html_text.dense
+    monkeypatch.setattr(html_text, "dense", lambda r: ~verdict(r))
+    assert sum(a != html_text.main_text(h) for a, h in zip(before, pages, strict=True)) > 0.3 * len(pages)
+
+
+def test_html_of_deep_and_unclosed_elements():
+    began = time.time()
+    assert html_text.main_text("<article>" + "<div><b>" * 20_000 + LONG * 5 + "</i></p>" * 20_000) == (LONG * 5).strip()
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain &lt;b&gt; text", "plain <b> text"), ("<nav>x</nav>", ""), ("<article><p>cut off here</p><p>and he</", "cut off here\n\nand he"), ("<p>" + "long " * 50000, ("long " * 50000).strip())])
 def test_html_edges(page, text):
     assert html_text.main_text(page) == text
