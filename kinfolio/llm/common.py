@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfolio.session import broadcast_if_small, cut
+
 #: Bytes of text that one vectorised step handles at a time; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
 
@@ -39,6 +42,19 @@ def crc_mod(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def sampled(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Rows whose key's hash is below a share that leaves at most ``most`` of a group's keys (but for 1 in 10,000 cases).
+
+    A group with up to ``most`` rows stays whole. The share follows from a count, so no group's
+    rows are ever ordered or gathered; equal keys stay or go together.
+    """
+    wanted = max(1.0, most - 4 * math.sqrt(most))
+    share = F.when(F.col("_n") <= most, F.lit(1.0)).otherwise(F.lit(wanted) / F.col("_n"))
+    shares = cut(rows.groupBy(group).agg(F.count("*").alias("_n")).select(group, share.alias("_share")))
+    met = rows.join(broadcast_if_small(shares), group)
+    return met.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.col("_share") * (1 << 40)).drop("_share")
+
+
 def columns_ddl(fields: list, more: str) -> str:
     """DDL of the given schema fields, followed by more columns."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), more])

@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram is the elementwise
+Every letter, of whatever script, has a random vector of +1 and -1 drawn from its code
+point. A letter trigram is the elementwise
 product of its letters' vectors, permuted by their places; a text, and a language's
 prototype, is the sum of its trigram vectors. A text goes to the prototype with the
 largest cosine. The text's vector itself is never built: by linearity its dot product
@@ -8,10 +9,12 @@ with a prototype is the sum of its trigrams' dot products, kept in a small table
 its length is the expected one for nearly orthogonal trigram vectors, the same for
 all languages, so it can't change which language wins.
 
+Trigrams that no learned language has count for the length alone.
+
 Null texts, empty texts and texts without a letter are ``und`` with score 0. Equal
 cosines go to the language whose name sorts first. Repeated rows give repeated
 results; an empty table gives an empty one; without any labelled text every text is
-``und``. Extra columns are not read.
+``und``. Texts of any length are read whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import columns_ddl, slices, texts_of
-from kinfolio.session import broadcast_if_small, cut
+from kinfolio.llm.common import columns_ddl, sampled, slices, texts_of, tidy
 
 UNKNOWN = "und"
 #: Length of the letter vectors.
 DIMENSIONS = 4096
-#: Symbols: the space, the most frequent letters, and one for all other letters.
-ALPHABET = 128
-#: Labelled documents a language learns from at most: those with the smallest id hashes.
+#: Labelled documents a language learns from at most, chosen by the hashes of their ids.
 SAMPLE_PER_LANGUAGE = 2000
 #: Turns cosines into a score between 0 and 1.
 SHARPNESS = 16.0
@@ -50,12 +49,12 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of lower-cased texts (0: a run of other characters) and each one's text number."""
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of lower-cased texts by code point (0: a run of other characters) and each one's text number."""
     joined = " \x00 ".join(t.lower().replace("\x00", " ") for t in texts)
     points = np.frombuffer(f" {joined} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.cumsum(points == 0, dtype=np.int64)
-    found = table[points]
+    found = letter_table()[points]
     keep = np.ones(len(found), dtype=bool)
     keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
     return found[keep], owner[keep]
@@ -70,77 +69,73 @@ def trigrams(found: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, np.where(middle[keep], owner[at + 1], owner[at])
 
 
+def codes(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number for each trigram: its three code points."""
+    a, b, c = (found[at + k].astype(np.int64) for k in range(3))
+    return (a << 42) | (b << 21) | c
+
+
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # code point -> symbol
-    slot: np.ndarray  # trigram code -> row of dots, 0 where not seen in training
-    dots: np.ndarray  # row -> dot product with each unit prototype, over sqrt(DIMENSIONS)
+    codes: np.ndarray  # trigrams seen in training, sorted
+    dots: np.ndarray  # their dot products with each unit prototype, over sqrt(DIMENSIONS)
 
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cosine with every prototype for each text, and whether it has a letter."""
         n = len(texts)
-        found, owner = symbols(texts, self.table)
+        found, owner = symbols(texts)
         has = np.bincount(owner[found != 0], minlength=n) > 0
         at, text = trigrams(found, owner)
-        code = (found[at].astype(np.int64) * ALPHABET + found[at + 1]) * ALPHABET + found[at + 2]
-        pairs, counts = np.unique(text * ALPHABET**3 + code, return_counts=True)
-        text, code = np.divmod(pairs, ALPHABET**3)
+        distinct, which = np.unique(codes(found, at), return_inverse=True)
+        pairs, counts = np.unique(text * len(distinct) + which, return_counts=True)
+        text, which = np.divmod(pairs, max(1, len(distinct)))
         length = np.sqrt(np.bincount(text, weights=counts.astype(float) ** 2, minlength=n))
-        row = self.slot[code]
-        seen = row > 0
-        sums = [np.bincount(text[seen], weights=counts[seen] * self.dots[row[seen], k], minlength=n) for k in range(len(self.languages))]
+        row = np.minimum(np.searchsorted(self.codes, distinct), len(self.codes) - 1)
+        seen = (self.codes[row] == distinct)[which]
+        text, row, counts = text[seen], row[which[seen]], counts[seen]
+        sums = [np.bincount(text, weights=counts * self.dots[row, k], minlength=n) for k in range(len(self.languages))]
         return np.stack(sums, axis=1) / np.maximum(length, 1e-12)[:, None], has
 
 
-def letter_vectors(n: int, dimensions: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), size=(n, dimensions))
+def letter_vectors(points: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The vector of each code point, the same wherever it is drawn."""
+    draw = lambda p: np.random.default_rng([seed, p]).choice(np.array([-1, 1], dtype=np.int8), size=dimensions)
+    return np.stack([draw(int(p)) for p in points]) if len(points) else np.empty((0, dimensions), dtype=np.int8)
 
 
-def bind(vectors: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+def bind(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Trigram vectors: the letters' vectors permuted twice, once and not at all, multiplied."""
-    return np.roll(vectors[a], 2, axis=1) * np.roll(vectors[b], 1, axis=1) * vectors[c]
-
-
-def build(rows: list[tuple[str, int, int, int, int]], dimensions: int = DIMENSIONS, seed: int = 11) -> Model:
-    """Model from (language, code point 1, 2, 3, count) rows; code point 0 is the space."""
-    languages = sorted({r[0] for r in rows})
-    frequency: dict[int, int] = {}
-    for _, _, b, _, n in rows:
-        if b:
-            frequency[b] = frequency.get(b, 0) + n
-    letters = sorted(frequency, key=lambda p: (-frequency[p], p))[: ALPHABET - 2]
-    table = np.where(letter_table() > 0, ALPHABET - 1, 0).astype(np.int16)
-    table[letters] = np.arange(1, len(letters) + 1)
-    slot = np.zeros(ALPHABET**3, dtype=np.int32)
-    if not languages:
-        return Model([], table, slot, np.zeros((1, 0), dtype=np.float32))
-    points = np.array([r[1:4] for r in rows], dtype=np.int64)
-    symbol = table[points].astype(np.int64)
-    code = (symbol[:, 0] * ALPHABET + symbol[:, 1]) * ALPHABET + symbol[:, 2]
-    codes, row = np.unique(code, return_inverse=True)
-    counts = np.zeros((len(languages), len(codes)))
-    np.add.at(counts, ([languages.index(r[0]) for r in rows], row), [r[4] for r in rows])
-    vectors = letter_vectors(ALPHABET, dimensions, seed)
-    a, b, c = codes // ALPHABET**2, codes // ALPHABET % ALPHABET, codes % ALPHABET
-    blocks = [slice(i, i + 256) for i in range(0, len(codes), 256)]
-    prototypes = sum(counts[:, s] @ bind(vectors, a[s], b[s], c[s]).astype(float) for s in blocks)
+    return np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
+
+
+def build(langs: np.ndarray, keys: np.ndarray, n: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 11) -> Model:
+    """Model from the language, trigram number and count of each row."""
+    languages, lang = np.unique(np.asarray(langs, dtype=str), return_inverse=True)
+    seen, row = np.unique(keys, return_inverse=True)
+    if not len(languages):
+        return Model([], np.array([-1]), np.zeros((1, 0), dtype=np.float32))
+    counts = np.zeros((len(languages), len(seen)))
+    np.add.at(counts, (lang, row), n)
+    mask = (1 << 21) - 1
+    points, place = np.unique(np.stack([seen >> 42, seen >> 21 & mask, seen & mask]), return_inverse=True)
+    vectors = letter_vectors(points, dimensions, seed)
+    place = place.reshape(3, -1)
+    blocks = [slice(i, i + 256) for i in range(0, len(seen), 256)]
+    trigram = lambda s: bind(*(vectors[p[s]] for p in place)).astype(np.float32)
+    prototypes = sum(counts[:, s] @ trigram(s) for s in blocks)
     prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
-    dots = np.concatenate([bind(vectors, a[s], b[s], c[s]).astype(float) @ prototypes.T for s in blocks])
-    slot[codes] = np.arange(1, len(codes) + 1)
-    return Model(languages, table, slot, np.concatenate([np.zeros((1, len(languages))), dots / np.sqrt(dimensions)]).astype(np.float32))
+    dots = np.concatenate([trigram(s) @ prototypes.T for s in blocks]) / np.sqrt(dimensions)
+    return Model(languages.tolist(), seen, dots.astype(np.float32))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = letter_table()
     for batch in slices(batches, "text"):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        found, owner = symbols(texts_of(batch, "text").to_pylist(), table)
+        found, owner = symbols(texts_of(batch, "text").to_pylist())
         at, text = trigrams(found, owner)
         for lang in sorted(set(langs)):
-            mine = at[langs[text] == lang]
-            key = (found[mine].astype(np.int64) << 42) | (found[mine + 1].astype(np.int64) << 21) | found[mine + 2]
-            keys, counts = np.unique(key, return_counts=True)
+            keys, counts = np.unique(codes(found, at[langs[text] == lang]), return_counts=True)
             yield pa.record_batch(
                 [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())],
                 names=["lang", "key", "n"],
@@ -154,13 +149,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("key").isNotNull())
-    first = W.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.select("key", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
-    chosen = broadcast_if_small(cut(chosen.select("key", "lang").distinct()))
-    counted = rows.join(chosen, ["key", "lang"], "left_semi").select("lang", "text")
-    counted = counted.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    mask = (1 << 21) - 1
-    return build([(r.lang, r.key >> 42, r.key >> 21 & mask, r.key & mask, r.n) for r in counted.collect()])
+    counted = sampled(rows, "lang", "key", per_language).select("lang", "text")
+    counted = counted.mapInArrow(tidy(_count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()
+    return build(*(found.column(c).to_numpy() for c in ("lang", "key", "n")))
 
 
 def predict(docs: DataFrame, model: Model, *keep: Column, text: str = "text") -> DataFrame:
@@ -185,4 +177,4 @@ def predict(docs: DataFrame, model: Model, *keep: Column, text: str = "text") ->
             extra = [pa.array(languages[best], pa.string()), pa.array(score, pa.float64()), pa.array(top, pa.float64())]
             yield pa.record_batch([*(batch.column(c) for c in names), *extra], names=[*names, "lang_pred", "score", "cosine"])
 
-    return source.mapInArrow(run, columns_ddl(source.schema.fields[:-1], "lang_pred string, score double, cosine double"))
+    return source.mapInArrow(tidy(run), columns_ddl(source.schema.fields[:-1], "lang_pred string, score double, cosine double"))

@@ -13,21 +13,19 @@ an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import columns_ddl, slices, texts_of
+from kinfolio.llm.common import columns_ddl, sampled, slices, texts_of, tidy
 from kinfolio.llm.hashing import SPACE_BYTES, buffers, shingle_hashes, span_hashes, word_spans
 from kinfolio.session import broadcast_if_small, cut
 
-#: Labelled documents a class learns from at most: those with the smallest id hashes.
+#: Labelled documents a class learns from at most, chosen by the hashes of their ids.
 SAMPLE_PER_CLASS = 6000
 #: Share of the pooled covariance, and of the scaled identity, in each class covariance.
 POOL, RIDGE = 0.1, 0.02
@@ -107,17 +105,17 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
-    factors: list[np.ndarray]
+    whiteners: list[np.ndarray]  # inverses of the covariances' Cholesky factors
     offsets: list[float]
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if not self.factors:
+        if not self.whiteners:
             return np.full(len(x), self.prior)
         z = np.clip((x - self.centre) / self.scale, -CLIP, CLIP)
         density = [
-            offset - 0.5 * (np.linalg.solve(factor, (z - mean).T) ** 2).sum(axis=0)
-            for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True)
+            offset - 0.5 * (((z - mean) @ whitener.T) ** 2).sum(axis=1)
+            for mean, whitener, offset in zip(self.means, self.whiteners, self.offsets, strict=True)
         ]
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -50, 50)))
 
@@ -133,22 +131,20 @@ def build(x: np.ndarray, y: np.ndarray, pool: float = POOL, ridge: float = RIDGE
     means = [z[y == k].mean(axis=0) for k in (0, 1)]
     spread = [(z[y == k] - m).T @ (z[y == k] - m) for k, m in enumerate(means)]
     pooled = sum(spread) / len(z)
-    factors, offsets = [], []
+    whiteners, offsets = [], []
     for k in (0, 1):
         cov = (1 - pool) * spread[k] / (y == k).sum() + pool * pooled
         cov = (1 - ridge) * cov + ridge * np.trace(cov) / len(cov) * np.eye(len(cov))
         factor = np.linalg.cholesky(cov)
-        factors.append(factor)
+        whiteners.append(np.linalg.inv(factor))
         offsets.append(float(np.log((y == k).mean()) - np.log(np.diag(factor)).sum()))
-    return Model(centre, scale, means, factors, offsets, prior)
+    return Model(centre, scale, means, whiteners, offsets, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from at most ``per_class`` labelled documents of each class; their feature rows reach the driver."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y in (0, 1)")
-    first = W.partitionBy("y").orderBy(F.xxhash64("key"), "key")
-    chosen = marked.distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_class).drop("rank")
-    chosen = broadcast_if_small(cut(chosen))
+    chosen = broadcast_if_small(cut(sampled(marked.distinct(), "y", "key", per_class)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             x = features(texts_of(batch, "text"))
             yield pa.record_batch([batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    found = rows.mapInArrow(run, "y int, x array<double>").toPandas()
+    found = rows.mapInArrow(tidy(run), "y int, x array<double>").toPandas()
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, found["y"]))  # sums in one order, whatever order the rows came in
     return build(x[order], found["y"].to_numpy()[order])
@@ -174,10 +170,5 @@ def predict(docs: DataFrame, model: Model, *keep: Column, text: str = "text", th
             out = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
             yield pa.record_batch([*(batch.column(c) for c in names), *out], names=[*names, "score", "predicted"])
 
-    return source.mapInArrow(run, columns_ddl(source.schema.fields[:-1], "score double, predicted int"))
+    return source.mapInArrow(tidy(run), columns_ddl(source.schema.fields[:-1], "score double, predicted int"))
 
-
-
-def in_fold(doc_id: int, k: int) -> int:
-    """crc32 of an id's decimal text modulo ``k``; the same as ``common.crc_mod``."""
-    return zlib.crc32(str(doc_id).encode()) % k

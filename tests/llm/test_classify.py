@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinfolio.llm import language, quality_qda, queries, url_filter
+from kinfolio.llm.common import sampled
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,17 +33,45 @@ def test_language_edges(spark):
 
 
 def test_language_table_equals_explicit_vectors():
-    rows = [("a", 0, ord(x), ord(y), 3) for x, y in zip("hello", "world", strict=True)] + [("b", ord(x), ord(y), 0, 2) for x, y in zip("spark", "query", strict=True)]
-    model = language.build(rows)
-    found, owner = language.symbols(["hw spark el"], model.table)
-    at, _ = language.trigrams(found, owner)
-    vectors = language.letter_vectors(language.ALPHABET, language.DIMENSIONS, 11)
-    text = language.bind(vectors, found[at], found[at + 1], found[at + 2]).astype(float).sum(axis=0)
-    symbol = lambda p: model.table[p] if p else 0
-    for k, lang in enumerate(model.languages):
-        proto = sum(n * language.bind(vectors, *(np.array([symbol(p)]) for p in (a, b, c)))[0].astype(float) for x, a, b, c, n in rows if x == lang)
-        exact = text @ proto / np.linalg.norm(text) / np.linalg.norm(proto)
-        assert abs(exact - model.cosines(["hw spark el"])[0][0, k]) < 0.1
+    spell = lambda t: [language.codes(f, a) for f, o in [language.symbols([t])] for a, _ in [language.trigrams(f, o)]][0]
+    samples = {"a": "hello world how well", "b": "spark query sparse quarks"}
+    rows = [(lang, int(c), 1) for lang, t in samples.items() for c in spell(t)]
+    model = language.build(*(np.array(x) for x in zip(*rows, strict=True)))
+    mask = (1 << 21) - 1
+
+    def summed(keys):
+        points = [np.array([k >> 42 for k in keys]), np.array([k >> 21 & mask for k in keys]), np.array([k & mask for k in keys])]
+        return language.bind(*(language.letter_vectors(p, language.DIMENSIONS, 11) for p in points)).astype(float).sum(axis=0)
+
+    for text in ("hello spark", "world query well", "zzz unseen world", "how quarks how"):
+        own, cosines = summed(spell(text)), model.cosines([text])[0][0]
+        for k, lang in enumerate(model.languages):
+            proto = summed(spell(samples[lang]))
+            assert abs(own @ proto / np.linalg.norm(own) / np.linalg.norm(proto) - cosines[k]) < 0.06
+
+
+def test_language_of_large_alphabets(spark):
+    """600 letters a language that differ from each other's in no frequency: each letter counts."""
+    rng = np.random.default_rng(4)
+    letters = [chr(0x4E00 + i) for i in range(1200)]
+    sides = {"x": letters[::2], "y": letters[1::2]}
+    text = lambda side: "".join(rng.choice(sides[side], 400))
+    learn = spark.createDataFrame([(i, text("xy"[i % 2]), "xy"[i % 2]) for i in range(200)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([("xy"[i % 2], text("xy"[i % 2])) for i in range(60)], "side string, text string")
+    model = language.fit(learn)
+    assert len({int(c) >> 42 for c in model.codes} - {0}) == 1200
+    got = language.predict(asked, model, F.col("side")).collect()
+    # Of 36 million possible trigrams a side, few are seen twice; words of one letter show the alphabet.
+    spaced = spark.createDataFrame([("xy"[i % 2], " ".join(text("xy"[i % 2]))) for i in range(60)], "side string, text string")
+    learn_spaced = learn.withColumn("text", F.regexp_replace("text", "(.)", "$1 "))
+    known = language.predict(spaced, language.fit(learn_spaced), F.col("side")).collect()
+    assert len(got) == 60 and all(r.side == r.lang_pred for r in known)
+
+
+def test_samples_are_bounded_and_even(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("key"), F.when(F.col("id") < 59_000, "big").otherwise("small").alias("g"))
+    n = {r.g: r.n for r in sampled(rows, "g", "key", 2000).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert n["small"] == 1000 and 1500 < n["big"] <= 2000
 
 
 def auc(score, label):
