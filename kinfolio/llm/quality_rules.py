@@ -1,18 +1,21 @@
 """Quality rules: base thresholds, then robust multivariate outliers per language and source.
 
 DataFrame functions only. The base statistics of a text come from array functions over
-its words and lines. For every (language, source) group, the minimum covariance
-determinant estimate of the transformed statistics is found by concentration steps
-from a median and MAD start: distances under the current mean and covariance, the
-nearest three quarters of the group, their mean and covariance, and so on. Documents
-beyond the Mahalanobis cutoff are rejected.
-
-Documents of groups with fewer than ``MIN_GROUP`` documents are judged by the estimates
-of all documents of their language or, if those are fewer too, of the whole table,
-however small; the floors keep its covariance regular. So every document that passes the
-base rule has a distance. A null language or source is a group of its own. A null or empty text has no words and fails
-the base rule. Repeated rows count as often as they occur; an empty table gives an
-empty result. Extra columns are not read.
+its words and lines. For every (language, source) group, every language and the whole
+table, the minimum covariance determinant estimate of the transformed statistics is
+sought by concentration steps: distances under the current mean and covariance, the
+nearest three quarters, their mean and covariance, and so on until no determinant
+changes any more. Steps start from medians and MADs and, apart from that, from plain
+means and covariances; the smaller determinant wins. Documents beyond the Mahalanobis
+cutoff are rejected.
+
+A group's estimate is drawn towards its language's, and a language's towards the table's,
+by the weight of ``PRIOR`` documents, so small groups are judged like the documents around
+them and large ones by themselves; no size switches. Every document that passes the base
+rule has a distance; those at the cutoff itself, and ties with them, are kept. A null
+language or source is a group of its own. A null or empty text has no words and fails
+the base rule. Texts of any length are read whole. Repeated rows count as often as they
+occur; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfolio.llm.common import words
-from kinfolio.session import broadcast_if_small, cut, scratch_table
+from kinfolio.session import broadcast_if_small, cut, scratch_table, small
 
 #: Words in a window whose repetition counts.
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Documents a group needs for estimates of its own.
-MIN_GROUP = 200
+#: Documents whose weight the estimate of a language, or of the table, has in those below it.
+PRIOR = 200
 #: The pool of all documents.
 ALL = "2:*"
-#: Share of a group that a concentration step keeps, and the number of steps.
-COVERAGE, STEPS = 0.75, 4
+#: Share of a group that a concentration step keeps.
+COVERAGE = 0.75
+#: Steps end where no log-determinant moves by more than this; rounding could keep a few moving, hence the bound.
+STILL, MOST_STEPS = 1e-3, 30
 #: Makes the covariance of the nearest 75 % consistent for 4 normal statistics:
 #: 0.75 / P(chi-square with 6 degrees <= 75 % quantile with 4 degrees). Fixed value.
 CONSISTENCY = 1.487
@@ -107,37 +112,21 @@ def _cov(a: str, b: str) -> str:
     return f"c_{a}_{b}" if (a, b) in _pairs() else f"c_{b}_{a}"
 
 
-def assign_groups(rows: DataFrame, lang: str = "lang", source: str = "source", least: int = MIN_GROUP) -> DataFrame:
-    """Adds ``grp``, the pool that judges a row: its (language, source) group, its language or, where both are small, the table.
-
-    ``pools`` lists all pools that the row is counted in.
-    """
-    keys = [F.concat(F.lit(f"{level}:"), F.to_json(F.struct(*by))) for level, by in enumerate(((lang, source), (lang,)))]
-    chosen = F.lit(ALL)
-    for level, key in reversed(list(enumerate(keys))):
-        rows = rows.withColumn(f"_key{level}", key)
-        counts = rows.groupBy(f"_key{level}").count().where(F.col("count") >= least)
-        counts = broadcast_if_small(cut(counts.select(f"_key{level}", F.lit(True).alias(f"_enough{level}"))))
-        rows = rows.join(counts, f"_key{level}", "left")
-        chosen = F.when(F.col(f"_enough{level}"), F.col(f"_key{level}")).otherwise(chosen)
-    pools = F.array("_key0", "_key1", F.lit(ALL))
-    return rows.withColumns({"grp": chosen, "pools": pools}).drop("_key0", "_key1", "_enough0", "_enough1")
-
-
-def pooled(rows: DataFrame) -> DataFrame:
-    """The statistics of every row once for each pool it is counted in, for the pools that judge a row."""
-    used = broadcast_if_small(cut(rows.select("grp").distinct()))
-    return rows.select(*FLOORS, F.explode("pools").alias("grp")).join(used, "grp", "left_semi")
+def with_pools(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Adds ``grp`` and ``language``, the keys of a row's (language, source) group and of its language."""
+    key = lambda level, *by: F.concat(F.lit(f"{level}:"), F.to_json(F.struct(*by)))
+    return rows.withColumns({"grp": key(0, lang, source), "language": key(1, lang)})
 
 
 def _with_inverse(stats: DataFrame) -> DataFrame:
-    """Adds p_*: the inverse of each group's covariance, by the sweep operator."""
+    """Adds p_*, the inverse of each group's covariance by the sweep operator, and ``logdet``."""
     names = list(FLOORS)
     entry = {(a, b): _cov(a, b) for a in names for b in names}
     out = stats.withColumns({f"p_{a}_{b}": F.col(entry[a, b]) for a, b in _pairs()})
     at = lambda a, b: F.col(f"p_{a}_{b}" if (a, b) in _pairs() else f"p_{b}_{a}")
+    out = out.withColumn("logdet", F.lit(0.0))
     for k in names:
-        new = {}
+        new = {"logdet": F.col("logdet") + F.log(F.abs(at(k, k)))}
         for a, b in _pairs():
             if a == k and b == k:
                 value = -1 / at(k, k)
@@ -166,33 +155,52 @@ def _estimates(sums: DataFrame, factor: float) -> DataFrame:
     for a, b in _pairs():
         value = factor * (F.col(f"q_{a}_{b}") / F.col("n") - F.col(f"s_{a}") / F.col("n") * F.col(f"s_{b}") / F.col("n"))
         cov[_cov(a, b)] = value + F.lit(FLOORS[a] ** 2) if a == b else value
-    return sums.select("grp", *(v.alias(k) for k, v in {**mean, **cov}.items()))
+    return sums.select("grp", "start", *(v.alias(k) for k, v in {**mean, **cov}.items()))
+
+
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in FLOORS), *(F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}") for a, b in _pairs())]
 
 
-def estimates(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each ``grp`` of ``rows`` (a materialised frame)."""
-    data = rows
+def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each ``grp`` of ``rows`` (a materialised frame), with its size ``total``."""
     quartile = lambda c, q: F.percentile_approx(c, q, 10000)
-    centre = cut(data.groupBy("grp").agg(*(quartile(a, 0.5).alias(f"m_{a}") for a in FLOORS)))
-    away = data.join(broadcast_if_small(centre), "grp")
+    plain = cut(rows.groupBy("grp").agg(*(quartile(a, 0.5).alias(f"m_{a}") for a in FLOORS), *_sums()).withColumn("total", F.col("n")))
+    hint = F.broadcast if small(plain) else lambda df: df  # one row a group, here and below
+    away = rows.join(hint(plain.select("grp", *(f"m_{a}" for a in FLOORS))), "grp")
     spread = away.groupBy("grp").agg(*(quartile(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5).alias(f"d_{a}") for a in FLOORS))
-    start = centre.join(spread, "grp")
     diagonal = {
         _cov(a, b): F.pow(1.4826 * F.col(f"d_{a}"), 2) + F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0) for a, b in _pairs()
     }
-    stats = start.select("grp", *(f"m_{a}" for a in FLOORS), *(v.alias(k) for k, v in diagonal.items()))
-    for _ in range(steps):
-        known = broadcast_if_small(cut(_with_inverse(stats)))
-        scored = data.join(known, "grp").select("grp", *FLOORS, distance().alias("d2"))
-        limit = broadcast_if_small(cut(scored.groupBy("grp").agg(quartile("d2", coverage).alias("limit"))))
-        near = scored.join(limit, "grp").where("d2 <= limit")
-        sums = near.groupBy("grp").agg(
-            F.count("*").alias("n"),
-            *(F.sum(a).alias(f"s_{a}") for a in FLOORS),
-            *(F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}") for a, b in _pairs()),
-        )
-        stats = _estimates(sums, CONSISTENCY)
-    return cut(_with_inverse(stats))
+    robust = plain.join(spread, "grp").select("grp", F.lit(0).alias("start"), *(f"m_{a}" for a in FLOORS), *(v.alias(k) for k, v in diagonal.items()))
+    stats = robust.unionByName(_estimates(plain.withColumn("start", F.lit(1)), 1.0))
+    now = cut(_with_inverse(stats))
+    for _ in range(MOST_STEPS):
+        scored = rows.join(hint(now), "grp").select("grp", "start", *FLOORS, distance().alias("d2"))
+        limit = hint(cut(scored.groupBy("grp", "start").agg(quartile("d2", coverage).alias("limit"))))
+        near = scored.join(limit, ["grp", "start"]).where("d2 <= limit")
+        before, now = now, cut(_with_inverse(_estimates(near.groupBy("grp", "start").agg(*_sums()), CONSISTENCY)))
+        both = now.join(before.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"])
+        moved = both.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved <= STILL:
+            break
+    best = now.groupBy("grp").agg(F.min_by(F.struct(*(c for c in now.columns if c != "grp")), F.struct("logdet", "start")).alias("x"))
+    return cut(best.select("grp", "x.*").drop("start").join(plain.select("grp", "total"), "grp"))
+
+
+def shrunk(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """Estimates of ``groups`` (``grp, language``), drawn towards their language's and the table's."""
+    values = [*(f"m_{a}" for a in FLOORS), *(_cov(a, b) for a, b in _pairs())]
+    side = lambda tag: found.select(F.col("grp").alias(f"key_{tag}"), F.col("total").alias(f"n_{tag}"), *(F.col(v).alias(f"{v}_{tag}") for v in values))
+    met = groups.join(side("g"), F.col("grp") == F.col("key_g")).join(side("l"), F.col("language") == F.col("key_l"))
+    met = met.join(side("t").where(F.col("key_t") == ALL))
+    weight = lambda tag: F.col(f"n_{tag}") / (F.col(f"n_{tag}") + F.lit(PRIOR))
+
+    def drawn(v: str) -> Column:
+        around = weight("l") * F.col(f"{v}_l") + (1 - weight("l")) * F.col(f"{v}_t")
+        return weight("g") * F.col(f"{v}_g") + (1 - weight("g")) * around
+
+    return _with_inverse(met.select("grp", *(drawn(v).alias(v) for v in values)))
 
 
 def apply(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -200,9 +208,11 @@ def apply(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     keep = [F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source")]
     rows = base_statistics(docs, *keep, text=text).withColumn("base_failed", base_failed()).withColumns(transformed())
     rows = scratch_table(rows, "quality-rules")
-    passing = scratch_table(assign_groups(rows.where(~F.col("base_failed"))), "quality-groups")
-    known = broadcast_if_small(estimates(scratch_table(pooled(passing), "quality-pools")))
-    judged = passing.join(known, "grp", "left").withColumn("distance", F.greatest(distance(), F.lit(0.0)))
+    passing = with_pools(rows.where(~F.col("base_failed")))
+    pools = passing.select(*FLOORS, F.explode(F.array("grp", "language", F.lit(ALL))).alias("grp"))
+    found = estimates(scratch_table(pools, "quality-pools"))
+    known = cut(shrunk(found, passing.select("grp", "language").distinct()))
+    judged = passing.join(broadcast_if_small(known), "grp", "left").withColumn("distance", F.greatest(distance(), F.lit(0.0)))
     judged = judged.withColumn("kept", F.col("distance") <= cutoff)
     failed = rows.where("base_failed").withColumns({"distance": F.lit(None).cast("double"), "kept": F.lit(False)})
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
