@@ -5,9 +5,10 @@ benchmark's vocabulary. Each window of a benchmark item (13 words, or the whole
 shorter item) names its two rarest terms; the postings (term, document, position) of
 those terms are stored, and the lists of an item's terms meet on the alignment
 ``position - place in the item``. Alignments where some window has both its terms are
-checked word by word over the whole item, so that every exact occurrence of a window,
-and nothing else, is a hit. ``proximity_matches`` uses the same postings for terms that
-stand close together in any order.
+checked word by word over the whole item, against that many words of the document, so
+that every exact occurrence of a window, and nothing else, is a hit. Proximity matches
+come from the same postings: items of which some window's two rarest terms stand close
+together, in any order. ``proximity_matches`` does so for all terms of short phrases.
 
 Null and empty texts have no words: such documents have no hits, such items no windows.
 Documents are told apart by id and text, so repeated ids with other texts have their own
@@ -27,6 +28,8 @@ from kinfolio.llm.common import words as split_words
 from kinfolio.session import broadcast_if_small, cut, scratch_table
 
 WINDOW = 13
+#: Words that a window's two rarest terms may be apart in a proximity match.
+NEAR = 26
 #: Everything in ASCII but digits and lower-case letters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -92,13 +95,19 @@ def alignments(index: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFram
 
 def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc, part, item_id, first, last``: word ranges covered by occurrences of an item's windows."""
-    rows = docs.join(found, (docs.doc.eqNullSafe(found.doc)) & (docs.part == found.part)).select(
-        docs.doc, docs.part, found.item, found.at, words(F.col("text")).alias("dw"), F.lit(0).alias("_")
-    )
+    sizes = broadcast_if_small(cut(items.select("item", F.size("w").alias("n")).distinct()))
+    listed = found.join(sizes, "item").groupBy("doc", "part").agg(F.collect_list(F.struct("item", "at", "n")).alias("all"))
+    listed = listed.withColumnsRenamed({"doc": "d", "part": "p"})
+    rows = docs.join(listed, docs.doc.eqNullSafe(listed.d) & (docs.part == listed.p)).select("doc", "part", "all", words(F.col("text")).alias("dw"))
+    # Each alignment takes the document's words where the item would stand, and no others.
+    before = lambda x: F.least(x["at"], F.lit(0))
+    there = lambda x: F.slice("dw", x["at"] - before(x) + 1, F.greatest(x["n"] + before(x), F.lit(0)))
+    each = F.transform("all", lambda x: F.struct(x["item"].alias("item"), x["at"].alias("at"), there(x).alias("seen")))
+    rows = rows.select("doc", "part", F.explode(each).alias("x"), F.size("dw")).select("doc", "part", "x.*")
     rows = rows.join(broadcast_if_small(items), "item")
     n = F.size("w")
     # What the document has where the item would stand; null beyond its ends.
-    aligned = F.transform("w", lambda x, j: F.get("dw", F.col("at") + j) == x)
+    aligned = F.transform("w", lambda x, j: F.get("seen", j + F.least("at", F.lit(0))) == x)
     rows = rows.select("doc", "part", "item_id", "at", n.alias("n"), aligned.alias("same"))
     misses = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: ~F.coalesce(F.get("same", j), F.lit(False)))
     stops = F.concat(F.array(F.lit(-1)), misses, F.array(F.col("n")))
@@ -108,27 +117,62 @@ def occurrences(docs: DataFrame, items: DataFrame, found: DataFrame, window: int
     return rows.select("doc", "part", "item_id", F.explode(long).alias("r")).select("doc", "part", "item_id", "r.first", "r.last")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """``key, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
-    return judged(docs, benchmark, key, text, item_key, window).drop("part")
+def near_items(index: DataFrame, items: DataFrame, pairs: DataFrame, within: int = NEAR) -> DataFrame:
+    """``doc, part, item_id`` of proximity matches: a window's two rarest terms at most ``within`` words apart.
+
+    The closest two such places follow each other among all places of both terms, so one sorted
+    list for each document and pair shows them; no pairs of places are made.
+    """
+    term = lambda j: F.element_at("w", F.col(j) + 1)
+    named = items.join(pairs.where("b is not null"), "item").select("item_id", term("a").alias("x"), term("b").alias("y")).where("x <> y").distinct()
+    sides = named.select("item_id", F.struct("x", "y").alias("pair"), F.explode(F.array("x", "y")).alias("term"))
+    met = index.join(broadcast_if_small(cut(sides.select("pair", "term").distinct())), "term")
+    placed = met.groupBy("doc", "part", "pair").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("all"))
+    close = F.exists(
+        F.sequence(F.lit(1), F.size("all") - 1),
+        lambda k: (F.get("all", k)["term"] != F.get("all", k - 1)["term"]) & (F.get("all", k)["pos"] - F.get("all", k - 1)["pos"] <= within),
+    )
+    found = placed.where(F.size("all") > 1).where(close).select("doc", "part", "pair")
+    return found.join(broadcast_if_small(cut(sides.select("pair", "item_id").distinct())), "pair").select("doc", "part", "item_id").distinct()
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """``contamination`` with ``part``, the hash of the text that the verdict is of."""
+def indexed(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, items, the rarest places of their windows, and the stored postings of the terms there."""
     source = _documents(docs, key, text)
     items = item_words(benchmark, item_key)
     vocabulary = cut(items.select(F.explode("w").alias("term")).distinct())
     counts = cut(term_counts(source, vocabulary).withColumnRenamed("n", "n_docs"))
     pairs = anchors(items, counts, window)
     used = items.join(pairs.select("item", F.explode(F.array_compact(F.array("a", "b"))).alias("j")), "item")
-    index = postings(source, cut(used.select(F.element_at("w", F.col("j") + 1).alias("term")).distinct()))
+    return source, items, pairs, postings(source, cut(used.select(F.element_at("w", F.col("j") + 1).alias("term")).distinct()))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW, within: int = NEAR) -> DataFrame:
+    """``key, part, item_id, kind, first, last``: exact phrase matches by their word ranges, and proximity matches.
+
+    ``kind`` is ``phrase`` or ``near``; a proximity match is told once a document and item, without a range.
+    """
+    source, items, pairs, index = indexed(docs, benchmark, key, text, item_key, window)
+    exact = occurrences(source, items, alignments(index, items, pairs), window).distinct().withColumn("kind", F.lit("phrase"))
+    near = near_items(index, items, pairs, within).withColumn("kind", F.lit("near"))
+    both = exact.unionByName(near, allowMissingColumns=True)
+    return both.select(F.col("doc").alias(key), "part", "item_id", "kind", "first", "last")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """``key, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
+    return judged(docs, benchmark, key, text, item_key, window).drop("part")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """``contamination`` with ``part``, the hash of the text that the verdict is of."""
+    source, items, pairs, index = indexed(docs, benchmark, key, text, item_key, window)
     hits = scratch_table(occurrences(source, items, alignments(index, items, pairs), window), "occurrences")
     covered = hits.select("doc", "part", F.explode(F.sequence("first", "last")).alias("pos"))
     n_hit = covered.distinct().groupBy("doc", "part").agg(F.count("*").alias("n_hit"))
     listed = hits.select("doc", "part", "item_id").distinct().groupBy("doc", "part").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    found = n_hit.join(listed, n_hit.doc.eqNullSafe(listed.doc) & (n_hit.part == listed.part)).select(
-        n_hit.doc.alias("hit_doc"), n_hit.part.alias("hit_part"), "n_hit", "ids"
-    )
+    found = n_hit.unionByName(listed, allowMissingColumns=True).groupBy(F.col("doc").alias("hit_doc"), F.col("part").alias("hit_part"))
+    found = found.agg(F.max("n_hit").alias("n_hit"), F.first("ids", ignorenulls=True).alias("ids"))
     sized = source.select("doc", "part", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = sized.join(found, sized.doc.eqNullSafe(found.hit_doc) & (sized.part == found.hit_part), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

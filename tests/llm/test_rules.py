@@ -122,6 +122,24 @@ def test_proximity(spark):
     assert {r.doc_id for r in decontaminate.proximity_matches(docs, bench, 20).collect()} == {1, 2}
 
 
+def test_phrase_and_proximity_matches(spark):
+    texts = ["so alpha beta then", "beta or alpha", "alpha " + "z " * 9 + "beta", "beta beta " + "z " * 9 + "alpha beta", "alpha only", None]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)] + [(None, "beta alpha", "own")], "doc_id long, text string, kind string")
+    bench = spark.createDataFrame([("q", "alpha beta"), ("r", "solo"), ("s", None)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id, r.kind, r.first, r.last) for r in decontaminate.matches(docs, bench, within=4).collect()}
+    assert {g for g in got if g[2] == "phrase"} == {(0, "q", "phrase", 1, 2), (3, "q", "phrase", 11 + 0, 12)}
+    assert {g[0] for g in got if g[2] == "near"} == {0, 1, 3, None}
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0
+
+
+def test_a_long_document_with_a_frequent_short_item(spark):
+    """Each alignment carries its own few words, not the document's."""
+    docs = spark.createDataFrame([(1, "x y " * 30_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "x y"), (8, "y x z")], "item_id long, text string")
+    r = decontaminate.contamination(docs, bench).first()
+    assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (60_000, 60_000, 1, True)
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div id="cookie-notice">We use cookies</div><main><h1>Title &amp; more</h1><p>First   para &eacute;<br>next line.</p><p>Short.</p><p><b>Bold<p>Third paragraph with <a href=y>a link</a> inside it.
 <div class="ad">Buy this now</div><ul><li>item one<li>item two</ul><form><input><p>Your mail</p></form></main><aside>Side</aside><section class="comments"><p>I disagree entirely with this article</p></section><footer>&copy; x</footer></body></html>"""
