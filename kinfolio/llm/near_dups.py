@@ -72,7 +72,7 @@ SMALL_BUCKET = 24
 #: Members of large buckets outside the largest component that a block compares with others.
 LEADERS = 256
 #: Shingles of the members that a block compares them with, on average; bounds a task's memory.
-SLICE_SHINGLES = 400_000
+SLICE_SHINGLES = 100_000
 #: Blocks of leaders that a bucket takes in one round at most.
 WIDEST = 64
 
