@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import ragged, slices, texts_of, tidy
+from kinfolio.llm.common import keeps, ragged, slices, texts_of, tidy
 from kinfolio.llm.token_units import PATTERN, UnitCache, Vocabulary, encode_texts
 
 #: Bytes that the cached words of a worker may take, about, besides its cached units.
@@ -123,6 +123,9 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+keeps("bpe", codec.cache_clear)
+
+
 def encode(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``ids array<int>`` and ``decoded string`` of every row."""
 
@@ -137,7 +140,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(tidy(run), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(run, "bpe"), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -163,5 +166,5 @@ def encode_digests(docs: DataFrame, vocab_path: str, text: str = "text", key: st
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    out = source.mapInArrow(tidy(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = source.mapInArrow(tidy(run, "bpe"), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)

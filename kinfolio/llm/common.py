@@ -77,14 +77,26 @@ def slices(
             at = stop
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function that gives freed memory back to the system when its partition ends.
+_keeps: dict[str, Callable[[], None]] = {}
 
-    Spark keeps Python workers for later tasks; what Arrow's pool and the allocator hold
-    unused would otherwise add up over the operators that a worker has served.
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Tells how to free what ``owner``'s tasks keep in a worker from one task to the next."""
+    _keeps[owner] = forget
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function that leaves no other operator's memory behind.
+
+    Spark keeps Python workers for later tasks. At its start, what tasks of other owners keep
+    is freed; at its end, what Arrow's pool and the allocator hold unused goes back to the
+    system. Otherwise these would add up over the operators that a worker has served.
     """
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in _keeps.items():
+            if name != owner:
+                forget()
         try:
             yield from run(batches)
         finally:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolio.llm.common import slices, texts_of, tidy
+from kinfolio.llm.common import keeps, slices, texts_of, tidy
 from kinfolio.llm.token_units import UnitCache, Vocabulary, encode_texts
 from kinfolio.session import broadcast_if_small, cut
 
@@ -129,6 +129,9 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+keeps("packed_ids", encoder.cache_clear)
+
+
 def frames(docs: DataFrame, vocab_path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Packed frames of all documents, range partitioned and ordered by ``key`` (a long)."""
 
@@ -148,7 +151,7 @@ def frames(docs: DataFrame, vocab_path: str, end_id: int = 0, text: str = "text"
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     source = source.withColumn("tie", F.xxhash64("text"))
     ordered = source.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").drop("tie")
-    return ordered.mapInArrow(tidy(run), FRAME_SCHEMA)
+    return ordered.mapInArrow(tidy(run, "packed_ids"), FRAME_SCHEMA)
 
 
 def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> None:
@@ -205,4 +208,4 @@ def _scan(spark: SparkSession, path: str, schema: str, of, kind: pa.DataType) ->
 
     data = spark.read.schema(FRAME_SCHEMA).parquet(path)
     starts = broadcast_if_small(cut(frame_starts(spark, path)))
-    return data.join(starts, ["shard", "frame"]).select("base", "doc_ids", "counts", "payload").mapInArrow(tidy(run), schema)
+    return data.join(starts, ["shard", "frame"]).select("base", "doc_ids", "counts", "payload").mapInArrow(tidy(run, "packed_ids"), schema)

@@ -187,7 +187,7 @@ def test_spans_meet_earlier_documents_only():
         window, n = rnd.choice([2, 3, 5]), rnd.randint(1, 14)
         regions = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(window, 14))) for _ in range(n)]
         fp, sub, least = (np.array([rnd.randint(0, k) for _ in range(n)], dtype=np.int64) for k in (2, 1, 6))
-        got = substring_dedup.matched_spans(pa.array(regions, pa.large_string()), fp, sub, least, window)
+        got = substring_dedup.matched_spans(pa.array(regions, pa.large_string()), fp, sub, least, window)[0]
         for i, r in enumerate(regions):
             w, cover = r.split(" "), set()
             earlier = [regions[j].split(" ") for j in range(n) if fp[j] == fp[i] and sub[j] == sub[i] and least[j] < least[i]]
@@ -231,6 +231,23 @@ def test_substring_dedup(spark, many):
     assert substring_dedup.dedup(df.limit(0), window=10, shingle=4).count() == 0
 
 
+@pytest.mark.parametrize("many", [substring_dedup.MANY_WORDS, 1])
+def test_texts_that_repeat_themselves(spark, many):
+    """Runs of one minimizer: periods of 1 to 6 words, their ends, and texts that only begin like them."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 3)):
+            p = rnd.choice(["a", "a b", "b a", "a b c", "c a b", "a a b", "a b c d e f"]).split()
+            n = rnd.randint(3, 60)
+            parts += (p * n)[: rnd.randint(2, n)] + rnd.choice([[], ["x"], [f"y{i}"]])
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup(df, window=10, shingle=4, many=many).collect()
+    assert sorted(str((r.doc, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())) for r in got) == brute_substring(rows, 10)
+
+
 def test_long_text_against_itself(spark):
     long = " ".join(f"w{i}" for i in range(20000))
     df = spark.createDataFrame([(1, long), (2, "x " + long), (3, long)], "doc_id long, text string")
