@@ -30,30 +30,41 @@ GRAMS = (3, 4, 5)
 
 #: Invented site names of unwanted and of ordinary kinds, from which the small labelled table is made.
 UNWANTED = """
-free-bets bets-online best-bets live-bets free-casino casino-bonus online-casino casino-slots cheap-pills buy-pills pills-store
-diet-pills cheap-meds viagra-shop pharmacy-deals ads-track track-ads ads-server ad-click pixel-track tracker-ads porn-tube free-porn
+bets-online best-bets live-bets free-casino casino-bonus online-casino casino-slots buy-pills pills-store
+diet-pills cheap-meds viagra-shop pharmacy-deals track-ads ads-server ad-click pixel-track tracker-ads porn-tube free-porn
 xxx-videos adult-cams adult-videos sexy-dating hot-singles warez-crack keygen-crack torrent-warez free-money win-prize lottery-win
 big-win payday-loans quick-loans cheap-loans poker-bets slots-poker jackpot-slots cheap-watches replica-watches replica-bags
-seo-links buy-links link-farm content-farm spam-farm spam-blog spam-mail malware-download phishing-login free-download
+seo-links buy-links link-farm content-farm spam-blog spam-mail malware-download phishing-login free-download
+casino-royale-bonus slots-spins bet-tips sportsbet-live pills-discount viagra-online meds-online adult-dating live-cams fast-cash-loans
+payday-cash serial-crack keygen-files torrent-movies replica-handbags replica-watches-shop lottery-prize click-ads banner-ads
+popup-ads tracking-pixel seo-backlinks buy-backlinks spam-links malware-host phishing-bank casino-jackpot poker-bonus porn-videos
 """.split()
 ORDINARY = """
 library garden city-news school weather museum docs history science kitchen theatre music sports travel maps garden-tools town-hall
-bird-watching university hospital parliament open-data two-rivers radio bakery trains forum mountain astronomy gallery thother therand
-ndtion erthin thanre onther heresh stedou ingres entith atorha leaner nature-park book-club river-walk farm-shop adult-education
+bird-watching university hospital parliament open-data two-rivers radio bakery trains forum mountain astronomy gallery riverside
+meadow-school lantern orchard northgate harbour woodland thorne hendon eastern-line interest ontology restful nature-park book-club river-walk farm-shop adult-education
 win-museum ad-hoc track-field farmers-market money-history free-library live-music login
+city-council public-library garden-club school-district weather-station history-society science-museum kitchen-recipes
+theatre-tickets music-festival sports-club travel-guide map-archive source-docs radio-station mountain-rescue astronomy-club
+art-gallery university-press hospital-trust train-times corner-bakery forum-archive data-portal museum-shop news-archive
 """.split()
 
 
+#: Forms of the labelled URLs, alike in both classes: what stands before and behind a site's name, and paths.
+BEFORE = ("", "www.", "blog.", "m.", "shop.", "en.")
+BEHIND = (".com", ".net", ".org", ".info", ".co.uk", ".de", ".example.org", ".host.io")
+PATHS = ("", "/", "/about", "/2019/05/a-long-title", "/en/{n}", "/index.php?id={n}", "/page/{n}.html", "/news/{n}#top")
+
+
 def labelled_urls(unwanted: list[str] = UNWANTED, ordinary: list[str] = ORDINARY) -> list[tuple[str, int]]:
-    """(URL, label) rows, 1 for block: each site under each domain, with subdomains and paths alike in both classes."""
+    """(URL, label) rows, 1 for block: each site in four forms, which have the same share in both classes."""
     rows = []
     for label, sites in ((1, unwanted), (0, ordinary)):
         for i, site in enumerate(sites):
-            for j, domain in enumerate(("com", "net", "org")):
-                prefix = ("", "www.", "blog.", "m.")[(i + j) % 4]
-                path = ("en", "de", "fr", "es")[(i + 2 * j) % 4]
-                end = ("", ".html", "/", "?page=2")[(i // 4 + j) % 4]
-                rows.append((f"http://{prefix}{site}.example.{domain}/{path}/{i * 37 + j}{end}", label))
+            for j in range(4):
+                k = 4 * i + j
+                path = PATHS[k % len(PATHS)].format(n=i * 37 + j)
+                rows.append((f"https://{BEFORE[k % len(BEFORE)]}{site}{BEHIND[(k + i) % len(BEHIND)]}{path}", label))
     return rows
 
 
