@@ -247,7 +247,7 @@ def _(s, d):
 
 
 GOLD = """gold AS (SELECT vec_id AS anchor, label FROM embeddings WHERE vec_id % 5 = 0),
-pos AS (SELECT g.anchor, list(e.vec_id) AS positives FROM gold g JOIN embeddings e ON e.label = g.label AND e.vec_id <> g.anchor AND e.vec_id < 100 GROUP BY 1),
+pos AS (SELECT g.anchor, list(e.vec_id) AS positives FROM gold g JOIN embeddings e ON e.label = g.label AND e.vec_id BETWEEN g.anchor + 1 AND g.anchor + 20 GROUP BY 1),
 pred AS (SELECT vec_id AS anchor, [vec_id + 1, vec_id + 2, vec_id + 3, vec_id + 4, vec_id + 5, vec_id + 6] AS predicted FROM embeddings WHERE vec_id % 15 <> 0),
 scored AS (SELECT p.anchor, predicted IS NOT NULL AS covered, coalesce(len(list_filter(predicted[1:5], lambda x: list_contains(positives, x))), 0) / 5 AS prec,
   coalesce(list_sum(list_transform(predicted[1:5], lambda x, i: CASE WHEN list_contains(positives, x) THEN 1 / log2(i + 1) ELSE 0 END)), 0)
@@ -256,8 +256,9 @@ scored AS (SELECT p.anchor, predicted IS NOT NULL AS covered, coalesce(len(list_
 
 def _goldset(s, d):
     e = table(s, d, "embeddings").select("vec_id", "label")
-    others = e.where("vec_id < 100").select(F.col("vec_id").alias("p"), F.col("label").alias("l"))
-    gold = e.where("vec_id % 5 = 0").join(others, (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("p"))).groupBy(F.col("vec_id").alias("anchor")).agg(F.collect_list("p").alias("positives"))
+    # A judged set lists a bounded number of items an anchor: of the next 20, those with its label.
+    near = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("anchor"), F.col("label").alias("l"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 20)).alias("vec_id"))
+    gold = near.join(e, "vec_id").where(F.col("label") == F.col("l")).groupBy("anchor").agg(F.collect_list("vec_id").alias("positives"))
     pred = e.where("vec_id % 15 <> 0").select(F.col("vec_id").alias("anchor"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.col("vec_id") + i).alias("predicted"))
     return gold, pred
 
