@@ -33,6 +33,19 @@ def force_full(total: Column, new: Column, drift: Column, ratio: float = 0.2, li
     return (share > ratio) | F.coalesce(drift > limit, F.lit(False))
 
 
+def cluster_params(n: Column, most: Column, least: Column) -> Column:
+    """Clustering parameters as a struct, from the number of items and the wanted numbers of clusters (``least`` may be null)."""
+    within = lambda x, low, high: F.greatest(F.lit(low), F.least(x, high if isinstance(high, Column) else F.lit(high)))
+    third = lambda x: F.floor(x / 3).cast("long")
+    most = within(most.cast("long"), 2, 20)
+    fewest = F.when(least.isNull(), F.greatest(F.lit(2), third(most))).otherwise(within(least.cast("long"), 2, most))
+    size = within(F.floor(n / 20).cast("long"), 3, 10)
+    return F.struct(
+        most.alias("target_max_clusters"), fewest.alias("min_clusters"), size.alias("min_cluster_size"),
+        within(third(size), 1, 3).alias("min_samples"), within(60 - 2 * most, 15, 60).alias("n_neighbors"),
+    )
+
+
 def progress_percent(total: Column, done: Column) -> Column:
     return F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), done / total * 100.0))).otherwise(F.lit(0.0))
 

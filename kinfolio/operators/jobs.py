@@ -13,6 +13,7 @@ from kinfolio.operators.embed import embed_hashing
 from kinfolio.operators.graph import NO_COLOR, cluster_colors
 from kinfolio.operators.pairs import related_items, similarity_edges
 from kinfolio.operators.report import monthly_timeline
+from kinfolio.session import cut
 
 
 def enrich_and_embed(items: DataFrame, replies: DataFrame, dimensions: int) -> DataFrame:
@@ -32,7 +33,7 @@ def build_snapshot(items: DataFrame, clusters: DataFrame, lists: DataFrame, k: i
     placed = items.where("embedding is not null and x is not null")
     nodes = join_lists(placed.join(cluster_colors(clusters), "cluster_id", "left"), lists)
     nodes = nodes.withColumns({"size": node_size(F.col("stars")), "color": F.coalesce("color", F.lit(NO_COLOR))})
-    edges = similarity_edges(items, threshold, k)
+    edges = cut(similarity_edges(items, threshold, k))  # counted for the name and returned
     totals = nodes.agg(F.count("*").alias("n")).join(edges.agg(F.count("*").alias("e")))
     version = totals.select(F.format_string("snapshot-%s-n%d-e%d", F.date_format(F.current_timestamp(), "yyyyMMddHHmmss"), "n", "e").alias("version"))
     return nodes, edges, monthly_timeline(items), version

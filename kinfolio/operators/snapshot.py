@@ -74,8 +74,12 @@ def active_version(spark: SparkSession, root: str, user_id: int) -> str | None:
 
 
 def publish(spark: SparkSession, root: str, user_id: int, version: str, nodes: DataFrame, edges: DataFrame, timeline: DataFrame) -> tuple[bool, str]:
-    """Write, check what was written, and activate only if it is consistent."""
-    write(root, user_id, version, nodes=nodes, edges=edges, timeline=timeline, meta=meta(nodes, edges, timeline))
+    """Write, check what was written, and activate only if it is consistent.
+
+    Totals are counted from the written parts, so that no part is computed twice.
+    """
+    write(root, user_id, version, nodes=nodes, edges=edges, timeline=timeline)
+    write(root, user_id, version, meta=meta(*(read(spark, root, p, user_id, version) for p in ("nodes", "edges", "timeline"))))
     found = consistency(*(read(spark, root, p, user_id, version) for p in PARTS)).head()
     if found.valid:
         activate(spark, root, user_id, version)

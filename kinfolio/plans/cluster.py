@@ -85,6 +85,16 @@ def _(s, d):
     return counted.select("cluster_id", N.force_full(F.col("total"), F.col("new"), F.lit(None).cast("double")).alias("full_run"))
 
 
+@query("cluster_params", with_items("""SELECT name, most AS target_max_clusters, CASE WHEN least IS NULL THEN greatest(2, most // 3) ELSE greatest(2, least(least, most)) END AS min_clusters, size AS min_cluster_size,
+  greatest(1, least(3, size // 3)) AS min_samples, greatest(15, least(60, 60 - 2 * most)) AS n_neighbors FROM
+  (SELECT name, greatest(2, least(20, stars % 30)) AS most, CASE WHEN stars % 2 = 0 THEN stars % 23 END AS least, greatest(3, least(10, n // 20)) AS size FROM
+    (SELECT name, count(*) * 7 AS n, max(stars) AS stars FROM items GROUP BY 1))"""))
+def _(s, d):
+    counted = items(s, d).groupBy("name").agg((F.count("*") * 7).alias("n"), F.max("stars").alias("stars"))
+    least = F.when(F.col("stars") % 2 == 0, F.col("stars") % 23)
+    return counted.select("name", N.cluster_params(F.col("n"), F.col("stars") % 30, least).alias("p")).select("name", "p.*")
+
+
 @query("node_sizes", with_items("""SELECT item_id, round(1 + 0.5 * log10(greatest(stars, 1)), 6) AS size, round(least(0.5 * log10(greatest(stars, 1) + 1) + 0.5, 3), 6) AS layout,
   round(greatest(5, least(30, 5 * log10(greatest(stars, 1) + 1))), 6) AS radius FROM items"""))
 def _(s, d):
