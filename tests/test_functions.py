@@ -94,6 +94,36 @@ def test_readme_signal(spark):
     assert len(got[1]) == 300 and got[2] == "" and got[3] == ""
 
 
+def _packed(text, most):
+    """Brute force: grows each part line by line."""
+    lines = [x.strip() for x in (text or "").replace("\r\n", "\n").strip().split("\n")]
+    blocks = [["", []]]
+    for x in lines:
+        if x.startswith("#"):
+            blocks.append([x.lstrip("#").strip().lower(), []])
+        elif x:
+            if not blocks[-1][1] or len(blocks[-1][1][-1]) > 400:
+                blocks[-1][1].append(x)
+            else:
+                blocks[-1][1][-1] += " " + x
+    parts = [f"{h}: {p}" if h else p for h, ps in blocks for p in ps]
+    if not parts:
+        return " ".join(lines[:40])[:most]
+    return " | ".join([p for p in parts if any(w in p.lower() for w in T.SIGNAL_WORDS)] or parts[:3])[:most]
+
+
+def test_readme_signal_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    pieces = ["# Features", "## ", "#", "", "  ", "word " * 30, "y" * 401, "z" * 400, "é😀" * 60, "API text", "安装", "a\rb # c", "\t# Quick Start \r", "x"]
+    texts = ["\n".join(r.choice(pieces) for _ in range(r.randrange(0, 40))) for _ in range(400)]
+    texts += [None, "", "\n\n", "# A\n\n# B", "#", "line of words\n" * 30000, "w" * 1000000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(df.select("i", T.readme_signal(F.col("t"), 3000).alias("x")).collect())
+    assert got == {i: _packed(t, 3000) for i, t in enumerate(texts)}
+
+
 def test_replies(spark):
     p = one(spark, T.parse_cluster_reply(F.lit("x\nA & B | about | k1, k2,, k3,k4,k5,k6"), F.lit(4), strings(["t"])))
     assert (p.name, p.description, p.keywords) == ("A / B", "about", ["k1", "k2", "k3", "k4", "k5"])
