@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Synonyms and the tag each stands for.
 SYNONYMS = {
-    "agent-memory": "agent-memory",
-    "agent_memory": "agent-memory",
     "long-term-memory": "agent-memory",
     "longterm-memory": "agent-memory",
     "rag-memory": "agent-memory",
@@ -34,6 +32,7 @@ SYNONYMS = {
     "megatron": "distributed-training",
 }
 
+# Characters between tags of one text.
 _SEPARATORS = r"[,/|;，、 ]"
 
 

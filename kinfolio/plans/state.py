@@ -78,7 +78,22 @@ def _(s, d):
     return items(s, d).select("item_id", semantic_tags(F.slice("tags", 1, 1)).alias("tags"))
 
 
-@query("readme_signal")
+READMES = r"""WITH cleaned AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g'), chr(10)),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS lines FROM documents),
+  cutting AS (SELECT doc_id, string_split(replace(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)), chr(10) || '#', chr(10) || chr(1) || '#'), chr(10) || chr(1)) AS blocks FROM cleaned),
+  blocks AS (SELECT doc_id, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS k FROM cutting),
+  parts AS (SELECT doc_id, k, CASE WHEN starts_with(block, '#') THEN lower(trim(regexp_extract(block, '^#+([^\n]*)', 1))) ELSE '' END AS heading,
+    regexp_extract_all(regexp_replace(block, '^#[^\n]*\n?', '') || chr(10), '(?s).{401,}?\n|.+') AS found FROM blocks),
+  titled AS (SELECT doc_id, k, list_transform(list_filter(found, lambda x: x <> chr(10)),
+    lambda x: CASE WHEN heading <> '' THEN heading || ': ' ELSE '' END || replace(rtrim(x, chr(10)), chr(10), ' ')) AS titled FROM parts),
+  listed AS (SELECT doc_id, flatten(list(titled ORDER BY k)) AS listed FROM titled GROUP BY doc_id),
+  chosen AS (SELECT doc_id, listed, list_filter(listed, lambda x: regexp_matches(lower(x), 'WORDS')) AS useful FROM listed)
+SELECT doc_id, substring(CASE WHEN len(listed) = 0 THEN array_to_string(lines[1:40], ' ') WHEN len(useful) > 0 THEN array_to_string(useful, ' | ')
+  ELSE array_to_string(listed[1:3], ' | ') END, 1, 1200) AS signal
+FROM cleaned JOIN chosen USING (doc_id)""".replace("WORDS", "|".join(T.SIGNAL_WORDS))
+
+
+@query("readme_signal", READMES)
 def _(s, d):
     return table(s, d, "documents").select("doc_id", T.readme_signal(F.col("text")).alias("signal"))
 
