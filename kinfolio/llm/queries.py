@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolio.llm import bpe, decontaminate, html_text, language, near_dups, packed_ids, quality_qda, quality_rules, substring_dedup, url_filter
+from kinfolio.llm import bpe, decontaminate, html_text, language, near_dups, packed_ids, phrases, quality_qda, quality_rules, sharding, substring_dedup, token_alignment, url_filter
 from kinfolio.llm.common import crc_mod, table
 from kinfolio.session import shared_dir
 
@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    """The public sentencepiece model that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +75,19 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), leaves=16)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -79,6 +99,9 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_near_dups": op10_near_dups,
     "op5_packed_ids": op5_packed_ids,
+    "op11_phrases": op11_phrases,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_sharding": op13_sharding,
 }
 
 #: Lower-cased ASCII words of whole texts, and windows of 13 (or all of a shorter item's) words.
@@ -139,4 +162,23 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coale
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_near_dups": OP10_SQL}
+#: All phrases of one to five words of a piece, the lowest-scoring cut of each, and what a longer phrase covers.
+OP11_SQL = r"""
+WITH w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+ph AS (
+  SELECT lang, w[p : p + k - 1] AS g, k, count(*) AS cnt FROM w, unnest(range(1, 6)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(p) GROUP BY ALL HAVING count(*) >= 100
+), covered AS (
+  SELECT DISTINCT ph.lang, x.part AS g FROM ph, unnest([ph.g[1 : ph.k - 1], ph.g[2 : ph.k]]) AS x(part) JOIN ph s ON s.lang = ph.lang AND s.g = x.part WHERE ph.k > 2 AND ph.cnt >= s.cnt
+), cuts AS (
+  SELECT ph.lang, ph.g, ph.cnt AS a, x.cnt AS l, y.cnt AS r, n, c, CAST(1000 * CAST(ph.cnt AS HUGEINT) * n // (CAST(x.cnt AS HUGEINT) * y.cnt) AS BIGINT) AS score
+  FROM ph JOIN total ON total.lang = ph.lang, unnest(range(1, ph.k)) AS u(c) JOIN ph x ON x.lang = ph.lang AND x.g = ph.g[1 : c] JOIN ph y ON y.lang = ph.lang AND y.g = ph.g[c + 1 : ph.k]
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM best WHERE NOT EXISTS (SELECT 1 FROM covered WHERE covered.lang = best.lang AND covered.g = best.g) QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_phrases": OP11_SQL, "op3_substring": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_near_dups": OP10_SQL}
