@@ -64,7 +64,12 @@ def text_code(value: Column) -> Column:
 def _code(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return text_code(column)
-    return F.coalesce(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), column.cast("long"))), F.lit(-FAR))
+    return _held(column.cast("long"))
+
+
+def _held(number: Column) -> Column:
+    """Between -FAR and FAR; a missing number is -FAR."""
+    return F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.coalesce(number, F.lit(-FAR))))
 
 
 def metadata(docs: DataFrame, dims: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -73,7 +78,7 @@ def metadata(docs: DataFrame, dims: list[str], text: str = "text", key: str = "d
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     tie = F.conv(F.substring(F.md5(raw.cast("binary")), 1, 15), 16, 10).cast("long")
     number = F.xxhash64(key) / 4 if isinstance(kinds[key], T.StringType) else F.col(key)
-    ident = F.coalesce(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), number.cast("long"))), F.lit(-FAR))
+    ident = _held(number.cast("long"))
     return docs.select(
         F.col(key).alias("key"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
