@@ -4,7 +4,7 @@
    may be frequent: each task counts their hashes, ranges of hashes are summed, and what
    reaches the least count sets its bit. A mark too many costs time only.
 2. A third pass counts phrases of marked parts, by their words, once a task and then
-   over all tasks: the count stream, with each language's number of words as the count of
+   in ranges over all tasks: the count stream, with each language's number of words as the count of
    the empty phrase.
 3. The stream is sorted by words (prefix order) and by words from the last to the first
    (suffix order) and cut into ranges. In prefix order every phrase comes after all
@@ -26,6 +26,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ LONGEST = 5
 MARK_BITS = 26
 #: Words that a task counts at a time.
 FLUSH_WORDS = 4 << 20
+#: Counts that are added up as one range, about.
+RANGE_COUNTS = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09]] = True
@@ -144,10 +147,11 @@ def _flushes(batches: Iterator[pa.RecordBatch], keep_text: bool, marks: np.ndarr
         yield words
 
 
-def _marks(source: DataFrame, least: int, known, spread: int) -> np.ndarray:
+def _marks(source: DataFrame, least: int, known, spread: int) -> tuple[np.ndarray, int]:
     """Bits of the words and pairs, or with these known, of the triples, that occur ``least`` times (or may).
 
-    ``known`` is a broadcast bit table. Hashes go to ``2 ** spread`` ranges, each one group of the sums.
+    ``known`` is a broadcast bit table. Hashes go to ``2 ** spread`` ranges, each one group
+    of the sums. The second result is the number of counts that all flushes had.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,23 +188,29 @@ def _marks(source: DataFrame, least: int, known, spread: int) -> np.ndarray:
         often = low[first][np.add.reduceat(counts, first) >= least]
         bits = np.zeros(1 << (MARK_BITS - spread), dtype=bool)
         bits[often >> np.uint32(32 - (MARK_BITS - spread))] = True
-        return pa.table({"range": group.column("range").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        packed = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
+        return pa.table({"range": group.column("range").slice(0, 1), "bits": packed, "n": pa.array([len(low)], pa.int64())})
 
-    sums = source.mapInArrow(tidy(count, "phrases"), "range int, keys binary, counts binary").groupBy("range").applyInArrow(add, "range int, bits binary")
+    sums = source.mapInArrow(tidy(count, "phrases"), "range int, keys binary, counts binary").groupBy("range").applyInArrow(add, "range int, bits binary, n long")
     out = np.zeros(1 << (MARK_BITS - 3), dtype=np.uint8)
-    size = len(out) >> spread
+    size, n = len(out) >> spread, 0
     for r in sums.collect():  # the bit table, of the same size for every input
         out[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return out
+        n += r["n"]
+    return out, n
+
 
+def _phrases(words: _Words, marks: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Keys, in order, and ``lang, phrase, k, n`` of the marked phrases of a flush, a length at a time.
 
-def _phrase_rows(words: _Words, marks: np.ndarray) -> Iterator[tuple[str, str, int, int]]:
-    """``lang, phrase, k, count`` of the marked phrases of a flush, and of each language's words as k = 0."""
+    Each language's number of words comes first, as that of the empty phrase.
+    """
     hashes, joined, codes, salts = words.all()
-    names = list(words.langs)
-    for c, n in enumerate(np.bincount(codes, minlength=len(names)).tolist()):
-        if n:
-            yield names[c], "", 0, n
+    names = pa.array(list(words.langs), pa.string())
+    totals = np.bincount(codes, minlength=len(names))
+    order = np.argsort(mix(np.array(words.salts, dtype=np.uint64)), kind="stable")
+    order = order[totals[order] > 0]
+    yield mix(np.array(words.salts, dtype=np.uint64))[order], _table(names.take(pa.array(order)), [""] * len(order), 0, totals[order])
     text = words.text
     fits: np.ndarray | None = None
     for k in range(1, LONGEST + 1):
@@ -215,39 +225,53 @@ def _phrase_rows(words: _Words, marks: np.ndarray) -> Iterator[tuple[str, str, i
         at = np.flatnonzero(fits)
         if not len(at):
             return
-        order = np.argsort(key[at], kind="stable")
-        at = at[order]
+        at = at[np.argsort(key[at], kind="stable")]
         ordered = key[at]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(first, len(at))).tolist()
-        at = at[first]
-        columns = [list(map(text.get, hashes[at + i].tolist())) for i in range(k)]
-        for c, n, *parts in zip(codes[at].tolist(), counts, *columns, strict=True):
-            if None not in parts:
-                yield names[c], " ".join(parts), k, n
+        counts = np.diff(np.append(first, len(at)))
+        at, ordered = at[first], ordered[first]
+        # Words of a pair or triple that only its hash marks may be unmarked: no frequent phrase has such.
+        parts = [list(map(text.get, hashes[at + i].tolist())) for i in range(k)]
+        phrase = [None if None in x else " ".join(x) for x in zip(*parts, strict=True)]
+        known = np.array([x is not None for x in phrase])
+        yield ordered[known], _table(names.take(pa.array(codes[at][known])), [x for x in phrase if x is not None], k, counts[known])
+
+
+def _table(langs: pa.Array, phrases: list[str], k: int, counts: np.ndarray) -> pa.Table:
+    return pa.table({"lang": langs, "phrase": pa.array(phrases, pa.string()), "k": pa.array(np.full(len(phrases), k), pa.int32()), "n": pa.array(counts, pa.int64())})
 
 
-def _counts(source: DataFrame, known) -> DataFrame:
-    """``lang, phrase, k, n`` of marked phrases, once a flush."""
+def _counts(source: DataFrame, known, least: int, spread: int) -> DataFrame:
+    """``lang, phrase, k, f`` of marked phrases: counted once a flush, and added up in ranges of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = known.value
         for words in _flushes(batches, True, marks):
-            rows: list[tuple] = []
-            for row in _phrase_rows(words, marks):
-                rows.append(row)
-                if len(rows) == 20_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            found, parts = (list(x) for x in zip(*_phrases(words, marks), strict=True))
+            key = np.concatenate(found)
+            order = np.argsort(key, kind="stable")
+            rows = pa.concat_tables(parts).take(pa.array(order))
+            ends = np.searchsorted(key[order] >> np.uint64(64 - spread), np.arange((1 << spread) + 1, dtype=np.uint64)).tolist()
+            some = [(r, a, b) for r, (a, b) in enumerate(pairwise(ends)) if b > a]
+            for i in range(0, len(some), 256):
+                part = some[i : i + 256]
+                yield pa.record_batch([pa.array([r for r, _, _ in part], pa.int32()), pa.array([_packed(rows.slice(a, b - a)) for _, a, b in part], pa.binary())], names=["range", "rows"])
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in group.column("rows").to_pylist()])
+        sums = rows.group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")])
+        kept = pc.or_(pc.greater_equal(sums.column("n_sum"), least), pc.equal(sums.column("k"), 0))
+        return sums.filter(kept).select(["lang", "phrase", "k", "n_sum"]).rename_columns(["lang", "phrase", "k", "f"])
 
-    return source.mapInArrow(tidy(run, "phrases"), "lang string, phrase string, k int, n long")
+    ranges = source.mapInArrow(tidy(run, "phrases"), "range int, rows binary")
+    return ranges.groupBy("range").applyInArrow(add, "lang string, phrase string, k int, f long")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["lang", "phrase", "k", "n"])
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
 
 def counted(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -256,12 +280,13 @@ def counted(docs: DataFrame, least: int = 100, text: str = "text", lang: str = "
     spark: SparkSession = docs.sparkSession
     # As many ranges as make a range's sums about as large as a quarter of a task's words.
     spread = min(16, max(4, (4 * source.rdd.getNumPartitions() - 1).bit_length()))
-    marks = _marks(source, least, None, spread)
+    marks, n = _marks(source, least, None, spread)
     known = spark.sparkContext.broadcast(marks)
-    marks = marks | _marks(source, least, known, spread)
+    marks = marks | _marks(source, least, known, spread)[0]
     known = spark.sparkContext.broadcast(marks)
-    sums = _counts(source, known).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
-    return scratch_table(sums.where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
+    # Marked phrases are counted in fewer rows than all words and pairs were.
+    ranges = min(16, max(2, (n // RANGE_COUNTS).bit_length()))
+    return scratch_table(_counts(source, known, least, ranges), "phrase-counts")
 
 
 def _scan(stream: DataFrame, schema: str) -> DataFrame:
