@@ -20,66 +20,45 @@ from pyspark.sql import functions as F
 from kinfolio.functions.relevance import l2_normalized
 from kinfolio.functions.tags import normalize_tags
 from kinfolio.functions.text import STOP_WORDS, sanitize_name, title_case
+from kinfolio.operators.layout import resolve_collisions
+from kinfolio.operators.lists import ListIndex
+from kinfolio.operators.quantiles import LARGE_GROUP, nth_smallest, percentiles
 from kinfolio.operators.report import first_seen_top
+from kinfolio.operators.ward import cut_tree, tree, ward_labels
 from kinfolio.session import cut
 
-#: Points up to which Ward's linkage is exact; beyond, that many weighted micro-centroids stand for them.
-MICRO = 500
-
 
 def centered_pca(items: DataFrame, k: int, column: str = "x", out: str = "z") -> DataFrame:
-    """Adds the first ``k`` principal components of centred vectors (signs are arbitrary), padded with zeros."""
+    """Adds the first ``k`` principal components of centred vectors, padded with zeros.
+
+    A component's sign is that with which its largest loading is positive.
+    """
     first = items.select(F.size(column).alias("d")).head()
     width = min(k, first.d) if first else k
     vectors = items.withColumn("_v", array_to_vector(column))
     scaler = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(vectors)
     centred = scaler.transform(vectors)
     model = PCA(k=width, inputCol="_c", outputCol="_p").fit(centred)
-    values = vector_to_array("_p")
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    values = F.zip_with(vector_to_array("_p"), F.array(*(F.lit(float(x or 1.0)) for x in signs)), lambda x, y: x * y)
     padded = F.concat(values, F.array_repeat(F.lit(0.0), k - width)) if width < k else values
     return model.transform(centred).withColumn(out, padded).drop("_v", "_c", "_p")
 
 
-def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward clusters of a bounded number of weighted points, by Lance-Williams updates."""
-    n = len(points)
-    if n <= k:
-        return np.arange(n)
-    w = weights.astype(float).copy()
-    square = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-    cost = square * (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
-    np.fill_diagonal(cost, np.inf)
-    label = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    for _ in range(n - k):
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        i, j = min(i, j), max(i, j)
-        total = w[i] + w[j] + w
-        merged = ((w[i] + w) * cost[i] + (w[j] + w) * cost[j] - w * cost[i, j]) / total
-        alive[j] = False
-        merged[~alive] = np.inf
-        merged[i] = np.inf
-        cost[i], cost[:, i] = merged, merged
-        cost[j], cost[:, j] = np.inf, np.inf
-        w[i] += w[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def hierarchical(items: DataFrame, k: int, column: str = "x", micro: int = MICRO, seed: int = 5) -> DataFrame:
-    """``item_id, cluster_id``: Ward clusters of vectors.
-
-    Exact up to ``micro`` items. Beyond, KMeans makes ``micro`` weighted centroids in a
-    distributed job and Ward merges those: an approximation.
+def hierarchical(items: DataFrame, k: int, column: str = "x", micro: int | None = None, seed: int = 5) -> DataFrame:
+    """``item_id, cluster_id``: Ward clusters of vectors, numbered from 0 by their smallest item.
+
+    Exact at any size, by rounds that compare all pairs of centroids left. With ``micro``,
+    a distributed KMeans first makes so many weighted centroids and Ward merges those: an
+    approximation for collections that all pairs are too many for.
     """
     rows = items.select("item_id", column)
     n = rows.count()
     if n < 3:
-        return rows.select("item_id", F.lit(0).alias("cluster_id"))
-    if n <= micro:
-        local = rows.orderBy("item_id").toPandas()
-        local["cluster_id"] = ward_labels(np.array(local[column].tolist(), dtype=float), np.ones(n), min(k, n))
-        return items.sparkSession.createDataFrame(local[["item_id", "cluster_id"]].astype("int64"), "item_id long, cluster_id long")
+        return rows.select("item_id", F.lit(0).cast("long").alias("cluster_id"))
+    if micro is None or n <= micro:
+        return contiguous(cut(cut_tree(rows, tree(rows, column), min(k, n))))
     vectors = rows.withColumn("_v", array_to_vector(column))
     model = KMeans(featuresCol="_v", predictionCol="micro", k=micro, seed=seed, maxIter=8).fit(vectors)
     placed = model.transform(vectors).select("item_id", "micro")
@@ -142,27 +121,38 @@ def contiguous(labels: DataFrame) -> DataFrame:
     return labels.join(ids, "cluster_id", "left").select("item_id", F.coalesce("new", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
-def outlier_scores(items: DataFrame, labels: DataFrame, column: str = "x", least: int = 8) -> DataFrame:
-    """``item_id, cluster_id, score``: distance to the cluster's mean in MADs above its median."""
+def outlier_scores(items: DataFrame, labels: DataFrame, column: str = "x", least: int = 8, large: int = LARGE_GROUP) -> DataFrame:
+    """``item_id, cluster_id, score``: distance to the cluster's mean in MADs above its median.
+
+    With a cluster of more than ``large`` items, medians are found by refined histograms.
+    """
     rows = items.select("item_id", column).join(labels.where("cluster_id <> -1"), "item_id")
     sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     means = rows.select("cluster_id", F.posexplode(column).alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.avg("x").alias("m"))
     center = means.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("center"))
     gap = F.aggregate(F.zip_with(column, "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     near = cut(rows.join(center, "cluster_id").join(sizes, "cluster_id", "left_semi").select("item_id", "cluster_id", F.sqrt(gap).alias("dist")))
-    median = near.groupBy("cluster_id").agg(F.percentile("dist", 0.5).alias("median"))
-    off = near.join(median, "cluster_id")
-    mad = off.groupBy("cluster_id").agg((F.percentile(F.abs(F.col("dist") - F.col("median")), 0.5) + 1e-6).alias("mad"))
-    return off.join(mad, "cluster_id").select("item_id", "cluster_id", ((F.col("dist") - F.col("median")) / F.col("mad")).alias("score"))
+    median = percentiles(near, "cluster_id", "dist", 0.5, "median", large)
+    off = near.join(median, "cluster_id").withColumn("off", F.abs(F.col("dist") - F.col("median")))
+    mad = percentiles(off, "cluster_id", "off", 0.5, "mad", large)
+    return off.join(mad, "cluster_id").select("item_id", "cluster_id", ((F.col("dist") - F.col("median")) / (F.col("mad") + 1e-6)).alias("score"))
 
 
 def mark_outliers(items: DataFrame, labels: DataFrame, column: str = "x", limit: float = 3.5, ratio: float = 0.15) -> DataFrame:
     """Labels with the worst outliers as -1: those beyond the limit, at most a share of all items."""
-    scores = outlier_scores(items, labels, column).where(F.col("score") > limit)
+    scores = cut(outlier_scores(items, labels, column).where(F.col("score") > limit))
     total = labels.count()
     found = scores.count()
     most = int(max(1, min(found, total * ratio)))
-    worst = scores.orderBy(F.desc("score"), F.desc("item_id")).limit(most).select("item_id", F.lit(True).alias("out"))
+    worst = scores
+    if found > most:
+        # The least score that still goes, and where it is shared, the least item of those.
+        edge = nth_smallest(scores, "score", found - most)
+        tied = scores.where(F.col("score") == edge)
+        stay = tied.count() + scores.where(F.col("score") > edge).count() - most
+        first = nth_smallest(tied, "item_id", stay)
+        worst = scores.where((F.col("score") > edge) | ((F.col("score") == edge) & (F.col("item_id") >= first)))
+    worst = worst.select("item_id", F.lit(True).alias("out"))
     return labels.join(worst, "item_id", "left").select("item_id", F.when(F.col("out"), F.lit(-1)).otherwise(F.col("cluster_id")).cast("long").alias("cluster_id"))
 
 
@@ -244,14 +234,14 @@ def cluster_context(items: DataFrame) -> DataFrame:
     return out
 
 
-def assign_incrementally(new: DataFrame, existing: DataFrame, k: int = 5, noise: float = 0.15) -> DataFrame:
+def assign_incrementally(new: DataFrame, existing: DataFrame, k: int = 5, noise: float = 0.15, candidates: str | ListIndex = "exact") -> DataFrame:
     """Place new items by their ``k`` nearest: the nearest one's cluster, and the weighted mean of coordinates.
 
     Noise is drawn from the item's hash, so a retried task places an item as before.
     """
     from kinfolio.operators.pairs import knn
 
-    near = knn(new, existing, k)
+    near = knn(new, existing, k, candidates)
     known = existing.select(F.col("item_id").alias("target"), "cluster_id", "x", "y", "z")
     weight = F.greatest(F.lit(0.01), F.least(F.lit(1.0), "semantic"))
     met = near.join(known, "target").withColumn("w", weight)
@@ -262,49 +252,6 @@ def assign_incrementally(new: DataFrame, existing: DataFrame, k: int = 5, noise:
     return out.withColumns({c: F.col(c) + noise * normal(c) for c in "xyz"}) if noise else out
 
 
-def resolve_collisions(nodes: DataFrame, min_distance: float = 0.35, rounds: int = 100, strength: float = 0.5) -> DataFrame:
-    """``item_id, x, y, z, size`` pushed apart until no two are too close, or the rounds are over.
-
-    A round joins each node with those of its own and the neighbouring cells of a grid
-    as wide as the largest distance required, and adds up the pushes.
-    """
-    now = cut(nodes.select("item_id", "x", "y", "z", "size"))
-    largest = now.agg(F.max("size")).first()[0]
-    if largest is None:
-        return now
-    width = float(min_distance * max(largest, 1e-9))
-    for _ in range(rounds):
-        cells = {f"c{c}": F.floor(F.col(c) / width) for c in "xyz"}
-        placed = now.withColumns(cells)
-        steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-        spread = placed
-        for c in "xyz":
-            spread = spread.withColumn("_s", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_s")).drop("_s")
-        other = placed.select("cx", "cy", "cz", *(F.col(c).alias(f"o_{c}") for c in ("item_id", "x", "y", "z", "size")))
-        met = spread.join(other, ["cx", "cy", "cz"]).where("item_id <> o_item_id")
-        gap = F.sqrt(sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in "xyz"), F.lit(0.0)))
-        need = min_distance * (F.col("size") + F.col("o_size")) / 2
-        met = met.withColumns({"gap": gap, "need": need}).where(F.col("gap") < F.col("need"))
-        # Nodes in one place part along a direction drawn from both ids.
-        low, high = F.least("item_id", "o_item_id"), F.greatest("item_id", "o_item_id")
-        sign = F.when(F.col("item_id") < F.col("o_item_id"), 1.0).otherwise(-1.0)
-        drawn = {c: F.pmod(F.xxhash64(low, high, F.lit(c)), F.lit(2001)) / 1000.0 - 1.0 + 1e-4 for c in "xyz"}
-        length = F.sqrt(sum((v * v for v in drawn.values()), F.lit(0.0)))
-        apart = F.col("gap") > 1e-6
-        push = {
-            f"d{c}": F.when(apart, (F.col(c) - F.col(f"o_{c}")) / F.col("gap") * (F.col("need") - F.col("gap")) * strength).otherwise(sign * drawn[c] / length * min_distance * 0.5)
-            for c in "xyz"
-        }
-        moves = met.groupBy("item_id").agg(*(F.sum(v).alias(k) for k, v in push.items()))
-        moved = now.join(moves, "item_id", "left")
-        moved = cut(moved.select("item_id", *((F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in "xyz"), "size", F.col("dx").isNotNull().alias("hit")))
-        hits = moved.where("hit").limit(1).count()
-        now = moved.drop("hit")
-        if not hits:
-            break
-    return now
-
-
 def cluster_hulls(points: DataFrame) -> DataFrame:
     """``cluster_id, pos, x, y``: the corners of each cluster's convex hull, counter-clockwise.
 
@@ -341,16 +288,32 @@ def cluster_hulls(points: DataFrame) -> DataFrame:
     return few.groupBy("cluster_id").applyInPandas(final, "cluster_id long, pos long, x double, y double")
 
 
-def build_clusters(items: DataFrame, k: int | None = None, least: int = 3, most: int = 20) -> tuple[DataFrame, DataFrame]:
+def cluster_centers(placed: DataFrame) -> DataFrame:
+    """``cluster_id, center_x, center_y, center_z``: mean coordinates of each cluster; noise (below 0) is left out."""
+    return placed.where("cluster_id >= 0").groupBy("cluster_id").agg(*(F.avg(c).alias(f"center_{c}") for c in "xyz"))
+
+
+def naming_order(items: DataFrame, most: int | None = None) -> DataFrame:
+    """``cluster_id, item_id, full_name, rank``: the order in which a cluster's items name it, by falling stars, name and id."""
+    order = W.partitionBy("cluster_id").orderBy(F.desc("stars"), "full_name", "item_id")
+    ranked = items.select("cluster_id", "item_id", "full_name", F.row_number().over(order).alias("rank"))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
+
+
+def build_clusters(items: DataFrame, k: int | None = None, least: int | None = 3, most: int = 20) -> tuple[DataFrame, DataFrame]:
     """The whole job: unit vectors, PCA, Ward, merging, outliers, layout and names.
 
-    Returns ``item_id, cluster_id, x, y, z, size`` and the cluster table. If outliers and
-    merging leave fewer than ``least`` clusters, Ward alone makes ``least``.
+    Returns ``item_id, cluster_id, x, y, z, size`` and the cluster table. The bounds wanted
+    are made fit by :func:`cluster_params`; if outliers and merging leave fewer clusters than
+    its least number, Ward alone makes that many.
     """
-    from kinfolio.functions.numbers import layout_size
+    from kinfolio.functions.numbers import cluster_params, layout_size
 
     rows = cut(items.where("embedding is not null").select("item_id", l2_normalized(F.col("embedding")).alias("x")))
     n = rows.count()
+    wanted = cluster_params(F.lit(n), F.lit(most), F.lit(least).cast("long"))
+    bounds = items.sparkSession.range(1).select(wanted.alias("p")).select("p.*").first()
+    least, most = bounds.min_clusters, bounds.target_max_clusters
     k = k or min(max(least, min(int(n**0.5), 20)), max(n, 1))
     features = cut(centered_pca(rows.select("item_id", "x"), 30).select("item_id", F.col("z").alias("x")))
     labels = hierarchical(features, min(k, n))
@@ -362,6 +325,5 @@ def build_clusters(items: DataFrame, k: int | None = None, least: int = 3, most:
     placed = resolve_collisions(sized)
     named = heuristic_names(items.drop("cluster_id").join(labels.where("cluster_id >= 0"), "item_id"))
     out = placed.join(labels, "item_id")
-    centers = out.where("cluster_id >= 0").groupBy("cluster_id").agg(*(F.avg(c).alias(f"center_{c}") for c in "xyz"))
-    table = named.drop("name").join(unique_names(named).select("cluster_id", "name"), "cluster_id").join(centers, "cluster_id")
+    table = named.drop("name").join(unique_names(named).select("cluster_id", "name"), "cluster_id").join(cluster_centers(out), "cluster_id")
     return out, table

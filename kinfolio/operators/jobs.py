@@ -11,6 +11,7 @@ from kinfolio.functions.text import embedding_text, fallback_tags, parse_enrichm
 from kinfolio.operators.browse import join_lists, pending
 from kinfolio.operators.embed import embed_hashing
 from kinfolio.operators.graph import NO_COLOR, cluster_colors
+from kinfolio.operators.lists import ListIndex
 from kinfolio.operators.pairs import related_items, similarity_edges
 from kinfolio.operators.report import monthly_timeline
 from kinfolio.session import cut
@@ -28,20 +29,20 @@ def enrich_and_embed(items: DataFrame, replies: DataFrame, dimensions: int) -> D
     return done.drop("_p", "reply", "_text", "needs_enrichment").join(vectors, "item_id")
 
 
-def build_snapshot(items: DataFrame, clusters: DataFrame, lists: DataFrame, k: int = 8, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def build_snapshot(items: DataFrame, clusters: DataFrame, lists: DataFrame, k: int = 8, threshold: float = 0.5, candidates: str | ListIndex = "exact") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Nodes of embedded and placed items, edges, monthly timeline, and one row with the version's name."""
     placed = items.where("embedding is not null and x is not null")
     nodes = join_lists(placed.join(cluster_colors(clusters), "cluster_id", "left"), lists)
     nodes = nodes.withColumns({"size": node_size(F.col("stars")), "color": F.coalesce("color", F.lit(NO_COLOR))})
-    edges = cut(similarity_edges(items, threshold, k))  # counted for the name and returned
+    edges = cut(similarity_edges(items, threshold, k, candidates))  # counted for the name and returned
     totals = nodes.agg(F.count("*").alias("n")).join(edges.agg(F.count("*").alias("e")))
     version = totals.select(F.format_string("snapshot-%s-n%d-e%d", F.date_format(F.current_timestamp(), "yyyyMMddHHmmss"), "n", "e").alias("version"))
     return nodes, edges, monthly_timeline(items), version
 
 
-def materialize_related(items: DataFrame, limit: int, min_score: float, min_semantic: float) -> DataFrame:
+def materialize_related(items: DataFrame, limit: int, min_score: float, min_semantic: float, candidates: str | ListIndex = "exact") -> DataFrame:
     """``item_id, related`` (ids, best first) of every anchor with related items."""
-    found = related_items(items, limit, min_score, min_semantic)
+    found = related_items(items, limit, min_score, min_semantic, candidates)
     listed = F.sort_array(F.collect_list(F.struct("rank", "target")))
     return found.groupBy(F.col("source").alias("item_id")).agg(F.transform(listed, lambda x: x["target"]).alias("related"))
 

@@ -3,7 +3,8 @@
 Exact scores of all pairs are quadratic by nature. Items are hashed to blocks and every
 pair of blocks is one group: its two sides meet in a matrix product inside one task, and
 only the best partners of each item leave it. Beyond what a quadratic job can bear,
-``ivf_candidates`` compares items of the nearest coarse lists only.
+``candidates="lists"`` makes the same jobs compare items of the nearest inverted lists only
+(see :mod:`kinfolio.operators.lists`); an index built before can be given instead.
 """
 
 from __future__ import annotations
@@ -13,16 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfolio.functions.relevance import WEIGHTS
 from kinfolio.functions.tags import tag_union
+from kinfolio.operators.lists import ListIndex, build, meeting
+from kinfolio.session import broadcast_if_small, cut, scratch_table
 
+#: Lists that a query probes by default.
+PROBES = 16
 #: Items that a block holds on average; bounds the memory of a task.
 BLOCK_ITEMS = 2000
+#: Columns of prepared items.
+NEEDED = ["item_id", "v", "norm_tags", "list_id", "language", "stars"]
 
 
 def prepared(items: DataFrame) -> DataFrame:
@@ -58,20 +64,38 @@ def _score(semantic, overlap, same_list, same_language):
     return np.clip(w["semantic"] * semantic + w["tag_overlap"] * overlap + w["same_list"] * same_list + w["same_language"] * same_language, 0, 1)
 
 
-def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, min_semantic: float = 0.0, by: str = "score", blocks: int | None = None) -> DataFrame:
-    """For each query item its best ``k`` other items: ``source, target, semantic, tag_overlap, same_list, same_language, score``.
+def _index(rows: DataFrame, candidates: str | ListIndex) -> ListIndex | None:
+    if isinstance(candidates, ListIndex):
+        return candidates
+    if candidates not in ("exact", "lists"):
+        raise ValueError("candidates are 'exact', 'lists' or a ListIndex")
+    return build(rows.select(NEEDED)) if candidates == "lists" else None
 
-    Queries and items are dealt to blocks by hash; each (query block, item block) is a
-    group of bounded size, ranked inside, and the ranks of a query's groups are merged.
-    """
-    count = rows.count()
-    blocks = blocks or max(1, math.ceil(count / BLOCK_ITEMS))
+
+def _all_blocks(rows: DataFrame, queries: DataFrame, blocks: int | None) -> DataFrame:
+    """Each query with every block of items, and each item with every block of queries."""
+    blocks = blocks or max(1, math.ceil(rows.count() / BLOCK_ITEMS))
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    needed = ["item_id", "v", "norm_tags", "list_id", "language", "stars"]
-    rows, queries = rows.select(needed), queries.select(needed)
     left = queries.withColumn("qb", deal("item_id")).withColumn("ib", F.explode(every)).withColumn("side", F.lit(0))
     right = rows.withColumn("ib", deal("item_id")).withColumn("qb", F.explode(every)).withColumn("side", F.lit(1))
+    return left.unionByName(right)
+
+
+def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, min_semantic: float = 0.0, by: str = "score", blocks: int | None = None, index: ListIndex | None = None, probes: int = PROBES) -> DataFrame:
+    """For each query item its best ``k`` other items: ``source, target, semantic, tag_overlap, same_list, same_language, score``.
+
+    Queries and items are dealt to blocks by hash; each (query block, item block) is a
+    group of bounded size, ranked inside, and the ranks of a query's groups are merged.
+    With an index, a query meets the stored items of its nearest ``probes`` lists instead of
+    all ``rows``: those that it finds are scored exactly, but it may miss some.
+    """
+    rows, queries = rows.select(NEEDED), queries.select(NEEDED)
+    if index is not None:
+        rows, group = index.postings, ["list", "qb", "ib"]
+        pairs = meeting(index, queries, probes, BLOCK_ITEMS).select(*NEEDED, *group, "side")
+    else:
+        pairs, group = _all_blocks(rows, queries, blocks), ["qb", "ib"]
     schema = "source long, target long, semantic double, tag_overlap double, same_list double, same_language double, score double"
 
     def run(_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,27 +118,27 @@ def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.
         values = [source[i], target[j], *(p[i, j] for p in parts), total[i, j]]
         return pd.DataFrame(dict(zip(names, values, strict=True)))
 
-    met = left.unionByName(right).groupBy("qb", "ib").applyInPandas(run, schema)
+    met = pairs.groupBy(*group).applyInPandas(run, schema)
     stars = rows.select(F.col("item_id").alias("target"), "stars")
     best = W.partitionBy("source").orderBy(F.desc("score" if by == "score" else "semantic"), F.desc("semantic"), F.desc("stars"), "target")
     return met.join(stars, "target").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def related_items(items: DataFrame, limit: int = 20, min_score: float = 0.4, min_semantic: float = 0.65) -> DataFrame:
+def related_items(items: DataFrame, limit: int = 20, min_score: float = 0.4, min_semantic: float = 0.65, candidates: str | ListIndex = "exact", probes: int = PROBES) -> DataFrame:
     """For every anchor: its nearest ``min(5 * limit, 200)`` items by cosine, scored, filtered and ranked again."""
     rows = prepared(items)
-    near = block_top(rows, rows, min(5 * limit, 200), by="semantic")
+    near = block_top(rows, rows, min(5 * limit, 200), by="semantic", index=_index(rows, candidates), probes=probes)
     kept = near.where((F.col("semantic") >= min_semantic) & (F.col("score") >= min_score)).drop("rank")
     best = W.partitionBy("source").orderBy(F.desc("score"), F.desc("semantic"), F.desc("stars"), "target")
     return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def similarity_edges(items: DataFrame, threshold: float = 0.5, k: int = 8) -> DataFrame:
+def similarity_edges(items: DataFrame, threshold: float = 0.5, k: int = 8, candidates: str | ListIndex = "exact", probes: int = PROBES) -> DataFrame:
     """Undirected edges ``source, target, weight`` from the best ``k`` partners of each item above a threshold."""
     from kinfolio.operators.graph import undirected
 
     rows = prepared(items)
-    top = block_top(rows, rows, k, min_score=threshold)
+    top = block_top(rows, rows, k, min_score=threshold, index=_index(rows, candidates), probes=probes)
     # Rounded far below any meaning, so that equal sums in another order stay equal.
     return undirected(top.select("source", "target", F.round("score", 12).alias("weight")))
 
@@ -139,24 +163,70 @@ def adaptive_threshold(items: DataFrame, degree: int = 8, low: float = 0.35, hig
     return top.coalesce(1).mapInPandas(run, "threshold double, raw double")
 
 
-def knn(new: DataFrame, existing: DataFrame, k: int = 5) -> DataFrame:
+def knn(new: DataFrame, existing: DataFrame, k: int = 5, candidates: str | ListIndex = "exact", probes: int = PROBES) -> DataFrame:
     """The ``k`` existing items nearest to each new one: ``source, target, semantic, rank``."""
-    return block_top(existing, new, k, by="semantic").select("source", "target", "semantic", "rank")
+    found = block_top(existing, new, k, by="semantic", index=_index(existing, candidates), probes=probes)
+    return found.select("source", "target", "semantic", "rank")
+
 
+def postings_by_stars(items: DataFrame, tags: str = "topics") -> DataFrame:
+    """``tag, target, target_stars, target_tags, place, size``: each tag's items by falling stars, counted from 0.
 
-def same_tag_items(items: DataFrame, tags: str = "topics", least: float = 0.25, limit: int = 10) -> DataFrame:
+    The order is cut into ranges that are numbered apart, so a tag of any size spreads over tasks.
+    """
+    own = items.select(F.col("item_id").alias("target"), F.col("stars").alias("target_stars"), F.array_distinct(tags).alias("target_tags"))
+    own = own.withColumn("tag", F.explode("target_tags"))
+    order = [F.col("tag"), F.desc("target_stars"), F.col("target")]
+    ranged = cut(own.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("tag", "_range").agg(F.count("*").alias("_n"))
+    # One row for each tag and range that it reaches into.
+    ahead = F.sum("_n").over(W.partitionBy("tag").orderBy("_range")) - F.col("_n")
+    sizes = sizes.select("tag", "_range", ahead.alias("_ahead"), F.sum("_n").over(W.partitionBy("tag")).alias("size"))
+    inside = F.row_number().over(W.partitionBy("tag", "_range").orderBy(*order)) - 1
+    placed = ranged.withColumn("_inside", inside).join(sizes, ["tag", "_range"])
+    return placed.select("tag", "target", "target_stars", "target_tags", (F.col("_inside") + F.col("_ahead")).alias("place"), "size")
+
+
+def same_tag_items(items: DataFrame, tags: str = "topics", least: float = 0.25, limit: int = 10, first: int = 32, factor: int = 16) -> DataFrame:
     """Items that share tags with each anchor: by stars, with up to two shared tags as the reason.
 
-    An inverted index: pairs meet on a tag. Item pairs are counted tag by tag, so a tag
-    that a large share of items has makes as many pairs; leave such tags out beforehand.
+    Postings in star order with a threshold stop: a round reads the next stretch of the
+    lists of an anchor's tags, ``first`` entries and then ``factor`` times as far. What it hasn't read of a list has
+    fewer stars than what it has, so an anchor is done when its best ``limit`` are above all lists' ends,
+    or no list goes on. A tag of most items so costs each anchor a stretch, not its length.
     """
-    own = items.select("item_id", "stars", F.size(F.array_distinct(tags)).alias("n"), F.explode(F.array_distinct(tags)).alias("tag"))
-    other = own.select(F.col("item_id").alias("target"), F.col("stars").alias("target_stars"), F.col("n").alias("m"), "tag")
-    met = own.join(other, "tag").where("item_id <> target").groupBy("item_id", "target", "target_stars", "n", "m")
-    met = met.agg(F.count("*").alias("shared"), F.slice(F.sort_array(F.collect_list("tag")), 1, 2).alias("reason"))
-    kept = met.where(F.col("shared") / F.least("n", "m") >= least)
-    best = W.partitionBy("item_id").orderBy(F.desc("target_stars"), "target")
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    posted = scratch_table(postings_by_stars(items, tags), "postings")
+    # The smaller, the earlier in the order of stars; those without stars come last.
+    key = F.struct((-F.coalesce(F.col("target_stars").cast("long"), F.lit(-(1 << 62)))).alias("s"), F.col("target").alias("t"))
+    todo = cut(items.select("item_id", F.array_distinct(tags).alias("tags")).where(F.size("tags") > 0))
+    seen = todo.sparkSession.createDataFrame([], "item_id long, target long, target_stars long, tags array<string>, target_tags array<string>")
+    parts: list[DataFrame] = []
+    low, high = 0, first
+    while True:
+        asked = todo.withColumn("tag", F.explode("tags"))
+        stretch = broadcast_if_small(cut(posted.where(F.col("place").between(low, high - 1)))) if low == 0 else posted.where(F.col("place").between(low, high - 1))
+        pairs = asked.join(stretch, "tag").where("item_id <> target").select("item_id", "target", F.col("target_stars").cast("long").alias("target_stars"), "tags", "target_tags")
+        shared = F.size(F.array_intersect("tags", "target_tags"))
+        fit = pairs.where(shared / F.least(F.size("tags"), F.size("target_tags")) >= least)
+        best = W.partitionBy("item_id").orderBy(F.desc("target_stars"), "target")
+        found = seen.unionByName(fit).dropDuplicates(["item_id", "target"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+        found = scratch_table(found, "found")
+        # Where the lists that go on have been read to: the best of these ends bounds what is unread.
+        ends = posted.where((F.col("place") == high - 1) & (F.col("size") > high)).select("tag", key.alias("end"))
+        bounds = asked.join(ends, "tag").groupBy("item_id").agg(F.min("end").alias("end"))
+        above = found.join(bounds, "item_id").where(key <= F.col("end")).groupBy("item_id").agg(F.count("*").alias("n"))
+        open_ = cut(bounds.join(above, "item_id", "left").where(F.coalesce("n", F.lit(0)) < limit).select("item_id"))
+        parts.append(found.join(open_, "item_id", "left_anti"))
+        if open_.isEmpty():
+            break
+        todo = cut(todo.join(open_, "item_id", "left_semi"))
+        seen = found.join(open_, "item_id", "left_semi").drop("rank")
+        low, high = high, high * factor
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    reason = F.slice(F.array_sort(F.array_intersect("tags", "target_tags")), 1, 2)
+    return out.select("item_id", "target", "target_stars", F.size(F.array_intersect("tags", "target_tags")).alias("shared"), reason.alias("reason"), "rank")
 
 
 def same_language_top(items: DataFrame, limit: int = 10) -> DataFrame:
@@ -186,30 +256,8 @@ def semantic_search(items: DataFrame, vector: list[float], limit: int = 20) -> D
 
 
 def ivf_candidates(items: DataFrame, k: int = 8, lists: int = 100, probes: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate nearest items: coarse lists by KMeans, each query probing its nearest lists, exact cosine inside.
-
-    Every item is indexed. A list is dealt out by salt, so a crowded one is no single task's.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = items.where("embedding is not null").select("item_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    unit = rows.withColumn("x", array_to_vector("v"))
-    model = KMeans(featuresCol="x", k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(unit)
-    centers = np.array([c / max(np.linalg.norm(c), 1e-12) for c in model.clusterCenters()])
-    n_probe = min(probes, len(centers))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = np.array(batch.column("v").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-            order = np.argsort(-(m @ centers.T), axis=1)[:, :n_probe] if batch.num_rows else np.zeros((0, n_probe), dtype=int)
-            yield pa.record_batch([batch.column("item_id"), batch.column("v"), pa.array(order.tolist(), pa.list_(pa.int32()))], names=["item_id", "v", "lists"])
-
-    placed = unit.select("item_id", "v").mapInArrow(nearest, "item_id long, v array<double>, lists array<int>")
-    stored = placed.select(F.col("item_id").alias("target"), F.col("v").alias("w"), F.get("lists", 0).alias("list"))
-    asked = placed.select("item_id", "v", F.explode("lists").alias("list"))
-    from kinfolio.functions.relevance import cosine_raw
-
-    met = asked.join(stored, "list").where("item_id <> target").select("item_id", "target", cosine_raw(F.col("v"), F.col("w")).alias("similarity"))
-    best = W.partitionBy("item_id").orderBy(F.desc("similarity"), "target")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """Approximate nearest items ``item_id, target, similarity, rank``: each query probes its nearest lists, exact cosine inside."""
+    rows = prepared(items)
+    index = build(rows, lists, seed)
+    near = block_top(rows, rows, k, by="semantic", index=index, probes=probes)
+    return near.select(F.col("source").alias("item_id"), "target", F.col("semantic").alias("similarity"), "rank")

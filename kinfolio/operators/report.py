@@ -104,11 +104,28 @@ def brush_sum(items: DataFrame, first: int, last: int) -> DataFrame:
 def windowed_attempts(events: DataFrame, key: str, ts: str, seconds: int = 300, limit: int = 5) -> DataFrame:
     """Earlier attempts of a key in the trailing window (its start included), and whether there were too many.
 
-    A range frame per key; a single key's rows have to be in order, so split very hot keys by day first.
+    All events and both ends of all windows lie in one order, by key and time, that is cut
+    into ranges. Each range counts its events apart and carries on from the counts of the
+    ranges before it; a window's attempts are the difference of the counts at its ends. So even a single
+    key spreads over all tasks. Events without a key share one, and those without a time one moment.
     """
-    frame = W.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    earlier = F.count("*").over(frame) - 1
-    return events.withColumn("earlier", earlier).withColumn("blocked", F.col("earlier") >= limit)
+    from kinfolio.session import cut, scratch_table
+
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = scratch_table(events.withColumn("_id", F.monotonically_increasing_id()), "attempts")
+    # Before the events of the window's first moment, the event itself, after those of its last.
+    moments = F.array(*(F.struct((micros - back).alias("t"), F.lit(kind).alias("kind")) for back, kind in ((seconds * 1_000_000, 0), (0, 1), (0, 2))))
+    line = rows.select(F.col(key).alias("key"), "_id", F.explode(moments).alias("m")).select("key", "m.t", "m.kind", "_id")
+    order = ["key", "t", "kind", "_id"]
+    ranged = cut(line.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    event = F.when(F.col("kind") == 1, 1).otherwise(0)
+    so_far = F.sum(event).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    sizes = ranged.groupBy("_range").agg(F.sum(event).alias("_n"))
+    carried = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    counted = ranged.withColumn("_so_far", so_far).where("kind <> 1").join(F.broadcast(sizes.select("_range", carried.alias("_carried"))), "_range")
+    at = F.col("_so_far") + F.col("_carried")
+    found = counted.groupBy("_id").agg((F.sum(F.when(F.col("kind") == 2, at).otherwise(-at)) - 1).alias("earlier"))
+    return rows.join(found, "_id").drop("_id").withColumn("blocked", F.col("earlier") >= limit)
 
 
 def flattened_json(rows: DataFrame, key: str, column: str) -> DataFrame:

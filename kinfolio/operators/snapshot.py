@@ -31,6 +31,13 @@ def read(spark: SparkSession, root: str, part: str, user_id: int, version: str)
     return rows.drop("user_id", "version")
 
 
+def hydrate(spark: SparkSession, root: str, user_id: int, version: str = "active", edges: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Nodes, edges in their index order (None without, and then not scanned) and the totals of a version."""
+    name = resolve(spark, root, user_id, version)
+    links = read(spark, root, "edges", user_id, name).orderBy("edge_index") if edges else None
+    return read(spark, root, "nodes", user_id, name), links, read(spark, root, "meta", user_id, name)
+
+
 def meta(nodes: DataFrame, edges: DataFrame, timeline: DataFrame) -> DataFrame:
     """One row of declared totals."""
     n = nodes.agg(F.count("*").alias("total_nodes"))

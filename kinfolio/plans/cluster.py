@@ -9,6 +9,9 @@ from kinfolio.functions.relevance import l2_normalized
 from kinfolio.functions.text import sanitize_name
 from kinfolio.operators import cluster as C
 from kinfolio.operators import pairs as P
+from kinfolio.operators.lists import build
+from kinfolio.operators.quantiles import percentiles
+from kinfolio.operators.ward import cut_tree, tree
 from kinfolio.plans.base import CLUSTERS, clusters, items, query, table, with_items
 from kinfolio.plans.graph import KNN, NORMED, sql_tags
 
@@ -50,6 +53,20 @@ def _(s, d):
     return C.outlier_scores(rows.drop("cluster_id"), rows.select("item_id", "cluster_id")).select("item_id", F.round("score", 5).alias("score"))
 
 
+@query("outlier_scores_refined", with_items("SELECT item_id, round(score, 5) AS score FROM scores", UNIT, MEANS, SCORES))
+def _(s, d):
+    """The same scores with every cluster's medians found by refined histograms, as a hot cluster's are."""
+    rows = unit(s, d)
+    return C.outlier_scores(rows.drop("cluster_id"), rows.select("item_id", "cluster_id"), large=1).select("item_id", F.round("score", 5).alias("score"))
+
+
+@query("exact_percentiles", """SELECT l_returnflag AS value, round(quantile_cont(l_extendedprice, 0.9), 4) AS price, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1""")
+def _(s, d):
+    rows = table(s, d, "lineitem").select(F.col("l_returnflag").alias("value"), F.col("l_extendedprice").cast("double").alias("x"))
+    sizes = rows.groupBy("value").agg(F.count("*").alias("n"))
+    return percentiles(rows, "value", "x", 0.9, "p", large=1).join(sizes, "value").select("value", F.round("p", 4).alias("price"), "n")
+
+
 @query(
     "mark_outliers",
     with_items("""SELECT i.item_id, CAST(CASE WHEN w.item_id IS NOT NULL THEN -1 ELSE i.cluster_id END AS BIGINT) AS cluster_id FROM items i LEFT JOIN (
@@ -150,10 +167,7 @@ def _(s, d):
 
 @query("naming_order", with_items("SELECT cluster_id, full_name, row_number() OVER (PARTITION BY cluster_id ORDER BY stars DESC, full_name, item_id) AS rank FROM items QUALIFY rank <= 10"))
 def _(s, d):
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("stars"), "full_name", "item_id"))
-    return items(s, d).select("cluster_id", "full_name", rank.alias("rank")).where("rank <= 10")
+    return C.naming_order(items(s, d), 10).select("cluster_id", "full_name", "rank")
 
 
 @query(
@@ -179,9 +193,25 @@ def _(s, d):
     return C.assign_incrementally(rows.where("item_id % 10 = 0"), old, noise=0.0).select("item_id", "cluster_id", F.round("x", 6).alias("x"))
 
 
+@query(
+    "assign_by_lists",
+    with_items("""SELECT source AS item_id, arg_min(o.cluster_id, rank) AS cluster_id, round(sum(o.stars / 1e5 * w) / sum(w), 6) AS x FROM (SELECT *, least(1.0, greatest(0.01, semantic)) AS w FROM nn) n
+      JOIN items o ON o.item_id = n.target GROUP BY 1""", NORMED, KNN),
+)
+def _(s, d):
+    """The same placement with neighbours from 13 lists, all of them probed."""
+    rows = P.prepared(items(s, d))
+    placed = items(s, d).select("item_id", "cluster_id", (F.col("stars") / 1e5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    old = rows.where("item_id % 10 <> 0").join(placed, "item_id")
+    found = C.assign_incrementally(rows.where("item_id % 10 = 0"), old, noise=0.0, candidates=build(rows.where("item_id % 10 <> 0"), 13))
+    return found.select("item_id", "cluster_id", F.round("x", 6).alias("x"))
+
+
 @query("cluster_centers", with_items("SELECT cluster_id, round(avg(stars / 1e5), 6) AS x, round(avg(item_id / 1e2), 6) AS y FROM items WHERE cluster_id > 0 GROUP BY 1"))
 def _(s, d):
-    return items(s, d).where("cluster_id > 0").groupBy("cluster_id").agg(F.round(F.avg(F.col("stars") / 1e5), 6).alias("x"), F.round(F.avg(F.col("item_id") / 1e2), 6).alias("y"))
+    # The cluster numbered 0 here stands for noise.
+    placed = items(s, d).select((F.col("cluster_id") - 1).alias("cluster_id"), (F.col("stars") / 1e5).alias("x"), (F.col("item_id") / 1e2).alias("y"), F.lit(0.0).alias("z"))
+    return C.cluster_centers(placed).select((F.col("cluster_id") + 1).alias("cluster_id"), F.round("center_x", 6).alias("x"), F.round("center_y", 6).alias("y"))
 
 
 @query("pca_features")
@@ -199,6 +229,13 @@ def _(s, d):
     return C.hierarchical(unit(s, d), 8)
 
 
+@query("hierarchical_rounds")
+def _(s, d):
+    """The tree by rounds of reciprocal nearest neighbours, down to 250 rows before the last merges."""
+    rows = unit(s, d).select("item_id", "x")
+    return C.contiguous(cut_tree(rows, tree(rows, local=250, block=250), 8))
+
+
 @query("build_clusters")
 def _(s, d):
     return C.build_clusters(items(s, d))[1].select("cluster_id", "item_count", "name", "keywords")

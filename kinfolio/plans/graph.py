@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinfolio.functions import relevance as rel
 from kinfolio.functions.tags import normalize_tags, tag_overlap, tag_union
 from kinfolio.operators import graph as G
 from kinfolio.operators import pairs as P
+from kinfolio.operators.lists import ListIndex, build
 from kinfolio.plans.base import CLUSTERS, clusters, items, query, with_items
+from kinfolio.session import shared_dir
 
 # Parameters of the generated vectors, whose cosines are low.
 MIN_SEMANTIC, MIN_SCORE, THRESHOLD, DEGREE = 0.2, 0.25, 0.25, 8
@@ -226,3 +230,36 @@ def _(s, d):
 def _(s, d):
     it = items(s, d)
     return P.ivf_candidates(it, k=8, lists=20, probes=12).select("item_id", "target", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _every_list(s, d):
+    """An index of 13 lists; all of them probed, it has to find what the exact jobs find."""
+    return build(P.prepared(items(s, d)), 13)
+
+
+@query("related_items_by_lists", with_items("SELECT source, target, round(semantic, 6) AS semantic, round(score, 6) AS score, rank FROM related WHERE rank <= 20", *_GRAPH, RELATED))
+def _(s, d):
+    out = P.related_items(items(s, d), 20, MIN_SCORE, MIN_SEMANTIC, candidates=_every_list(s, d), probes=13)
+    return out.select("source", "target", F.round("semantic", 6).alias("semantic"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("similarity_graph_by_lists", with_items("SELECT source, target, round(weight, 6) AS weight FROM edges", *_GRAPH, EDGES))
+def _(s, d):
+    out = P.similarity_edges(items(s, d), THRESHOLD, DEGREE, candidates=_every_list(s, d), probes=13)
+    return out.select("source", "target", F.round("weight", 6).alias("weight"))
+
+
+@query("knn_by_lists", with_items("SELECT source, target, round(semantic, 6) AS semantic, rank FROM nn", NORMED, KNN))
+def _(s, d):
+    rows = P.prepared(items(s, d))
+    old = rows.where("item_id % 10 <> 0")
+    out = P.knn(rows.where("item_id % 10 = 0"), old, candidates=build(old, 13), probes=13)
+    return out.select("source", "target", F.round("semantic", 6).alias("semantic"), "rank")
+
+
+@query("stored_lists", with_items("SELECT item_id, stars FROM items"))
+def _(s, d):
+    """An index written and read again: every item is in one list."""
+    path = f"{shared_dir(s).rstrip('/')}/index-{uuid.uuid4().hex}"
+    build(P.prepared(items(s, d))).save(path)
+    return ListIndex.load(s, path).postings.select("item_id", "stars")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfolio.operators import jobs as J
-from kinfolio.plans.base import clusters, items, lists, query, table, with_items
+from kinfolio.plans.base import CLUSTERS, LISTS, clusters, items, lists, query, table, with_items
 from kinfolio.plans.graph import _GRAPH, DEGREE, EDGES, MIN_SCORE, MIN_SEMANTIC, RELATED, THRESHOLD
 
 
@@ -25,6 +25,38 @@ def _(s, d):
     return counted(nodes, "nodes").join(counted(edges, "edges")).join(counted(timeline, "months"))
 
 
+def _snapshot(s, d):
+    rows = items(s, d).withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "z": F.lit(0.0)})
+    return J.build_snapshot(rows, clusters(s, d), lists(s, d), DEGREE, THRESHOLD)
+
+
+@query(
+    "built_nodes",
+    with_items(
+        """, colored AS (SELECT cluster_id, coalesce(color, ['#FF6B6B','#4ECDC4','#45B7D1','#96CEB4','#FFEAA7','#DDA0DD','#98D8C8','#F7DC6F','#BB8FCE','#85C1E9','#F8B500','#00CED1']
+          [(row_number() OVER (ORDER BY cluster_id) - 1) % 12 + 1]) AS color FROM clusters)
+        SELECT i.item_id, cluster_id, full_name, round(1.0 + log10(greatest(stars, 1)) * 0.5, 6) AS size, coalesce(c.color, '#808080') AS color, coalesce(i.list_id, -1) AS list_id,
+          CASE WHEN i.list_id IS NULL THEN 'Uncategorized' ELSE l.list_name END AS list_name
+        FROM items i LEFT JOIN colored c USING (cluster_id) LEFT JOIN lists l ON l.list_id = i.list_id""",
+        CLUSTERS,
+        LISTS,
+    ).replace("\n, colored", ", colored"),
+)
+def _(s, d):
+    """The snapshot's nodes with size, colour, cluster and list."""
+    return _snapshot(s, d)[0].select("item_id", "cluster_id", "full_name", F.round("size", 6).alias("size"), "color", "list_id", "list_name")
+
+
+@query("built_edges", with_items("SELECT source, target, round(weight, 6) AS weight FROM edges", *_GRAPH, EDGES))
+def _(s, d):
+    return _snapshot(s, d)[1].select("source", "target", F.round("weight", 6).alias("weight"))
+
+
+@query("built_version", with_items("SELECT concat('snapshot-T-n', (SELECT count(*) FROM items), '-e', (SELECT count(*) FROM edges)) AS version", *_GRAPH, EDGES))
+def _(s, d):
+    return _snapshot(s, d)[3].select(F.regexp_replace("version", "[0-9]{14}", "T").alias("version"))
+
+
 @query("materialize_related", with_items("SELECT source AS item_id, list(target ORDER BY rank) AS related FROM related WHERE rank <= 10 GROUP BY 1", *_GRAPH, RELATED))
 def _(s, d):
     return J.materialize_related(items(s, d), 10, MIN_SCORE, MIN_SEMANTIC).select("item_id", "related")

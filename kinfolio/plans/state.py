@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from kinfolio.operators import ledger as L
 from kinfolio.operators import report as R
 from kinfolio.operators import snapshot as S
 from kinfolio.operators import sync as Y
-from kinfolio.plans.base import items, query, table, with_items
-from kinfolio.plans.graph import EDGES, _GRAPH, edges
-from kinfolio.session import shared_dir
+from kinfolio.plans.base import ITEMS, items, query, table, with_items
+from kinfolio.plans.graph import EDGES, _GRAPH, _sql_tag, edges
+from kinfolio.session import cut, shared_dir
 from kinfolio.sources import landing
 from kinfolio.streaming import jobs
 
@@ -44,6 +45,14 @@ def _(s, d):
     return Y.after_cutoff(items(s, d).select("item_id", "starred_at"), "1999-01-01 00:00:00").select("item_id", "was_truncated")
 
 
+@query("incremental_cutoff_by_date", with_items("""SELECT item_id, (SELECT bool_or(item_id % 5 <> 0 AND starred_at <= TIMESTAMP '1996-06-01') FROM items) AS was_truncated
+  FROM items WHERE item_id % 5 = 0 OR starred_at > TIMESTAMP '1996-06-01'"""))
+def _(s, d):
+    """A cutoff amid the dates, a fifth of which are missing."""
+    rows = items(s, d).select("item_id", F.when(F.col("item_id") % 5 != 0, F.col("starred_at")).alias("starred_at"))
+    return Y.after_cutoff(rows, "1996-06-01 00:00:00").select("item_id", "was_truncated")
+
+
 @query("explode_list_members", "SELECT s_nationkey AS list_id, n_regionkey <> 0 AS is_public, s_suppkey AS item_id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey > 0")
 def _(s, d):
     nodes = table(s, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("databaseId"))).alias("nodes"))
@@ -78,6 +87,20 @@ def _(s, d):
     return items(s, d).select("item_id", semantic_tags(F.slice("tags", 1, 1)).alias("tags"))
 
 
+_BOTH = f"flatten(list_transform(tags, lambda t: [{_sql_tag('t')}, trim(t)]))"
+
+
+@query("semantic_tags_whole", f"""WITH {ITEMS}, twice AS (SELECT item_id, list_concat(tags, list_transform(tags, lambda t: upper(t)), ['', ' x ']) AS tags FROM items),
+  forms AS (SELECT item_id, list_filter({_BOTH}, lambda t: t <> '') AS forms FROM twice)
+  SELECT item_id, list_filter(forms, lambda t, i: list_position(list_transform(forms, lambda x: lower(x)), lower(t)) = i) AS tags FROM forms""")
+def _(s, d):
+    """All tags, each again in upper case: distinct without regard to case."""
+    from kinfolio.functions.tags import semantic_tags
+
+    twice = F.concat("tags", F.transform("tags", F.upper), F.array(F.lit(""), F.lit(" x ")))
+    return items(s, d).select("item_id", semantic_tags(twice).alias("tags"))
+
+
 READMES = r"""WITH cleaned AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g'), chr(10)),
     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS lines FROM documents),
   cutting AS (SELECT doc_id, string_split(replace(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)), chr(10) || '#', chr(10) || chr(1) || '#'), chr(10) || chr(1)) AS blocks FROM cleaned),
@@ -98,6 +121,17 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", T.readme_signal(F.col("text")).alias("signal"))
 
 
+@query("embed_plugged", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN [CAST(length(text) AS DOUBLE), CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE)] ELSE [CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)] END AS embedding FROM documents")
+def _(s, d):
+    """The plug point: vectors come from a callable over batches of texts."""
+    from kinfolio.operators.embed import embed
+
+    def measure(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+    return embed(table(s, d, "documents"), "doc_id", "text", measure, 2)
+
+
 @query("embed_items")
 def _(s, d):
     from kinfolio.operators.embed import embed_hashing
@@ -125,6 +159,25 @@ def _(s, d):
     return rows.select("conv_id", "turn", T.parse_enrichment_reply(reply).alias("p")).select("conv_id", "turn", "p.summary", "p.tags")
 
 
+@query("repair_reply", """SELECT conv_id, turn, CASE turn % 7 WHEN 5 THEN 'see { } [ ]' ELSE concat('the ', role, ' "x"') END AS summary, CASE turn % 7 WHEN 1 THEN ['a'] ELSE ['a', role] END AS tags FROM conversations""")
+def _(s, d):
+    """Replies damaged in seven ways."""
+    rows = table(s, d, "conversations")
+    quoted = F.concat(F.lit("the "), "role", F.lit(r' \"x\"'))
+    first = F.concat(F.lit('{"summary": "'), quoted, F.lit('"'))
+    tags = F.concat(F.lit(', "tags": ["a", "'), "role")
+    damaged = (
+        F.when(F.col("turn") % 7 == 0, F.concat(first, tags, F.lit('"],}')))
+        .when(F.col("turn") % 7 == 1, F.concat(first, F.lit(', "tags": ["a"')))
+        .when(F.col("turn") % 7 == 2, F.concat(first, tags))
+        .when(F.col("turn") % 7 == 3, F.concat(F.lit("Here it is: {'summary': 'the "), "role", F.lit(""" "x"', 'tags': ['a', '"""), "role", F.lit("']} and more")))
+        .when(F.col("turn") % 7 == 4, F.concat(first, F.lit(' tags: [a "'), "role", F.lit('"')))
+        .when(F.col("turn") % 7 == 5, F.concat(F.lit('{"summary": "see { } [ ]", "tags": ["a", "'), "role", F.lit('"}')))
+        .otherwise(F.concat(first, F.lit(', "rest": {"deep": [1, {"k": "v"'), F.lit('}], "tags": 3}'), tags, F.lit('"]')))
+    )
+    return rows.select("conv_id", "turn", T.parse_enrichment_reply(damaged).alias("p")).select("conv_id", "turn", "p.summary", "p.tags")
+
+
 @query("fallback_tags", with_items("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN tags WHEN item_id % 3 = 1 THEN topics WHEN language IS NOT NULL THEN [language, 'open-source']
   ELSE [string_split(name, ' ')[1], 'open-source'] END AS tags FROM items"""))
 def _(s, d):
@@ -255,6 +308,34 @@ def _(s, d):
     return S.consistency(nodes.where("item_id % 2 = 0"), links, timeline, S.meta(nodes, links, timeline))
 
 
+@query("snapshot_outcomes", with_items("""SELECT c AS name, c = 'sound' AS valid, CASE c WHEN 'sound' THEN 'ok' WHEN 'nodes' THEN 'node_count_mismatch' WHEN 'edges' THEN 'edge_count_mismatch'
+  WHEN 'timeline' THEN 'timeline_missing' ELSE 'required_fields_missing' END AS reason FROM (SELECT unnest(['sound', 'nodes', 'edges', 'timeline', 'fields']) AS c) WHERE (SELECT count(*) FROM items) > 0"""))
+def _(s, d):
+    """All five outcomes of the check; the first fault found is named."""
+    nodes, links, timeline = (cut(x) for x in _payload(s, d))
+    declared = cut(S.meta(nodes, links, timeline))
+    bare = nodes.withColumn("html_url", F.when(F.col("item_id") % 2 == 0, F.col("html_url")))
+    cases = {
+        "sound": (nodes, links, timeline),
+        "nodes": (nodes.where("item_id % 2 = 0"), links.limit(0), timeline),
+        "edges": (bare, links.where("source % 2 = 0"), timeline),
+        "timeline": (bare, links, timeline.limit(0)),
+        "fields": (bare, links, timeline),
+    }
+    found = [S.consistency(*parts, declared).withColumn("name", F.lit(name)) for name, parts in cases.items()]
+    return reduce(lambda a, b: a.unionByName(b), found).select("name", "valid", "reason")
+
+
+@query("snapshot_edges", with_items("SELECT source, target, edge_index FROM indexed", *_GRAPH, EDGES))
+def _(s, d):
+    """Edges of the active version, read back in index order."""
+    from kinfolio.operators.graph import indexed
+
+    root, (nodes, links, timeline) = _folder(s, "snapshots"), _payload(s, d)
+    S.publish(s, root, 3, "v1", nodes, indexed(links), timeline)
+    return S.hydrate(s, root, 3)[1].select("source", "target", "edge_index")
+
+
 @query("snapshot_version", with_items("SELECT concat('snapshot-', strftime(max(starred_at), '%Y%m%d%H%M%S'), '-n', count(*), '-e', count(*) FILTER (stars > 100)) AS version FROM items"))
 def _(s, d):
     row = items(s, d).agg(F.date_format(F.max("starred_at"), "yyyyMMddHHmmss").alias("t"), F.count("*").alias("n"), F.count_if(F.col("stars") > 100).alias("e"))
@@ -326,6 +407,15 @@ def _(s, d):
     return s.read.schema("anchors long").json(path)
 
 
+@query("quality_report_metrics", f"WITH {GOLD} SELECT count(*) AS anchors, round(avg(prec), 6) AS precision_at_k, round(avg(ndcg), 6) AS ndcg_at_k, round(avg(CAST(covered AS INT)), 6) AS coverage FROM scored")
+def _(s, d):
+    """All metrics of the report, as they are in the file."""
+    path = _folder(s, "report")
+    landing.write_report(E.ranking_summary(*_goldset(s, d)), path)
+    found = s.read.schema("anchors long, precision_at_k double, ndcg_at_k double, coverage double").json(path)
+    return found.select("anchors", *(F.round(c, 6).alias(c) for c in ("precision_at_k", "ndcg_at_k", "coverage")))
+
+
 def _steps(s, d):
     """Order lines stand for the steps of runs: returned ones failed in part, a few altogether."""
     li = table(s, d, "lineitem")
@@ -350,6 +440,12 @@ def _(s, d):
     return L.refresh_report(_steps(s, d)).select("run_id", F.size("partial").alias("n"))
 
 
+@query("refresh_report_parts", f"WITH {STEPS} SELECT run_id, position, CAST(step AS VARCHAR) AS step, failed_items FROM steps WHERE status = 'completed' AND failed_items > 0")
+def _(s, d):
+    """Every part of the report."""
+    return L.refresh_report(_steps(s, d)).select("run_id", F.explode("partial").alias("p")).select("run_id", "p.position", "p.step", "p.failed_items")
+
+
 @query("latest_run", "SELECT o_custkey AS user_id, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS run_id FROM orders GROUP BY 1")
 def _(s, d):
     return L.latest_run(_runs(s, d))
@@ -385,8 +481,9 @@ def _(s, d):
     # A stream reads folders: the table goes into one first, as events would land.
     landed = _folder(s, "events")
     table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id").write.parquet(landed)
-    jobs.run_attempts(s, landed, "event_id long, ts timestamp, user_id long", target, checkpoint, "user_id", "ts", "24 hours", "6 hours")
-    return s.read.parquet(target).select("user_id", F.col("window.start").alias("start"), "n")
+    schema, windows = "event_id long, ts timestamp, user_id long", ("user_id", "ts", "24 hours", "6 hours")
+    jobs.run_attempts(s, landed, schema, target, checkpoint, *windows)
+    return jobs.attempts_now(s, landed, schema, target, *windows).select("user_id", F.col("window.start").alias("start"), "n")
 
 
 @query("stream_sync", with_items("SELECT item_id, full_name, CAST(CASE WHEN item_id % 2 = 0 THEN stars ELSE 0 END AS INT) AS stars FROM items"))
