@@ -23,8 +23,6 @@ from kinfolio.functions.tags import tag_union
 from kinfolio.operators.lists import ListIndex, build, meeting
 from kinfolio.session import broadcast_if_small, cut, scratch_table
 
-#: Lists that a query probes by default.
-PROBES = 16
 #: Items that a block holds on average; bounds the memory of a task.
 BLOCK_ITEMS = 2000
 #: Columns of prepared items.
@@ -82,18 +80,18 @@ def _all_blocks(rows: DataFrame, queries: DataFrame, blocks: int | None) -> Data
     return left.unionByName(right)
 
 
-def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, min_semantic: float = 0.0, by: str = "score", blocks: int | None = None, index: ListIndex | None = None, probes: int = PROBES) -> DataFrame:
+def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, min_semantic: float = 0.0, by: str = "score", blocks: int | None = None, index: ListIndex | None = None, probes: int | None = None) -> DataFrame:
     """For each query item its best ``k`` other items: ``source, target, semantic, tag_overlap, same_list, same_language, score``.
 
     Queries and items are dealt to blocks by hash; each (query block, item block) is a
     group of bounded size, ranked inside, and the ranks of a query's groups are merged.
-    With an index, a query meets the stored items of its nearest ``probes`` lists instead of
-    all ``rows``: those that it finds are scored exactly, but it may miss some.
+    With an index, a query meets the stored items of its nearest ``probes`` lists (by default
+    the index's own number) instead of all ``rows``: those that it finds are scored exactly, but it may miss some.
     """
     rows, queries = rows.select(NEEDED), queries.select(NEEDED)
     if index is not None:
         rows, group = index.postings, ["list", "qb", "ib"]
-        pairs = meeting(index, queries, probes, BLOCK_ITEMS).select(*NEEDED, *group, "side")
+        pairs = meeting(index, queries, probes or index.probes, BLOCK_ITEMS).select(*NEEDED, *group, "side")
     else:
         pairs, group = _all_blocks(rows, queries, blocks), ["qb", "ib"]
     schema = "source long, target long, semantic double, tag_overlap double, same_list double, same_language double, score double"
@@ -124,7 +122,7 @@ def block_top(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.
     return met.join(stars, "target").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def related_items(items: DataFrame, limit: int = 20, min_score: float = 0.4, min_semantic: float = 0.65, candidates: str | ListIndex = "exact", probes: int = PROBES) -> DataFrame:
+def related_items(items: DataFrame, limit: int = 20, min_score: float = 0.4, min_semantic: float = 0.65, candidates: str | ListIndex = "exact", probes: int | None = None) -> DataFrame:
     """For every anchor: its nearest ``min(5 * limit, 200)`` items by cosine, scored, filtered and ranked again."""
     rows = prepared(items)
     near = block_top(rows, rows, min(5 * limit, 200), by="semantic", index=_index(rows, candidates), probes=probes)
@@ -133,7 +131,7 @@ def related_items(items: DataFrame, limit: int = 20, min_score: float = 0.4, min
     return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def similarity_edges(items: DataFrame, threshold: float = 0.5, k: int = 8, candidates: str | ListIndex = "exact", probes: int = PROBES) -> DataFrame:
+def similarity_edges(items: DataFrame, threshold: float = 0.5, k: int = 8, candidates: str | ListIndex = "exact", probes: int | None = None) -> DataFrame:
     """Undirected edges ``source, target, weight`` from the best ``k`` partners of each item above a threshold."""
     from kinfolio.operators.graph import undirected
 
@@ -163,7 +161,7 @@ def adaptive_threshold(items: DataFrame, degree: int = 8, low: float = 0.35, hig
     return top.coalesce(1).mapInPandas(run, "threshold double, raw double")
 
 
-def knn(new: DataFrame, existing: DataFrame, k: int = 5, candidates: str | ListIndex = "exact", probes: int = PROBES) -> DataFrame:
+def knn(new: DataFrame, existing: DataFrame, k: int = 5, candidates: str | ListIndex = "exact", probes: int | None = None) -> DataFrame:
     """The ``k`` existing items nearest to each new one: ``source, target, semantic, rank``."""
     found = block_top(existing, new, k, by="semantic", index=_index(existing, candidates), probes=probes)
     return found.select("source", "target", "semantic", "rank")

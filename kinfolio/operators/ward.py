@@ -2,8 +2,9 @@
 
 Under Ward's cost a merge never brings a cluster nearer to others than its parts were,
 so all pairs that are each other's nearest may merge at once, and give the tree
-that one merge at a time gives. A round compares blocks of centroids, each pair of blocks
-in a group of bounded size; rounds halve the table about, and its last few hundred rows are merged locally. The
+that one merge at a time gives. Equal vectors merge before all others. A round compares
+blocks of centroids, each pair of blocks in a group of bounded size, and ties go by a hash of
+both ids, so that rows of equal distances give many pairs, too; the last few hundred rows are merged locally. The
 ``k`` clusters are what is left when the ``k - 1`` costliest merges are taken back.
 """
 
@@ -57,8 +58,16 @@ def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def _tie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number drawn from an unordered pair of ids."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(2)).astype(np.int64)
+
+
 def _nearest(table: DataFrame, blocks: int) -> DataFrame:
-    """``id, w, c, cost, other``: each centroid's nearest by Ward's cost, ties to the smallest id."""
+    """``id, w, c, cost, other``: each centroid's nearest by Ward's cost; of equal ones that whose pair is drawn first."""
     deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = table.withColumn("own", deal).withColumn("met", every)
@@ -78,14 +87,16 @@ def _nearest(table: DataFrame, blocks: int) -> DataFrame:
                 cost = ((p[i : i + _CHUNK, None, :] - q[None, :, :]) ** 2).sum(axis=2)
                 cost *= v[i : i + _CHUNK, None] * w[None, :] / (v[i : i + _CHUNK, None] + w[None, :])
                 cost[ids[i : i + _CHUNK, None] == others[None, :]] = np.inf
-                at = cost.argmin(axis=1)
-                best = cost[np.arange(len(at)), at]
-                fit = np.isfinite(best)
-                out.append(pd.DataFrame({"id": ids[i : i + _CHUNK][fit], "cost": best[fit], "other": others[at][fit]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "cost": pd.Series(dtype=float), "other": pd.Series(dtype="int64")})
-
-    met = rows.select("id", "w", "c", "own", "a", "b").groupBy("a", "b").applyInPandas(run, "id long, cost double, other long")
-    best = met.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("x")).select("id", "x.cost", "x.other")
+                least = cost.min(axis=1)
+                own, at = np.nonzero((cost == least[:, None]) & np.isfinite(cost))
+                tie = _tie(ids[i + own], others[at])
+                order = np.lexsort((tie, own))
+                first = order[np.flatnonzero(np.diff(own[order], prepend=-1))]
+                out.append(pd.DataFrame({"id": ids[i + own[first]], "cost": least[own[first]], "tie": tie[first], "other": others[at[first]]}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=float if c == "cost" else "int64") for c in ("id", "cost", "tie", "other")})
+
+    met = rows.select("id", "w", "c", "own", "a", "b").groupBy("a", "b").applyInPandas(run, "id long, cost double, tie long, other long")
+    best = met.groupBy("id").agg(F.min(F.struct("cost", "tie", "other")).alias("x")).select("id", "x.cost", "x.other")
     return table.join(best, "id")
 
 
@@ -101,8 +112,13 @@ def _merged(near: DataFrame) -> DataFrame:
 def tree(items: DataFrame, column: str = "x", local: int = LOCAL_ROWS, block: int = BLOCK_ROWS) -> list[DataFrame]:
     """All merges ``kept, gone, cost, step``, a frame for each round; ``step`` rises towards the root."""
     numbers = F.transform(column, lambda x: x.cast("double"))
-    table = scratch_table(items.select(F.col("item_id").cast("long").alias("id"), F.lit(1.0).alias("w"), numbers.alias("c")), "ward")
+    points = scratch_table(items.select(F.col("item_id").cast("long").alias("id"), numbers.alias("c")), "ward")
+    # Equal vectors cost nothing to merge: each goes to the smallest id that has it.
+    table = scratch_table(points.groupBy("c").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("w")).select("id", "w", "c"), "ward")
     rounds: list[DataFrame] = []
+    if table.count() < points.count():
+        kept = points.join(table.select("c", F.col("id").alias("kept")), "c").where("id <> kept")
+        rounds.append(scratch_table(kept.select("kept", F.col("id").alias("gone"), F.lit(0.0).alias("cost"), F.lit(0).alias("step")), "ward-merges"))
     n = table.count()
     while n > local:
         near = cut(_nearest(table, math.ceil(n / block)))

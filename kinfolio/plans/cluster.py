@@ -203,7 +203,9 @@ def _(s, d):
     rows = P.prepared(items(s, d))
     placed = items(s, d).select("item_id", "cluster_id", (F.col("stars") / 1e5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     old = rows.where("item_id % 10 <> 0").join(placed, "item_id")
-    found = C.assign_incrementally(rows.where("item_id % 10 = 0"), old, noise=0.0, candidates=build(rows.where("item_id % 10 <> 0"), 13))
+    index = build(rows.where("item_id % 10 <> 0"), 13, recall=1.0)
+    index.probes = 13
+    found = C.assign_incrementally(rows.where("item_id % 10 = 0"), old, noise=0.0, candidates=index)
     return found.select("item_id", "cluster_id", F.round("x", 6).alias("x"))
 
 

@@ -51,7 +51,8 @@ def test_lists_recall(spark):
     ready = P.prepared(df)
     index = lists.build(ready, 20)
     assert index.postings.count() == 400
-    assert recall(P.related_items(df, 10, 0.0, 0.0), P.related_items(df, 10, 0.0, 0.0, candidates=index, probes=8)) >= 0.9
+    assert 1 <= index.probes < 20
+    assert recall(P.related_items(df, 10, 0.0, 0.0), P.related_items(df, 10, 0.0, 0.0, candidates=index)) >= 0.9
     new, old = ready.where("item_id % 5 = 0"), ready.where("item_id % 5 <> 0")
     assert recall(P.knn(new, old, 5), P.knn(new, old, 5, candidates="lists")) >= 0.9
     placed = old.withColumns({"cluster_id": F.col("item_id") % 12, "x": F.lit(1.0), "y": F.lit(0.0), "z": F.lit(0.0)})
@@ -71,7 +72,8 @@ def test_index_is_stored(spark, tmp_path):
     index = lists.build(P.prepared(df), 6)
     index.save(str(tmp_path / "index"))
     again = lists.ListIndex.load(spark, str(tmp_path / "index"))
-    assert pairs_of(P.related_items(df, 5, candidates=again, probes=3)) == pairs_of(P.related_items(df, 5, candidates=index, probes=3))
+    assert again.probes == index.probes
+    assert pairs_of(P.related_items(df, 5, candidates=again)) == pairs_of(P.related_items(df, 5, candidates=index))
     assert P.related_items(df.limit(0), 5, candidates="lists").count() == 0
     with pytest.raises(ValueError):
         P.related_items(df, 5, candidates="some")
@@ -93,13 +95,17 @@ def test_ward_rounds_equal_one_merge_at_a_time(spark, n, k, local):
     assert got == {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels)}
 
 
-def test_ward_with_copies(spark):
-    """A third of all items in one place."""
-    x = np.random.default_rng(1).normal(size=(90, 3))
-    x[::3] = 1.0
+def test_ward_with_copies_and_ties(spark):
+    """A third of all items in one place, and others evenly spaced: few rounds, and copies part last."""
+    x = np.random.default_rng(1).normal(size=(90, 1)) + 500
+    x[::3] = 900.0
+    x[1::3, 0] = np.arange(30)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, x array<double>")
-    got = partition(ward.cut_tree(df, ward.tree(df, local=20, block=40), 6))
-    assert len(got) == 6 and any(set(range(0, 90, 3)) <= g for g in got)
+    merges = ward.tree(df, local=10, block=100)
+    assert len(merges) <= 7 and sum(m.count() for m in merges) == 89
+    got = partition(ward.cut_tree(df, merges, 3))
+    assert got == {frozenset(range(i, 90, 3)) for i in range(3)}
+    assert len(partition(ward.cut_tree(df, merges, 75))) == 75
 
 
 def plain_rounds(ids, at, size, rounds, min_distance=0.35, strength=0.5):
