@@ -41,6 +41,8 @@ LONGEST = 5
 MARK_BITS = 26
 #: Words that a task counts at a time.
 FLUSH_WORDS = 4 << 20
+#: Phrases that a task orders by score, about.
+MOST_ROWS = 100_000
 #: Counts that are added up as one range, about.
 RANGE_COUNTS = 1 << 20
 
@@ -354,10 +356,20 @@ def collocations(counts: DataFrame) -> DataFrame:
     return both.withColumn("c", cuts).select("lang", "phrase", "k", F.col("f").alias("a"), "c.l", "c.r", F.col("heads")[0].alias("n"), "c.score")
 
 
-def top(found: DataFrame, most: int = 2000) -> DataFrame:
-    """Each language's first ``most``: by score and a, both falling, and then by the phrase's bytes; with ``rank``."""
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+def top(found: DataFrame, most: int = 2000, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Each language's first ``most``: by score and a, both falling, and then by the phrase's bytes; with ``rank``.
+
+    A language with more than ``most_rows`` phrases is first dealt to groups of at most
+    about as many, whose own first ``most`` go on; so no task orders a whole language.
+    """
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    rows = cut(found)
+    while (largest := rows.groupBy("lang").count().agg(F.max("count")).first()[0] or 0) > max(most_rows, 4 * most):
+        deal = F.pmod(F.xxhash64("phrase"), F.lit(-(-largest // max(most_rows, 4 * most)) * 2))
+        rank = F.row_number().over(W.partitionBy("lang", "deal").orderBy(*order))
+        rows = cut(rows.withColumn("deal", deal).withColumn("rank", rank).where(F.col("rank") <= most).drop("deal", "rank"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def mine(docs: DataFrame, least: int = 100, most: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:

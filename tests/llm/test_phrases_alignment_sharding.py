@@ -86,6 +86,13 @@ def test_scores_beyond_64_bits_are_exact(spark):
     assert r.score == 1000 * big * 10**14 // ((big + 1) * (big + 7)) and (r.a, r.l, r.r, r.n) == (big, big + 1, big + 7, 10**14)
 
 
+def test_first_phrases_of_a_large_language(spark):
+    """Dealt to groups, several times over, the same are first."""
+    df = spark.range(3000).select(F.when(F.col("id") % 50 == 0, "de").otherwise("en").alias("lang"), F.col("id").cast("string").alias("phrase"), (F.col("id") % 7).alias("score"), (F.col("id") % 3).alias("a"))
+    first = lambda rows: sorted((r.lang, r["rank"], r.phrase) for r in phrases.top(df, 20, rows).collect())
+    assert first(1) == first(10**6) and len(first(1)) == 40
+
+
 def test_no_collocations_in_empty_tables(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", "en")], "doc_id long, text string, lang string")
     assert phrases.mine(df, 1).count() == phrases.mine(df.limit(0), 1).count() == 0
