@@ -104,9 +104,10 @@ def _merged(near: DataFrame) -> DataFrame:
     """``id, w, c, gone, cost`` of each pair of reciprocal nearest neighbours; the smaller id stays."""
     other = near.select(F.col("id").alias("gone"), F.col("w").alias("v"), F.col("c").alias("d"), F.col("other").alias("back"))
     pairs = near.join(other, (F.col("other") == F.col("gone")) & (F.col("back") == F.col("id"))).where("id < gone")
-    total = F.col("w") + F.col("v")
-    center = F.zip_with("c", "d", lambda x, y: (x * F.col("w") + y * F.col("v")) / total)
-    return pairs.select("id", total.alias("w"), center.alias("c"), "gone", "cost")
+    # In a step of its own: next to a new column named w, a lambda would take that for w.
+    mean = F.zip_with("c", "d", lambda x, y: (x * F.col("w") + y * F.col("v")) / (F.col("w") + F.col("v")))
+    pairs = pairs.withColumn("mean", mean)
+    return pairs.select("id", (F.col("w") + F.col("v")).alias("w"), F.col("mean").alias("c"), "gone", "cost")
 
 
 def tree(items: DataFrame, column: str = "x", local: int = LOCAL_ROWS, block: int = BLOCK_ROWS) -> list[DataFrame]:
