@@ -4,8 +4,8 @@ DataFrame functions only. The base statistics of a text come from array function
 its words and lines. For every (language, source) group, every language and the whole
 table, the minimum covariance determinant estimate of the transformed statistics is
 sought by concentration steps: distances under the current mean and covariance, the
-nearest three quarters, their mean and covariance, and so on until no determinant
-changes any more. Steps start from medians and MADs and, apart from that, from plain
+nearest three quarters, their mean and covariance, and so on until the group's
+determinant changes no more; then its rows are read no more either. Steps start from medians and MADs and, apart from that, from plain
 means and covariances; the smaller determinant wins. Documents beyond the Mahalanobis
 cutoff are rejected.
 
@@ -20,6 +20,8 @@ occur; an empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,8 @@ PRIOR = 200
 ALL = "2:*"
 #: Share of a group that a concentration step keeps.
 COVERAGE = 0.75
-#: Steps end where no log-determinant moves by more than this; rounding could keep a few moving, hence the bound.
+#: A group's steps end where its log-determinant moves by no more than this; rounding could keep a few moving, hence
+#: the bound, which is warned of where it is met.
 STILL, MOST_STEPS = 1e-3, 30
 #: Makes the covariance of the nearest 75 % consistent for 4 normal statistics:
 #: 0.75 / P(chi-square with 6 degrees <= 75 % quantile with 4 degrees). Fixed value.
@@ -120,46 +123,41 @@ def with_pools(rows: DataFrame, lang: str = "lang", source: str = "source") -> D
 
 def _with_inverse(stats: DataFrame) -> DataFrame:
     """Adds p_*, the inverse of each group's covariance by the sweep operator, and ``logdet``."""
+    # As SQL text: each of several hundred operators on column objects would be a call into the JVM.
     names = list(FLOORS)
-    entry = {(a, b): _cov(a, b) for a in names for b in names}
-    out = stats.withColumns({f"p_{a}_{b}": F.col(entry[a, b]) for a, b in _pairs()})
-    at = lambda a, b: F.col(f"p_{a}_{b}" if (a, b) in _pairs() else f"p_{b}_{a}")
-    out = out.withColumn("logdet", F.lit(0.0))
+    at = lambda a, b: f"p_{a}_{b}" if (a, b) in _pairs() else f"p_{b}_{a}"
+    out = stats.selectExpr("*", *(f"{_cov(a, b)} AS p_{a}_{b}" for a, b in _pairs()), "0D AS logdet")
     for k in names:
-        new = {"logdet": F.col("logdet") + F.log(F.abs(at(k, k)))}
+        new = {"logdet": f"logdet + ln(abs({at(k, k)}))"}
         for a, b in _pairs():
             if a == k and b == k:
-                value = -1 / at(k, k)
+                value = f"-1 / {at(k, k)}"
             elif k in (a, b):
-                value = at(a, b) / at(k, k)
+                value = f"{at(a, b)} / {at(k, k)}"
             else:
-                value = at(a, b) - at(a, k) * at(k, b) / at(k, k)
+                value = f"{at(a, b)} - {at(a, k)} * {at(k, b)} / {at(k, k)}"
             new[f"p_{a}_{b}"] = value
-        out = out.withColumns(new)
-    return out.withColumns({f"p_{a}_{b}": -F.col(f"p_{a}_{b}") for a, b in _pairs()})
+        out = out.selectExpr(*stats.columns, *(f"{v} AS {c}" for c, v in new.items()))
+    return out.selectExpr(*stats.columns, *(f"-p_{a}_{b} AS p_{a}_{b}" for a, b in _pairs()), "logdet")
 
 
 def distance() -> Column:
     """Squared Mahalanobis distance of a row joined with its group's estimates."""
-    total = F.lit(0.0)
-    for a, b in _pairs():
-        term = (F.col(a) - F.col(f"m_{a}")) * (F.col(b) - F.col(f"m_{b}")) * F.col(f"p_{a}_{b}")
-        total = total + (term if a == b else 2 * term)
-    return total
+    terms = (f"{1 if a == b else 2} * ({a} - m_{a}) * ({b} - m_{b}) * p_{a}_{b}" for a, b in _pairs())
+    return F.expr(" + ".join(terms))
 
 
 def _estimates(sums: DataFrame, factor: float) -> DataFrame:
     """Mean and floored covariance from grouped sums s_*, q_* and n."""
-    mean = {f"m_{a}": F.col(f"s_{a}") / F.col("n") for a in FLOORS}
-    cov = {}
-    for a, b in _pairs():
-        value = factor * (F.col(f"q_{a}_{b}") / F.col("n") - F.col(f"s_{a}") / F.col("n") * F.col(f"s_{b}") / F.col("n"))
-        cov[_cov(a, b)] = value + F.lit(FLOORS[a] ** 2) if a == b else value
-    return sums.select("grp", "start", *(v.alias(k) for k, v in {**mean, **cov}.items()))
+    mean = [f"s_{a} / n AS m_{a}" for a in FLOORS]
+    floor = lambda a, b: f" + {FLOORS[a] ** 2!r}D" if a == b else ""
+    cov = [f"{factor!r}D * (q_{a}_{b} / n - s_{a} / n * s_{b} / n){floor(a, b)} AS {_cov(a, b)}" for a, b in _pairs()]
+    return sums.selectExpr("grp", "start", *mean, *cov)
 
 
 def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in FLOORS), *(F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}") for a, b in _pairs())]
+    sums = {f"s_{a}": a for a in FLOORS} | {f"q_{a}_{b}": f"{a} * {b}" for a, b in _pairs()}
+    return [F.count("*").alias("n"), *(F.expr(f"sum({v})").alias(c) for c, v in sums.items())]
 
 
 def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -175,15 +173,22 @@ def estimates(rows: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     robust = plain.join(spread, "grp").select("grp", F.lit(0).alias("start"), *(f"m_{a}" for a in FLOORS), *(v.alias(k) for k, v in diagonal.items()))
     stats = robust.unionByName(_estimates(plain.withColumn("start", F.lit(1)), 1.0))
     now = cut(_with_inverse(stats))
+    still = []
     for _ in range(MOST_STEPS):
         scored = rows.join(hint(now), "grp").select("grp", "start", *FLOORS, distance().alias("d2"))
         limit = hint(cut(scored.groupBy("grp", "start").agg(quartile("d2", coverage).alias("limit"))))
         near = scored.join(limit, ["grp", "start"]).where("d2 <= limit")
-        before, now = now, cut(_with_inverse(_estimates(near.groupBy("grp", "start").agg(*_sums()), CONSISTENCY)))
-        both = now.join(before.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"])
-        moved = both.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-        if moved is None or moved <= STILL:
+        step = _with_inverse(_estimates(near.groupBy("grp", "start").agg(*_sums()), CONSISTENCY))
+        was = now.select("grp", "start", F.col("logdet").alias("was"))
+        step = cut(step.join(hint(was), ["grp", "start"]).withColumn("moves", F.abs(F.col("logdet") - F.col("was")) > STILL).drop("was"))
+        still.append(step.where("not moves").drop("moves"))
+        now = step.where("moves").drop("moves")
+        if now.isEmpty():
             break
+    else:
+        warnings.warn(f"{now.count()} estimates still moved after {MOST_STEPS} steps and are taken as they are", stacklevel=2)
+        still.append(now)
+    now = reduce(DataFrame.unionByName, still)
     best = now.groupBy("grp").agg(F.min_by(F.struct(*(c for c in now.columns if c != "grp")), F.struct("logdet", "start")).alias("x"))
     return cut(best.select("grp", "x.*").drop("start").join(plain.select("grp", "total"), "grp"))
 
@@ -194,13 +199,13 @@ def shrunk(found: DataFrame, groups: DataFrame) -> DataFrame:
     side = lambda tag: found.select(F.col("grp").alias(f"key_{tag}"), F.col("total").alias(f"n_{tag}"), *(F.col(v).alias(f"{v}_{tag}") for v in values))
     met = groups.join(side("g"), F.col("grp") == F.col("key_g")).join(side("l"), F.col("language") == F.col("key_l"))
     met = met.join(side("t").where(F.col("key_t") == ALL))
-    weight = lambda tag: F.col(f"n_{tag}") / (F.col(f"n_{tag}") + F.lit(PRIOR))
+    weight = lambda tag: f"(n_{tag} / (n_{tag} + {PRIOR}))"
 
-    def drawn(v: str) -> Column:
-        around = weight("l") * F.col(f"{v}_l") + (1 - weight("l")) * F.col(f"{v}_t")
-        return weight("g") * F.col(f"{v}_g") + (1 - weight("g")) * around
+    def drawn(v: str) -> str:
+        around = f"({weight('l')} * {v}_l + (1 - {weight('l')}) * {v}_t)"
+        return f"{weight('g')} * {v}_g + (1 - {weight('g')}) * {around} AS {v}"
 
-    return _with_inverse(met.select("grp", *(drawn(v).alias(v) for v in values)))
+    return _with_inverse(met.selectExpr("grp", *map(drawn, values)))
 
 
 def apply(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
