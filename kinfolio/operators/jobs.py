@@ -40,9 +40,9 @@ def build_snapshot(items: DataFrame, clusters: DataFrame, lists: DataFrame, k: i
     return nodes, edges, monthly_timeline(items), version
 
 
-def materialize_related(items: DataFrame, limit: int, min_score: float, min_semantic: float, candidates: str | ListIndex = "exact") -> DataFrame:
-    """``item_id, related`` (ids, best first) of every anchor with related items."""
-    found = related_items(items, limit, min_score, min_semantic, candidates)
+def materialize_related(items: DataFrame, limit: int, min_score: float, min_semantic: float, candidates: str | ListIndex = "exact", nearest: int | None = None) -> DataFrame:
+    """``item_id, related`` (ids, best first) of every anchor with related items, out of its ``nearest``."""
+    found = related_items(items, limit, min_score, min_semantic, candidates, nearest=nearest)
     listed = F.sort_array(F.collect_list(F.struct("rank", "target")))
     return found.groupBy(F.col("source").alias("item_id")).agg(F.transform(listed, lambda x: x["target"]).alias("related"))
 

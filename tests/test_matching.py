@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kinfolio.operators import matching
+from kinfolio.operators import jobs, matching
 from kinfolio.operators import pairs as P
 
 SCHEMA = "item_id long, embedding array<float>, tags array<string>, topics array<string>, list_id int, language string, stars long"
@@ -63,3 +63,14 @@ def test_equal_vectors_tie_by_stars_and_id_in_any_block(spark):
         for s in range(60):
             want = sorted((t for t in range(60) if t != s), key=lambda t: (-stars[t], t))[:4]
             assert [got[s, k] for k in range(1, 5)] == want
+
+
+def test_materialized_lists_take_the_nearest_asked_for(spark):
+    """Item 0's best score is its 60th nearest: out of 50 nearest it isn't found, out of 100 it is."""
+    rows = [(0, [1.0, 0.0], ["x", "y"], [], 1, "a", 1)]
+    for i in range(1, 81):
+        same = i == 60
+        rows.append((i, [1.0, i / 1000], ["x", "y"] if same else [f"t{i}"], [], 1 if same else None, "a" if same else "b", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = lambda **more: {r.item_id: r.related for r in jobs.materialize_related(df, 10, 0.0, 0.0, **more).collect()}[0][0]
+    assert (first(), first(nearest=100)) == (1, 60)
