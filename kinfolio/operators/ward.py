@@ -3,8 +3,8 @@
 Under Ward's cost a merge never brings a cluster nearer to others than its parts were,
 so all pairs that are each other's nearest may merge at once, and give the tree
 that one merge at a time gives. Equal vectors merge before all others. A round compares
-blocks of centroids, each pair of blocks in a group of bounded size, and ties go by a hash of
-both ids, so that rows of equal distances give many pairs, too; the last few hundred rows are merged locally. The
+those that are new, or whose nearest merged, with all, in pairs of blocks of bounded size, and ties go by a hash of
+both ids, so that rows of equal distances give many pairs, too; the last few thousand rows are merged locally. The
 ``k`` clusters are what is left when the ``k - 1`` costliest merges are taken back.
 """
 
@@ -13,31 +13,37 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfolio.session import broadcast_if_small, cut, scratch_table
+from kinfolio.session import cut, scratch_table
 
 #: Centroids that a block holds on average.
 BLOCK_ROWS = 1000
 #: Centroids from which on the driver merges them; also the most rows that reach it.
-LOCAL_ROWS = 500
-_CHUNK = 64
+LOCAL_ROWS = 3000
+#: Most centroids of a block, and pairs that are bounded at a time.
+MOST_ROWS, _PAIRS = 32_768, 1 << 20
 
 
 def ward_merges(points: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
     """All merges of a bounded number of weighted points, ``(kept, gone, cost)``, by Lance-Williams updates."""
     n = len(points)
     w = weights.astype(float).copy()
-    square = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-    cost = square * (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
+    cost = np.empty((n, n))
+    for i in range(n):
+        cost[i] = ((points[i] - points) ** 2).sum(axis=1)
+        cost[i] = cost[i] * (w[i] * w) / (w[i] + w)
     np.fill_diagonal(cost, np.inf)
     alive = np.ones(n, dtype=bool)
+    # Each row's nearest is kept; only rows whose nearest changed look again.
+    near = cost.argmin(axis=1) if n > 1 else np.zeros(n, dtype=int)
+    best = cost[np.arange(n), near]
     out = []
     for _ in range(n - 1):
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        i, j = int(min(i, j)), int(max(i, j))
+        i = int(best.argmin())
+        i, j = sorted((i, int(near[i])))
         out.append((i, j, float(cost[i, j])))
         merged = ((w[i] + w) * cost[i] + (w[j] + w) * cost[j] - w * cost[i, j]) / (w[i] + w[j] + w)
         alive[j] = False
@@ -46,6 +52,14 @@ def ward_merges(points: np.ndarray, weights: np.ndarray) -> list[tuple[int, int,
         cost[i], cost[:, i] = merged, merged
         cost[j], cost[:, j] = np.inf, np.inf
         w[i] += w[j]
+        sooner = (merged < best) | ((merged == best) & (i < near))
+        again = alive & ((near == i) | (near == j))
+        again[i], sooner[i] = True, False
+        near[sooner], best[sooner] = i, merged[sooner]
+        best[j] = np.inf
+        rows = np.flatnonzero(again)
+        near[rows] = cost[rows].argmin(axis=1)
+        best[rows] = cost[rows, near[rows]]
     return out
 
 
@@ -66,38 +80,80 @@ def _tie(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(2)).astype(np.int64)
 
 
-def _nearest(table: DataFrame, blocks: int) -> DataFrame:
-    """``id, w, c, cost, other``: each centroid's nearest by Ward's cost; of equal ones that whose pair is drawn first."""
-    deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = table.withColumn("own", deal).withColumn("met", every)
-    rows = rows.withColumns({"a": F.least("own", "met"), "b": F.greatest("own", "met")})
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["own"] == key[0]].sort_values("id")
-        right = pdf[pdf["own"] == key[1]].sort_values("id")
-        out = []
-        for x, y in ((left, right),) if key[0] == key[1] else ((left, right), (right, left)):
-            if x.empty or y.empty:
-                continue
-            ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-            p, q = (np.array(s["c"].tolist(), dtype=float) for s in (x, y))
-            v, w = x["w"].to_numpy(), y["w"].to_numpy()
-            for i in range(0, len(ids), _CHUNK):
-                cost = ((p[i : i + _CHUNK, None, :] - q[None, :, :]) ** 2).sum(axis=2)
-                cost *= v[i : i + _CHUNK, None] * w[None, :] / (v[i : i + _CHUNK, None] + w[None, :])
-                cost[ids[i : i + _CHUNK, None] == others[None, :]] = np.inf
-                least = cost.min(axis=1)
-                own, at = np.nonzero((cost == least[:, None]) & np.isfinite(cost))
-                tie = _tie(ids[i + own], others[at])
-                order = np.lexsort((tie, own))
-                first = order[np.flatnonzero(np.diff(own[order], prepend=-1))]
-                out.append(pd.DataFrame({"id": ids[i + own[first]], "cost": least[own[first]], "tie": tie[first], "other": others[at[first]]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=float if c == "cost" else "int64") for c in ("id", "cost", "tie", "other")})
-
-    met = rows.select("id", "w", "c", "own", "a", "b").groupBy("a", "b").applyInPandas(run, "id long, cost double, tie long, other long")
-    best = met.groupBy("id").agg(F.min(F.struct("cost", "tie", "other")).alias("x")).select("id", "x.cost", "x.other")
-    return table.join(best, "id")
+def _closest(a: dict, b: dict, first: bool) -> dict[str, np.ndarray]:
+    """``id, cost, tie, other`` of the nearest in ``b`` of each row of ``a``, and of ``a`` for rows of ``b`` that it comes nearer to than what they have.
+
+    Products of all pairs bound the costs but for rounding; those within it of a least one are computed from differences.
+    """
+    out: list[np.ndarray] = []
+    p2, q2 = (np.einsum("ij,ij->i", s["c"], s["c"]) for s in (a, b))
+    order = np.argsort(b["id"])
+    rows = max(1, _PAIRS // max(len(b["id"]), 1))
+    for begin in range(0, len(a["id"]) if len(b["id"]) else 0, rows):
+        part = slice(begin, begin + rows)
+        ids, p, v = a["id"][part], a["c"][part], a["w"][part]
+        cost = p @ b["c"].T
+        cost *= -2
+        cost += p2[part, None]
+        cost += q2
+        weight = v[:, None] + b["w"]
+        np.divide(b["w"], weight, out=weight)
+        weight *= v[:, None]
+        cost *= weight
+        at = order[np.minimum(np.searchsorted(b["id"], ids, sorter=order), len(order) - 1)]
+        own = np.flatnonzero(b["id"][at] == ids)
+        cost[own, at[own]] = np.inf
+        # Rounding of the products, whose weight is at most that of the row.
+        slack = 1e-12 * (p2[part] + q2.max()) * v
+        near = cost <= (cost.min(axis=1) + slack)[:, None]
+        i, j = np.nonzero(near & np.isfinite(cost))
+        back = None
+        if not first:
+            near = cost <= b["cost"]
+            near |= (cost - slack[:, None]) <= b["cost"]
+            near[own, at[own]] = False
+            near[:, np.isinf(b["cost"])] = False
+            back = np.nonzero(near)
+        for x, y, turned in ((i, j, False), *([(*back, True)] if back else [])):
+            gap = ((p[x] - b["c"][y]) ** 2).sum(axis=1)
+            gap *= v[x] * b["w"][y] / (v[x] + b["w"][y])
+            tie = _tie(ids[x], b["id"][y])
+            one, other = (b["id"][y], ids[x]) if turned else (ids[x], b["id"][y])
+            best = np.lexsort((tie, gap, one))
+            best = best[np.flatnonzero(np.diff(one[best], prepend=-1))] if len(best) else best
+            out.append([one[best], gap[best], tie[best], other[best]])
+    names = ("id", "cost", "tie", "other")
+    if not out:
+        return {c: np.zeros(0, dtype=float if c == "cost" else "int64") for c in names}
+    return {c: np.concatenate([o[i] for o in out]) for i, c in enumerate(names)}
+
+
+def _nearest(table: DataFrame, n: int, asked: int, block: int) -> DataFrame:
+    """``id, w, c, cost, tie, other``: each centroid's nearest by Ward's cost; of equal ones that whose pair is drawn first.
+
+    Rows that have an ``other`` keep it unless one of the rows without comes before, so a round compares only these with all.
+    """
+    size = lambda m: max(1, math.ceil(m / min(MOST_ROWS, max(block, math.ceil(m / 12)))))
+    asks, mets = size(asked), size(n)
+    deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = table.select("id", "w", "c", "cost", F.col("other").isNull().alias("todo"))
+    left = rows.where("todo").withColumn("a", deal(asks)).withColumn("b", every(mets)).withColumn("side", F.lit(0))
+    right = rows.withColumn("b", deal(mets)).withColumn("a", every(asks)).withColumn("side", F.lit(1))
+    first = asked == n
+
+    def run(met: pa.Table) -> pa.Table:
+        c = met.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(met.num_rows, -1)
+        side = met.column("side").to_numpy()
+        columns = {"c": c, **{k: met.column(k).to_numpy() for k in ("id", "w", "cost")}}
+        return pa.table(_closest(*({k: v[side == s] for k, v in columns.items()} for s in (0, 1)), first))
+
+    met = left.unionByName(right).groupBy("a", "b").applyInArrow(run, "id long, cost double, tie long, other long")
+    best = met.groupBy("id").agg(F.min(F.struct("cost", "tie", "other")).alias("x"))
+    out = table.withColumn("had", F.when(F.col("other").isNotNull(), F.struct("cost", "tie", "other"))).join(best, "id", "left")
+    # Nulls are passed over.
+    out = out.withColumn("x", F.least("had", "x"))
+    return out.select("id", "w", "c", "x.cost", "x.tie", "x.other")
 
 
 def _merged(near: DataFrame) -> DataFrame:
@@ -120,14 +176,23 @@ def tree(items: DataFrame, column: str = "x", local: int = LOCAL_ROWS, block: in
     if table.count() < points.count():
         kept = points.join(table.select("c", F.col("id").alias("kept")), "c").where("id <> kept")
         rounds.append(scratch_table(kept.select("kept", F.col("id").alias("gone"), F.lit(0.0).alias("cost"), F.lit(0).alias("step")), "ward-merges"))
-    n = table.count()
+    unknown = [F.lit(math.inf).alias("cost"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("long").alias("other")]
+    table = table.select("id", "w", "c", *unknown)
+    n = asked = table.count()
     while n > local:
-        near = cut(_nearest(table, math.ceil(n / block)))
+        near = scratch_table(_nearest(table, n, asked, block), "ward")
         pairs = scratch_table(_merged(near), "ward-merges")
         rounds.append(pairs.select(F.col("id").alias("kept"), "gone", "cost", F.lit(len(rounds)).alias("step")))
         gone = pairs.select(F.explode(F.array("id", "gone")).alias("id"))
-        table = scratch_table(table.join(gone, "id", "left_anti").unionByName(pairs.select("id", "w", "c")), "ward")
-        n = table.count()
+        # Whose nearest merged has to look again; for the others no merge made anything nearer than they have.
+        lost = gone.select(F.col("id").alias("other"), F.lit(True).alias("lost"))
+        rest = near.join(gone, "id", "left_anti").join(lost, "other", "left")
+        rest = rest.select("id", "w", "c", *(F.when(F.col("lost"), u).otherwise(F.col(c)).alias(c) for c, u in zip(("cost", "tie", "other"), unknown, strict=True)))
+        table = scratch_table(rest.unionByName(pairs.select("id", "w", "c", *unknown)), "ward")
+        left = table.agg(F.count("*").alias("n"), F.count_if(F.col("other").isNull()).alias("asked")).first()
+        if left.n == n:
+            raise ValueError("vectors have to be finite")
+        n, asked = left.n, left.asked
     rest = table.orderBy("id").toPandas()  # at most ``local`` rows
     points = np.array(rest["c"].tolist(), dtype=float).reshape(n, -1)
     ids = rest["id"].tolist()
@@ -142,18 +207,13 @@ def cut_tree(items: DataFrame, merges: list[DataFrame], k: int) -> DataFrame:
         every = every.unionByName(part)
     # A merge costs no less than those below it and comes at a later step.
     undone = cut(every.orderBy(F.desc("cost"), F.desc("step")).limit(k - 1).select("gone"))
-    labels = items.select("item_id", F.col("item_id").cast("long").alias("label"))
-    kept = [part.join(F.broadcast(undone), "gone", "left_anti") for part in merges]
-    for i, part in enumerate(kept[:-1]):
-        step = broadcast_if_small(cut(part.select(F.col("kept"), F.col("gone").alias("label"))))
-        labels = labels.join(step, "label", "left").select("item_id", F.coalesce("kept", "label").alias("label"))
-        if i % 4 == 3:
-            labels = cut(labels)
-    # The local merges go down to one row each; their table is of bounded size.
-    goes: dict[int, int] = {}
-    for r in kept[-1].orderBy(F.desc("step")).collect():
-        goes[r.gone] = goes.get(r.kept, r.kept)
-    if goes:
-        last = items.sparkSession.createDataFrame(list(goes.items()), "label long, kept long")
-        labels = labels.join(F.broadcast(last), "label", "left").select("item_id", F.coalesce("kept", "label").alias("label"))
-    return labels.select("item_id", F.col("label").alias("cluster_id"))
+    up = cut(every.join(F.broadcast(undone), "gone", "left_anti").select("gone", "kept"))
+    # Each look doubles how far up the tree a row knows: as many looks as the logarithm of the tree's depth.
+    while True:
+        above = up.select(F.col("gone").alias("kept"), F.col("kept").alias("top"))
+        seen = cut(up.join(above, "kept", "left").select("gone", F.coalesce("top", "kept").alias("kept"), F.col("top").isNotNull().alias("moved")))
+        if seen.where("moved").isEmpty():
+            break
+        up = seen.select("gone", "kept")
+    labels = items.select("item_id", F.col("item_id").cast("long").alias("gone")).join(up, "gone", "left")
+    return labels.select("item_id", F.coalesce("kept", "gone").alias("cluster_id"))
