@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinfolio.session import scratch_table
 
 #: Nodes of a task, halo included.
-MOST_NODES = 4000
+MOST_NODES = 20_000
 #: Rounds that a step tries to run.
 ROUNDS = 10
 #: Pairs that are compared at a time.
@@ -204,6 +204,8 @@ def resolve_collisions(nodes: DataFrame, min_distance: float = 0.35, rounds: int
             stray, count = 1.5 * seen.strayed, max(1, count // 2)
             continue
         now, done = moved.select(columns), done + count
+        # Crowds burst in their first rounds and move little afterwards: the bound follows, or halos would stay large.
+        stray = max(width, 1.5 * seen.strayed)
         if seen.last < count:
             break
         count = together
