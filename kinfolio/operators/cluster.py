@@ -323,7 +323,8 @@ def build_clusters(items: DataFrame, k: int | None = None, least: int | None = 3
     flat = centered_pca(rows.select("item_id", "x"), 3).select("item_id", *((F.col("z")[i] * 2.0).alias(c) for i, c in enumerate("xyz")))
     sized = flat.join(items.select("item_id", layout_size(F.col("stars")).alias("size")), "item_id")
     placed = resolve_collisions(sized)
-    named = heuristic_names(items.drop("cluster_id").join(labels.where("cluster_id >= 0"), "item_id"))
+    # Cut off here: names are read twice, and they come from all texts.
+    named = cut(heuristic_names(items.drop("cluster_id").join(labels.where("cluster_id >= 0"), "item_id")))
     out = placed.join(labels, "item_id")
     table = named.drop("name").join(unique_names(named).select("cluster_id", "name"), "cluster_id").join(cluster_centers(out), "cluster_id")
     return out, table

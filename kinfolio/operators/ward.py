@@ -4,7 +4,7 @@ Under Ward's cost a merge never brings a cluster nearer to others than its parts
 so all pairs that are each other's nearest may merge at once, and give the tree
 that one merge at a time gives. Equal vectors merge before all others. A round compares
 those that are new, or whose nearest merged, with all, in pairs of blocks of bounded size, and ties go by a hash of
-both ids, so that rows of equal distances give many pairs, too; the last few thousand rows are merged locally. The
+both ids, so that rows of equal distances give many pairs, too; the last few thousand rows go on in one task. The
 ``k`` clusters are what is left when the ``k - 1`` costliest merges are taken back.
 """
 
@@ -21,8 +21,8 @@ from kinfolio.session import cut, scratch_table
 
 #: Centroids that a block holds on average.
 BLOCK_ROWS = 1000
-#: Centroids from which on the driver merges them; also the most rows that reach it.
-LOCAL_ROWS = 3000
+#: Centroids from which on one task goes on with the rounds, and from which on it holds the costs of all pairs.
+LOCAL_ROWS, MATRIX_ROWS = 12_000, 2000
 #: Most centroids of a block, and pairs that are bounded at a time.
 MOST_ROWS, _PAIRS = 32_768, 1 << 20
 
@@ -128,6 +128,46 @@ def _closest(a: dict, b: dict, first: bool) -> dict[str, np.ndarray]:
     return {c: np.concatenate([o[i] for o in out]) for i, c in enumerate(names)}
 
 
+def local_merges(ids: np.ndarray, points: np.ndarray, weights: np.ndarray, matrix: int = MATRIX_ROWS) -> list[tuple[int, int, float]]:
+    """All merges of a bounded number of rows, ``(kept, gone, cost)``: the same rounds in memory, and at last by :func:`ward_merges`.
+
+    Those of a round come before those of the next.
+    """
+    order = np.argsort(ids)
+    rows = {"id": ids[order], "c": points[order], "w": weights[order].astype(float)}
+    n = len(ids)
+    rows |= {"cost": np.full(n, np.inf), "tie": np.zeros(n, dtype=np.int64), "other": np.full(n, -1)}
+    todo = np.ones(n, dtype=bool)
+    out: list[tuple[int, int, float]] = []
+    while len(rows["id"]) > max(matrix, 1):
+        found = _closest({k: v[todo] for k, v in rows.items()}, rows, bool(todo.all()))
+        # Those that kept theirs lose it only to one that comes before.
+        at = np.searchsorted(rows["id"], found["id"])
+        every = {"at": np.append(at, np.flatnonzero(~todo)), **{k: np.append(found[k], rows[k][~todo]) for k in ("cost", "tie", "other")}}
+        best = np.lexsort((every["other"], every["tie"], every["cost"], every["at"]))
+        best = best[np.flatnonzero(np.diff(every["at"][best], prepend=-1))]
+        for k in ("cost", "tie", "other"):
+            rows[k][every["at"][best]] = every[k][best]
+        near = np.searchsorted(rows["id"], rows["other"])
+        i = np.flatnonzero((near[near] == np.arange(len(near))) & (np.arange(len(near)) < near))
+        if not len(i):
+            raise ValueError("vectors have to be finite")
+        j = near[i]
+        out += zip(rows["id"][i].tolist(), rows["id"][j].tolist(), rows["cost"][i].tolist(), strict=True)
+        v, w = rows["w"][i], rows["w"][j]
+        rows["c"][i] = (rows["c"][i] * v[:, None] + rows["c"][j] * w[:, None]) / (v + w)[:, None]
+        rows["w"][i] = v + w
+        new = np.zeros(len(near), dtype=bool)
+        new[i] = new[j] = True
+        todo = new | new[near]
+        rows["cost"][todo] = np.inf
+        stay = np.ones(len(near), dtype=bool)
+        stay[j] = False
+        rows, todo = {k: x[stay] for k, x in rows.items()}, todo[stay]
+    left = rows["id"].tolist()
+    return out + [(left[i], left[j], c) for i, j, c in ward_merges(rows["c"], rows["w"])]
+
+
 def _nearest(table: DataFrame, n: int, asked: int, block: int) -> DataFrame:
     """``id, w, c, cost, tie, other``: each centroid's nearest by Ward's cost; of equal ones that whose pair is drawn first.
 
@@ -193,11 +233,18 @@ def tree(items: DataFrame, column: str = "x", local: int = LOCAL_ROWS, block: in
         if left.n == n:
             raise ValueError("vectors have to be finite")
         n, asked = left.n, left.asked
-    rest = table.orderBy("id").toPandas()  # at most ``local`` rows
-    points = np.array(rest["c"].tolist(), dtype=float).reshape(n, -1)
-    ids = rest["id"].tolist()
-    merges = [(ids[i], ids[j], c, len(rounds) + s) for s, (i, j, c) in enumerate(ward_merges(points, rest["w"].to_numpy()))]
-    return [*rounds, items.sparkSession.createDataFrame(merges, "kept long, gone long, cost double, step int")]
+    before = len(rounds)
+
+    def run(rest: pa.Table) -> pa.Table:
+        # At most ``local`` rows.
+        c = rest.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rest.num_rows, -1)
+        merges = local_merges(rest.column("id").to_numpy(), c, rest.column("w").to_numpy())
+        kept, gone, cost = zip(*merges, strict=True) if merges else ((), (), ())
+        step = np.arange(before, before + len(merges), dtype=np.int32)
+        return pa.table({"kept": pa.array(kept, pa.int64()), "gone": pa.array(gone, pa.int64()), "cost": pa.array(cost, pa.float64()), "step": step})
+
+    last = table.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(run, "kept long, gone long, cost double, step int")
+    return [*rounds, scratch_table(last, "ward-merges")]
 
 
 def cut_tree(items: DataFrame, merges: list[DataFrame], k: int) -> DataFrame:

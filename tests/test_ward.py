@@ -46,3 +46,26 @@ def test_local_merges_take_one_look_a_merge():
     merges = ward.ward_merges(np.random.default_rng(2).normal(size=(2000, 8)), np.ones(2000))
     assert len(merges) == 1999
     assert time.monotonic() - begin < 12
+
+
+def test_local_rounds_equal_one_merge_at_a_time():
+    """Rounds in memory give the merges of the matrix, from ids in any order and of any weight."""
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(5000)[:900]
+    points, weights = rng.normal(size=(900, 6)), rng.integers(1, 4, 900).astype(float)
+    order = np.argsort(ids)
+    one = {(int(ids[order[i]]), int(ids[order[j]])): c for i, j, c in ward.ward_merges(points[order], weights[order])}
+    rounds = {(i, j): c for i, j, c in ward.local_merges(ids, points, weights, matrix=50)}
+    assert rounds.keys() == one.keys()
+    assert all(abs(rounds[k] - one[k]) < 1e-9 for k in one)
+
+
+def test_ten_thousand_rows_need_no_distributed_round(spark, monkeypatch):
+    """A round of Spark costs seconds; so many rows once took sixteen of them."""
+    asked = []
+    plain = ward._nearest
+    monkeypatch.setattr(ward, "_nearest", lambda *a: asked.append(a) or plain(*a))
+    x = np.random.default_rng(5).normal(size=(4000, 5))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "item_id long, x array<double>")
+    assert sum(m.count() for m in ward.tree(df)) == 3999
+    assert not asked
