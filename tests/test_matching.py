@@ -74,3 +74,30 @@ def test_materialized_lists_take_the_nearest_asked_for(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     first = lambda **more: {r.item_id: r.related for r in jobs.materialize_related(df, 10, 0.0, 0.0, **more).collect()}[0][0]
     assert (first(), first(nearest=100)) == (1, 60)
+
+
+def test_items_that_stream_by_raise_the_floor(monkeypatch):
+    """What a query has found bounds later items: in ten stretches hardly more is scored than in one, and no more than k come out."""
+    a, b = matching.sides(group(rows_of(3000, 1)))
+    seen = []
+    plain = matching.signals
+    monkeypatch.setattr(matching, "signals", lambda x, y: seen.append(len(x.ids)) or plain(x, y))
+    names = matching.Names(*(pa.array(range(n)) for n in (400, 4, 3)))
+    found = matching.Best(a, names, 5, 0.0, 0.0, "semantic")
+    for begin in range(0, 3000, 300):
+        found.add(b.take(np.arange(begin, begin + 300)))
+    got, want = found.result(), matching.best(a, b, 5, 0.0, 0.0, "semantic")
+    assert all((got[c] == want[c]).all() for c in matching.NAMES)
+    assert sum(seen) < 3000 * 5 * 12
+
+
+def test_a_block_of_queries_returns_its_best_once(spark):
+    """Rows that leave the tasks were k for each pair of blocks, or each list, and query."""
+    df = spark.createDataFrame(rows_of(600, 1), SCHEMA)
+    rows = P.prepared(df)
+    index = P.build(rows, 6)
+    for more in ({"blocks": 4}, {"index": index, "probes": 6}):
+        plan = P.block_top(rows, rows, 7, by="semantic", **more)
+        assert plan.count() == 600 * 7
+        assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" not in plan._jdf.queryExecution().executedPlan().toString()
