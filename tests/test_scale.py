@@ -3,11 +3,13 @@
 import collections
 import json
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinfolio.functions.relevance import l2_normalized
 from kinfolio.functions.repair import repaired_json
 from kinfolio.functions.text import parse_enrichment_reply
 from kinfolio.operators import cluster as C
@@ -369,3 +371,45 @@ def test_whole_clustering_equals_numpy(spark):
     flat = numpy_pca(x, 3) * 2.0
     if not any(np.linalg.norm(flat[i] - flat[j]) < 0.35 * 3 for i in range(150) for j in range(i)):
         assert np.allclose([[r.x, r.y, r.z] for r in placed.orderBy("item_id").collect()], flat)
+
+
+def test_probes_are_measured_only_when_asked_for(spark, monkeypatch):
+    """A query that says how many lists it probes needs no sample of exact neighbours."""
+    measured = []
+    monkeypatch.setattr(lists, "probes_needed", lambda *a: measured.append(a) or 3)
+    df = clustered(spark, 150)
+    assert P.ivf_candidates(df, k=4, lists=6, probes=5).count() == 600
+    assert not measured
+    assert lists.build(P.prepared(df), 6).probes == 3
+
+
+def test_edges_of_a_snapshot_are_computed_once(spark, monkeypatch):
+    """Two published versions, totals and checks read what was written."""
+    from kinfolio.plans.registry import QUERIES
+
+    log = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(P, "_asked_block", lambda queries, block: queries)
+    tables = "/root/testdata/sf0.001"
+    streamed = P._streamed
+
+    def seen(rows, queries, m, run):
+        def logged(batches):
+            log.add(1)
+            yield from run(batches)
+
+        return streamed(rows, queries, m, logged)
+
+    monkeypatch.setattr(P, "_streamed", seen)
+    for name in ("snapshot_roundtrip", "snapshot_consistency", "dangling_edges"):
+        log.value = 0
+        QUERIES[name](spark, tables).count()
+        assert log.value == 1, name
+
+
+def test_wide_vectors_get_unit_length_in_linear_time(spark):
+    """The length was added up again for each value: 4,000 million steps here, minutes for a few rows."""
+    begin = time.monotonic()
+    wide = spark.range(256).select(F.col("id").alias("item_id"), F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: i.cast("double")).alias("x"))
+    seen = wide.select(F.aggregate(l2_normalized(F.col("x")), F.lit(0.0), lambda s, x: s + x * x).alias("n")).agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
+    assert abs(seen.a - 1) < 1e-9 and abs(seen.b - 1) < 1e-9
+    assert time.monotonic() - begin < 40
