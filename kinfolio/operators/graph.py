@@ -63,6 +63,8 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that lack a node at one end at least."""
+    # Cut off here: both sides of the join read them.
+    edges = cut(edges)
     whole = induced(edges, nodes).select("source", "target")
     return edges.join(whole, ["source", "target"], "left_anti")
 
