@@ -378,9 +378,20 @@ def test_probes_are_measured_only_when_asked_for(spark, monkeypatch):
     measured = []
     monkeypatch.setattr(lists, "probes_needed", lambda *a: measured.append(a) or 3)
     df = clustered(spark, 150)
-    assert P.ivf_candidates(df, k=4, lists=6, probes=5).count() == 600
+    rows = P.prepared(df)
+    assert P.block_top(rows, rows, 4, by="semantic", index=lists.build(rows, 6), probes=5).count() == 600
     assert not measured
-    assert lists.build(P.prepared(df), 6).probes == 3
+    assert lists.build(rows, 6).probes == 3
+
+
+def test_too_few_probes_are_raised_to_the_measured_recall(spark):
+    """Vectors that hardly cluster: 2 of 20 lists hold a small part of the nearest."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist(), [], [], None, None, 1) for i, v in enumerate(rng.normal(size=(600, 32)))]
+    df = spark.createDataFrame(rows, ITEM)
+    exact = P.knn(P.prepared(df), P.prepared(df), 8)
+    found = P.ivf_candidates(df, k=8, lists=20, probes=2)
+    assert recall(exact, found.select(F.col("item_id").alias("source"), "target")) >= 0.9
 
 
 def test_edges_of_a_snapshot_are_computed_once(spark, monkeypatch):
