@@ -188,6 +188,40 @@ def test_a_tag_of_all_items_reads_a_stretch(spark, monkeypatch):
     assert [n for name, n in made if name == "found"] == [30_000]
 
 
+def test_same_tags_meet_by_sets_not_by_items(spark, monkeypatch):
+    made = []
+    keep = P.scratch_table
+
+    def noted(df, name):
+        out = keep(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(P, "scratch_table", noted)
+    tags = [F.element_at(F.array(*map(F.lit, names)), (F.col("id") % n + 1).cast("int")) for names, n in (("abc", 3), ("xy", 2))]
+    df = spark.range(3000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 5 > 0, F.array(*tags)).otherwise(F.array(*tags[::-1])).alias("topics"), (F.col("id") % 97).alias("stars"))
+    assert P.same_tag_items(df).count() == 30_000
+    # Six sets of two tags: each posts its best 11 items, once a tag, and finds as many.
+    assert {name: n for name, n in made if name != "found"} == {"postings": 132, "best": 66}
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_same_tags_of_copies_in_small_pieces(spark, monkeypatch, near):
+    monkeypatch.setattr(P, "PIECE", 3)
+    monkeypatch.setattr(P, "MEETINGS", 50)
+    if not near:
+        monkeypatch.setattr(P, "broadcast_if_small", lambda df: df)
+    rnd = random.Random(5)
+    kinds = [rnd.sample("abcdefghijkl", rnd.randint(1, 9)) for _ in range(20)]
+    # Sets in any order, with tags twice and null tags, which count for nothing; many equal stars.
+    rows = [(i, rnd.sample(k := rnd.choice(kinds), len(k)) + [k[0], None] * (i % 4 == 0), rnd.randint(0, 6)) for i in range(200)]
+    df = spark.createDataFrame([*rows, rows[7], (None, ["a"], 99)], "item_id long, topics array<string>, stars long")
+    got = collections.Counter((r.item_id, r["rank"], r.target, r.shared, tuple(r.reason)) for r in P.same_tag_items(df, limit=4, first=2, factor=3).collect())
+    plain = {i: {t for t in tags if t} for i, tags, _ in rows}
+    want = same_tags([(i, list(plain[i]), stars) for i, _, stars in rows], limit=4)
+    assert got == collections.Counter((i, rank, j, len(plain[i] & plain[j]), reason) for (i, rank), (j, reason) in want.items())
+
+
 def attempts_of(rows, seconds, limit):
     return {i: sum(k2 == k and t2 is not None and t is not None and t - seconds <= t2 <= t for _, k2, t2 in rows) - 1 for i, k, t in rows}
 
