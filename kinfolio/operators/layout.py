@@ -6,7 +6,7 @@ what starts within ``m (R + 2 D)`` of it. So a task gets a box with this halo, r
 and returns its own nodes; positions are exchanged by the next step's grouping. How
 far nodes strayed is checked afterwards, and a step that went beyond D is taken again with
 fewer rounds; one round needs no bound. Boxes shrink until what a task gets is bounded.
-Where too many nodes lie within R of each other for that, a round is a join over grid cells.
+Where a box of one round still has too many nodes, they meet those of the grid cells around in blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from kinfolio.session import scratch_table
 MOST_NODES = 20_000
 #: Rounds that a step tries to run.
 ROUNDS = 10
-#: Pairs that are compared at a time.
-_PAIRS = 1 << 20
+#: Pairs that are compared at a time, singly and as a tile.
+_PAIRS, _TILE = 1 << 20, (64, 512)
+#: Nodes of a cell, and of those about it, that meet at a time; most partitions that these meetings are dealt to.
+CROWD, CROWD_TASKS = (4096, 65_536), 192
 _AXES = ("x", "y", "z")
 
 
@@ -127,36 +129,107 @@ def _boxes(now: DataFrame, edge: float | None, halo: float) -> DataFrame:
     return out.withColumn("own", own[0] & own[1] & own[2])
 
 
-def _joined_round(now: DataFrame, min_distance: float, strength: float, width: float) -> DataFrame:
-    """One round as a join of each node with those of its own and the neighbouring grid cells."""
-    placed = now.withColumns({f"c{c}": F.floor(F.col(c) / width) for c in _AXES})
-    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    spread = placed
-    for c in _AXES:
-        spread = spread.withColumn("_s", F.explode(steps)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_s")).drop("_s")
-    other = placed.select("cx", "cy", "cz", *(F.col(c).alias(f"o_{c}") for c in ("item_id", "x", "y", "z", "size")))
-    met = spread.join(other, ["cx", "cy", "cz"]).where("item_id <> o_item_id")
-    gap = F.sqrt(sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in _AXES), F.lit(0.0)))
-    need = min_distance * (F.col("size") + F.col("o_size")) / 2
-    met = met.withColumns({"gap": gap, "need": need}).where((F.col("gap") < F.col("need")) | (F.col("gap") <= 1e-6))
-    apart = F.col("gap") > 1e-6
-    force = {c: (F.col(c) - F.col(f"o_{c}")) / F.col("gap") * (F.col("need") - F.col("gap")) * strength for c in _AXES}
-    moves = met.groupBy("item_id").agg(*(F.sum(F.when(apart, v).otherwise(0.0)).alias(f"d{c}") for c, v in force.items()))
-    # Few nodes share a place; their directions come from the same drawing as in a box.
-    same = met.where(~apart).select("item_id", "o_item_id")
-
-    def drawn(batches):
-        for pdf in batches:
-            a, b = pdf["item_id"].to_numpy(), pdf["o_item_id"].to_numpy()
-            sign = np.where(a < b, 1.0, -1.0)[:, None]
-            d = sign * _direction(np.minimum(a, b), np.maximum(a, b)) * min_distance * 0.5
-            yield pd.DataFrame({"item_id": a, **{f"e{c}": d[:, i] for i, c in enumerate(_AXES)}})
-
-    random = same.mapInPandas(drawn, "item_id long, ex double, ey double, ez double").groupBy("item_id").agg(*(F.sum(f"e{c}").alias(f"e{c}") for c in _AXES))
-    moved = now.join(moves, "item_id", "left").join(random, "item_id", "left")
-    zero = F.lit(0.0)
-    at = [(F.col(c) + F.coalesce(f"d{c}", zero) + F.coalesce(f"e{c}", zero)).alias(c) for c in _AXES]
-    return moved.select("item_id", "size", *at, F.lit(0.0).alias("strayed"), F.col("dx").isNotNull().cast("int").alias("last"))
+def _compact(at: np.ndarray, first: np.ndarray, width: float, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which nodes next to each other lie near each other, and the corners of the boxes of each ``rows`` of them."""
+    cells = np.clip(np.floor((at - first) / (width / 4)), 0, 255).astype(np.int64)
+    code = np.zeros(len(at), dtype=np.int64)
+    for bit in range(8):
+        for c in range(3):
+            code |= (cells[:, c] >> bit & 1) << (3 * bit + c)
+    order = np.argsort(code, kind="stable")
+    begins = np.arange(0, len(at), rows)
+    return order, np.minimum.reduceat(at[order], begins), np.maximum.reduceat(at[order], begins)
+
+
+def crowd_pushes(ids: np.ndarray, at: np.ndarray, size: np.ndarray, o_ids: np.ndarray, o_at: np.ndarray, o_size: np.ndarray, min_distance: float, strength: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """The move of each node by others that lie all about it, and whether one was too close: all pairs of tiles that are within ``width``."""
+    move, hit = np.zeros_like(at), np.zeros(len(at), dtype=bool)
+    if not len(o_at):
+        return move, hit
+    first = np.minimum(at.min(axis=0), o_at.min(axis=0))
+    order, low, high = _compact(at, first, width, _TILE[0])
+    o_order, o_low, o_high = _compact(o_at, first, width, _TILE[1])
+    o_ids, o_at, o_size = o_ids[o_order], o_at[o_order], o_size[o_order]
+    others = [np.ascontiguousarray(o_at[:, c]) for c in range(3)]
+    room = [np.empty(_TILE) for _ in range(5)]
+    for i in range(len(low)):
+        mine = order[i * _TILE[0] : (i + 1) * _TILE[0]]
+        own, own_size, pushed, hurt = at[mine], size[mine, None], np.zeros((len(mine), 3)), np.zeros(len(mine), dtype=bool)
+        apart = np.maximum(np.maximum(o_low - high[i], low[i] - o_high), 0.0)
+        for j in np.flatnonzero((apart * apart).sum(axis=1) <= (width * (1 + 1e-9)) ** 2).tolist():
+            other = slice(j * _TILE[1], min((j + 1) * _TILE[1], len(o_at)))
+            x, y, z, gap, need = (r[: len(mine), : other.stop - other.start] for r in room)
+            diff = (x, y, z)
+            for c in range(3):
+                np.subtract(own[:, c, None], others[c][other], out=diff[c])
+            np.multiply(x, x, out=gap)
+            for c in (1, 2):
+                np.multiply(diff[c], diff[c], out=need)
+                gap += need
+            np.sqrt(gap, out=gap)
+            np.add(own_size, o_size[other], out=need)
+            need *= min_distance / 2
+            # What is left is how far those too close reach into each other.
+            need -= gap
+            np.maximum(need, 0.0, out=need)
+            if gap.min() <= 1e-6:
+                same = gap <= 1e-6
+                gap[same], need[same] = 1.0, 0.0
+                a, b = np.nonzero(same)
+                met = ids[mine][a] != o_ids[other][b]
+                a, b = a[met], b[met]
+                one, two = ids[mine][a], o_ids[other][b]
+                drawn = np.where(one < two, 1.0, -1.0)[:, None] * _direction(np.minimum(one, two), np.maximum(one, two)) * min_distance * 0.5
+                for c in range(3):
+                    pushed[:, c] += np.bincount(a, drawn[:, c], len(mine))
+                hurt[a] = True
+            need /= gap
+            pulls = need.sum(axis=1)
+            hurt |= pulls > 0
+            pushed += (pulls[:, None] * (own - low[i]) - need @ (o_at[other] - low[i])) * strength
+        move[mine], hit[mine] = pushed, hurt
+    return move, hit
+
+
+def _crowded_round(now: DataFrame, boxes: DataFrame, most: int, tasks: int, min_distance: float, strength: float, width: float) -> DataFrame:
+    """One round where boxes hold more than ``most`` nodes: theirs are dealt to grid cells, whose nodes meet those of the cells around in blocks."""
+    box, cell = ["bx", "by", "bz"], ["kx", "ky", "kz"]
+    heavy = scratch_table(boxes.groupBy(*box).count().where(F.col("count") > most).select(*box), "crowds")
+    nodes = ["item_id", "x", "y", "z", "size"]
+    light = boxes.join(heavy, box, "left_anti").select(*nodes, *(F.col(b).alias(k) for b, k in zip(box, cell, strict=True)), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("own"))
+    in_cell = {f"k{c}": F.floor(F.col(c) / width) for c in _AXES}
+    asked = boxes.where("own").join(heavy, box, "left_semi").select(*nodes).withColumns(in_cell)
+    spread = now.select(nodes).withColumns(in_cell)
+    for k in cell:
+        spread = spread.withColumn(k, F.explode(F.array(*(F.col(k) + i for i in (-1, 0, 1)))))
+    # Parts of a cell's nodes, and slices of those about it.
+    cells = asked.groupBy(*cell).agg(F.ceil(F.count("*") / CROWD[0]).cast("int").alias("parts"))
+    about = spread.join(cells, cell).groupBy(*cell).agg(F.first("parts").alias("parts"), F.ceil(F.count("*") / CROWD[1]).cast("int").alias("slices"))
+    about = scratch_table(about, "crowds")
+    deal = lambda m: F.pmod(F.xxhash64("item_id"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    ours = asked.join(about, cell).withColumn("i", deal("parts")).withColumn("j", every("slices")).withColumn("own", F.lit(True))
+    theirs = spread.join(about, cell).withColumn("j", deal("slices")).withColumn("i", every("parts")).withColumn("own", F.lit(False))
+    columns = [*nodes, *cell, "i", "j", "own"]
+    met = light.select(columns).unionByName(ours.select(columns)).unionByName(theirs.select(columns))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id")
+        own = pdf["own"].to_numpy()
+        ids, at, size = pdf["item_id"].to_numpy(), pdf[list(_AXES)].to_numpy(), pdf["size"].to_numpy()
+        if key[3] < 0:
+            move, hit = pushes(ids, at, size, min_distance, strength, width)
+            move, hit = move[own], hit[own]
+        else:
+            move, hit = crowd_pushes(ids[own], at[own], size[own], ids[~own], at[~own], size[~own], min_distance, strength, width)
+        return pd.DataFrame({"item_id": ids[own], **{f"d{c}": move[:, i] for i, c in enumerate(_AXES)}, "hit": hit})
+
+    # A number of partitions of its own: these few rows are much work, and would be put together by their size.
+    met = met.repartition(tasks, *cell, "i", "j")
+    moves = met.groupBy(*cell, "i", "j").applyInPandas(run, "item_id long, dx double, dy double, dz double, hit boolean")
+    moves = moves.groupBy("item_id").agg(*(F.sum(f"d{c}").alias(f"d{c}") for c in _AXES), F.max("hit").alias("hit"))
+    at = [(F.col(c) + F.col(f"d{c}")).alias(c) for c in _AXES]
+    return now.join(moves, "item_id").select("item_id", "size", *at, F.lit(0.0).alias("strayed"), F.col("hit").cast("int").alias("last"))
 
 
 def resolve_collisions(nodes: DataFrame, min_distance: float = 0.35, rounds: int = 100, strength: float = 0.5, most: int = MOST_NODES, together: int = ROUNDS) -> DataFrame:
@@ -167,42 +240,45 @@ def resolve_collisions(nodes: DataFrame, min_distance: float = 0.35, rounds: int
     """
     doubles = [F.col(c).cast("double").alias(c) for c in (*_AXES, "size")]
     now = scratch_table(nodes.select(F.col("item_id").cast("long").alias("item_id"), *doubles), "nodes")
-    ends = now.agg(F.count("*").alias("n"), F.max("size").alias("s"), *(f(c).alias(f"{k}{c}") for c in _AXES for k, f in (("a", F.min), ("b", F.max)))).first()
+    spans = [f(c).alias(f"{k}{c}") for c in _AXES for k, f in (("a", F.min), ("b", F.max))]
+    ends = seen = now.agg(F.count("*").alias("n"), F.max("size").alias("s"), *spans).first()
     if not ends.n:
         return now
     width = float(min_distance * max(ends.s or 0.0, 1e-9))
-    span = max(max(ends[f"b{c}"] - ends[f"a{c}"] for c in _AXES), width)
     columns = ["item_id", "x", "y", "z", "size"]
     done, stray, count = 0, width, together
     while done < rounds:
         count = min(count, rounds - done)
-        edge, dealt = None, None
+        edge, crowded = None, False
         if ends.n > most:
+            # Of where nodes are now: a crowd's box says nothing of those that it burst to.
+            span = max(max(seen[f"b{c}"] - seen[f"a{c}"] for c in _AXES), width)
             edge = span / max(1.0, (4.0 * ends.n / most) ** (1 / 3))
+            # A halo wider than its box would bring each node to very many boxes.
+            while count > 1 and count * (width + 2 * stray) > edge:
+                count = max(1, count // 2)
             while True:
                 halo = width if count == 1 else count * (width + 2 * stray)
-                dealt = _boxes(now, edge, halo)
-                largest = dealt.groupBy("bx", "by", "bz").count().agg(F.max("count")).first()[0]
-                if largest <= most:
+                dealt = _boxes(now, max(edge, width), halo)
+                crowded = dealt.groupBy("bx", "by", "bz").count().agg(F.max("count")).first()[0] > most
+                if not crowded:
                     break
                 if edge > 2 * halo:
                     edge /= 2
                 elif count > 1:
                     count = max(1, count // 2)
-                elif edge > width:
-                    edge /= 2
                 else:
-                    dealt = None
                     break
         else:
             count = rounds - done
             dealt = _boxes(now, None, 0.0)
-        moved = _joined_round(now, min_distance, strength, width) if dealt is None else _step(now, dealt, count, min_distance, strength, width)
+        moved = _crowded_round(now, dealt, most, min(CROWD_TASKS, 1 + ends.n // 256), min_distance, strength, width) if crowded else _step(now, dealt, count, min_distance, strength, width)
         moved = scratch_table(moved, "nodes")
-        seen = moved.agg(F.max("strayed").alias("strayed"), F.max("last").alias("last")).first()
-        if edge is not None and count > 1 and seen.strayed > stray:
-            stray, count = 1.5 * seen.strayed, max(1, count // 2)
+        after = moved.agg(F.max("strayed").alias("strayed"), F.max("last").alias("last"), *spans).first()
+        if edge is not None and count > 1 and after.strayed > stray:
+            stray, count = 1.5 * after.strayed, max(1, count // 2)
             continue
+        seen = after
         now, done = moved.select(columns), done + count
         # Crowds burst in their first rounds and move little afterwards: the bound follows, or halos would stay large.
         stray = max(width, 1.5 * seen.strayed)

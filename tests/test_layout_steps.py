@@ -14,3 +14,29 @@ def test_a_burst_does_not_cost_a_step_a_round(spark, monkeypatch):
     monkeypatch.setattr(layout, "scratch_table", lambda frame, name: written.append(name) or plain(frame, name))
     layout.resolve_collisions(df)
     assert len(written) <= 2
+
+
+def test_a_crowd_is_pushed_as_all_pairs_are(spark, monkeypatch):
+    """A crowd too dense for boxes, with nodes in one place: the rounds of one task, and no box with a halo wider than itself."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.normal(size=(3000, 3)), rng.normal(size=(40, 3)) + 60])
+    at[:20] = at[20]
+    nodes = [(i, *map(float, p), float(s)) for i, (p, s) in enumerate(zip(at, rng.uniform(2, 3, len(at)), strict=True))]
+    df = spark.createDataFrame(nodes, "item_id long, x double, y double, z double, size double")
+    halos = []
+    plain = layout._boxes
+    monkeypatch.setattr(layout, "_boxes", lambda now, edge, halo: halos.append((edge, halo)) or plain(now, edge, halo))
+    monkeypatch.setattr(layout, "CROWD", (200, 500))
+    found = [sorted(layout.resolve_collisions(df, rounds=6, most=most).collect()) for most in (500, 20_000)]
+    assert all(edge is None or halo <= edge for edge, halo in halos)
+    assert np.abs(np.array(found[0]) - np.array(found[1])).max() < 1e-5
+
+
+def test_tiles_of_a_crowd_give_the_moves_of_all_pairs():
+    rng = np.random.default_rng(7)
+    ids, at, size = rng.permutation(900), rng.normal(size=(900, 3)) * 2, rng.uniform(0.5, 3, 900)
+    at[:9] = at[9]
+    want, hurt = layout.pushes(ids, at, size, 0.35, 0.5, 1.05)
+    part = np.arange(900) % 3 == 0
+    move, hit = layout.crowd_pushes(ids[part], at[part], size[part], ids, at, size, 0.35, 0.5, 1.05)
+    assert np.abs(move - want[part]).max() < 1e-9 and (hit == hurt[part]).all()
