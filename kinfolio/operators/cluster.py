@@ -23,7 +23,7 @@ from kinfolio.functions.text import STOP_WORDS, sanitize_name, title_case
 from kinfolio.operators.layout import resolve_collisions
 from kinfolio.operators.lists import ListIndex
 from kinfolio.operators.quantiles import LARGE_GROUP, nth_smallest, percentiles
-from kinfolio.operators.report import first_seen_top
+from kinfolio.operators.report import first_seen_top, first_seen_top_of_many
 from kinfolio.operators.ward import cut_tree, tree, ward_labels
 from kinfolio.session import cut
 
@@ -166,7 +166,7 @@ def topic_and_word_counts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.split(F.regexp_replace(F.lower(F.coalesce("description", F.lit(""))), r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
     words = items.select("cluster_id", "stars", "full_name", "item_id", F.posexplode(text).alias("pos", "value"))
     words = words.where((F.length("value") > 2) & ~F.col("value").isin(STOP_WORDS))
-    return first_seen_top(topics.select("cluster_id", "value", order), 5, "cluster_id"), first_seen_top(words.select("cluster_id", "value", order), 3, "cluster_id")
+    return first_seen_top(topics.select("cluster_id", "value", order), 5, "cluster_id"), first_seen_top_of_many(words.select("cluster_id", "value", order), 3, "cluster_id")
 
 
 def heuristic_names(items: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfolio.session import broadcast_if_small, cut
+
 
 def top_values(rows: DataFrame, value: Column, limit: int, *keys: str) -> DataFrame:
     """Most frequent values (for each of ``keys``), names breaking ties."""
@@ -58,6 +63,26 @@ def first_seen_top(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
+def first_seen_top_of_many(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The same for rows by the million: values are counted first, and only where those that can be among the best come first is looked up.
+
+    Counts and numbers are added up in place; the least of structs with names would sort all rows.
+    """
+    first = F.col("seen").getField(rows.schema["seen"].dataType.fieldNames()[0])
+    counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    ranked = counted.withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy(F.desc("n")))).where(F.col("rank") <= limit)
+    tops = cut(ranked.drop("rank"))
+    names = [*keys, "value"]
+    near = broadcast_if_small(tops.select(*(F.col(c).alias(f"top_{c}") for c in names), "first"))
+    same = [F.col(c).eqNullSafe(F.col(f"top_{c}")) for c in names]
+    met = rows.join(near, reduce(and_, same)).where(first.isNull() | (first == F.col("first")))
+    seen = met.groupBy(*names).agg(F.min("seen").alias("seen"))
+    seen = seen.select(*(F.col(c).alias(f"top_{c}") for c in names), "seen")
+    best = W.partitionBy(*keys).orderBy(F.desc("n"), "seen")
+    out = tops.drop("first").join(seen, reduce(and_, same)).select(*names, "n", "seen")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
 def _gathered(ranked: DataFrame, value: str, name: str, key: str = "month") -> DataFrame:
     """Arrays of a few ranked values a key, in rank order."""
     listed = F.sort_array(F.collect_list(F.struct("rank", F.col(value).alias("v"))))

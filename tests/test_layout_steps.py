@@ -40,3 +40,14 @@ def test_tiles_of_a_crowd_give_the_moves_of_all_pairs():
     part = np.arange(900) % 3 == 0
     move, hit = layout.crowd_pushes(ids[part], at[part], size[part], ids, at, size, 0.35, 0.5, 1.05)
     assert np.abs(move - want[part]).max() < 1e-9 and (hit == hurt[part]).all()
+
+
+def test_values_counted_first_equal_those_ranked_at_once(spark):
+    """Ties of counts, of a struct's first field and null keys: the same best values, by the same order."""
+    from kinfolio.operators.report import first_seen_top, first_seen_top_of_many
+
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 5 else int(k), f"w{v}", int(s), f"n{i % 7}", i) for i, (k, v, s) in enumerate(rng.integers(0, [6, 12, 3], size=(900, 3)))]
+    df = spark.createDataFrame(rows, "k int, value string, s int, name string, i int").selectExpr("k", "value", "struct(if(i % 50 = 0, null, s) as s, name, i) as seen")
+    got, want = (sorted(f(df, 4, "k").select("k", "value", "n", "rank", "seen").collect(), key=str) for f in (first_seen_top_of_many, first_seen_top))
+    assert got == want and len(got) == 24
